@@ -1 +1,525 @@
-"""Registered model queries (survey F-I)."""
+"""Registered feature, classification, regression and clustering queries
+(survey F-I, A5, A6).
+
+Deterministic parts (splits, z-scores, exact k-NN, evaluation tables,
+silhouette, Davies-Bouldin, segment naming) have oracle SQL. Fitted MLlib
+models are not bit-comparable with any SQL; their queries return small
+metric tables and are covered by invariant tests instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from cohortlens.functions.columns import fill_nulls, numeric_features
+from cohortlens.operators import classify as clf
+from cohortlens.operators import cluster as cl
+from cohortlens.operators import features as fe
+from cohortlens.operators import regress as rg
+from cohortlens.plans.oracle import with_profile
+from cohortlens.plans.registry import query, r6
+from cohortlens.session import scratch_path
+from cohortlens.sources import io
+from cohortlens.sources.views import profile
+
+LEAKAGE = ["id", "target_amount", "target_flag", "tier_code"]
+SEED = 42
+ZSCORE_COLS = ["balance", "avg_price", "qty", "n_parts"]
+REG_TARGETS = ["target_amount", "score_1_10"]
+REG_LEAKAGE = LEAKAGE + ["score_1_10", "n_urgent"]
+
+_cache: dict = {}
+
+
+def _memo(key, fn):
+    if key not in _cache:
+        _cache[key] = fn()
+    return _cache[key]
+
+
+# ------------------------------------------------------------------ shared
+
+def _clf_frame(spark, root):
+    p = profile(spark, root).where(F.col("target_flag").isNotNull())
+    feats = numeric_features(p, exclude=LEAKAGE)
+    return fill_nulls(p, feats, 0), feats
+
+
+def _clf_split(spark, root):
+    p, feats = _clf_frame(spark, root)
+    return fe.stratified_split(p, "id", "target_flag", 0.2, SEED), feats
+
+
+def _scored_sql(score: str, cut: str, where: str = "") -> str:
+    return (f"SELECT id, target_flag AS label, round(CAST({score} AS DOUBLE) / 30.0, 6) AS score, "
+            f"CAST(round(CAST({score} AS DOUBLE) / 30.0, 6) >= {cut} AS INTEGER) AS prediction "
+            f"FROM profile WHERE target_flag IS NOT NULL {where}")
+
+
+def _scored(spark, root, col="n_orders", cut=0.333):
+    p = profile(spark, root).where(F.col("target_flag").isNotNull())
+    s = F.round(F.col(col).cast("double") / 30.0, 6)
+    return p.select("id", F.col("target_flag").alias("label"), s.alias("score"),
+                    (s >= cut).cast("int").alias("prediction"))
+
+
+# ----------------------------------------------------------------- F features
+
+@query("assemble")
+def q_assemble(spark, root):
+    p, feats = _clf_frame(spark, root)
+    a = fe.assemble(p, feats)
+    return a.select("id", vector_to_array("features").alias("features"))
+
+
+_Z_SQL = ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) AS {c}" for c in ZSCORE_COLS)
+
+
+@query("zscore", sql=with_profile(f"SELECT id, {_Z_SQL} FROM profile"))
+def q_zscore(spark, root):
+    p = profile(spark, root).select("id", *ZSCORE_COLS)
+    return r6(fe.zscore(p, ZSCORE_COLS))
+
+
+_SPLIT_SQL = """
+, cnt AS (SELECT target_flag, count(*) AS c FROM profile WHERE target_flag IS NOT NULL GROUP BY 1),
+tot AS (SELECT sum(c) AS n, CAST(ceil(0.2 * sum(c)) AS BIGINT) AS n_test FROM cnt),
+q AS (SELECT target_flag, c, floor(c * (n - n_test) / n) AS fl,
+             c * (n - n_test) / n - floor(c * (n - n_test) / n) AS rem, n, n_test FROM cnt, tot),
+q2 AS (SELECT *, row_number() OVER (ORDER BY rem DESC, target_flag) AS rr,
+              (n - n_test) - sum(fl) OVER () AS extra FROM q),
+quota AS (SELECT target_flag, c - (fl + CASE WHEN rr <= extra THEN 1 ELSE 0 END) AS q_test FROM q2),
+sp AS (SELECT p.*, row_number() OVER (PARTITION BY p.target_flag ORDER BY md5('42:' || CAST(p.id AS VARCHAR)), p.id)
+              <= quota.q_test AS is_test FROM profile p JOIN quota ON p.target_flag = quota.target_flag)"""
+
+
+@query("stratified_split", sql=with_profile(_SPLIT_SQL + " SELECT id, target_flag, is_test FROM sp"))
+def q_stratified_split(spark, root):
+    p = profile(spark, root).select("id", "target_flag")
+    return fe.stratified_split(p, "id", "target_flag", 0.2, SEED)
+
+
+@query("random_split", sql=(
+    "SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) "
+    "<= CAST(ceil(0.2 * count(*) OVER ()) AS BIGINT) AS is_test FROM orders"))
+def q_random_split(spark, root):
+    o = io.read_table(spark, root, "orders").select("o_orderkey")
+    return fe.random_split(o, "o_orderkey", 0.2, SEED)
+
+
+# ----------------------------------------------------------- G classification
+
+_DIST = "sqrt(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))))"
+_EMB = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+
+
+@query("knn_neighbors", sql=(
+    f"WITH {_EMB}, pairs AS (SELECT a.vec_id AS test_id, b.vec_id AS train_id, {_DIST} AS dist FROM e a, e b) "
+    "SELECT test_id, train_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY dist, train_id) AS rank FROM pairs) t WHERE rank <= 9"))
+def q_knn_neighbors(spark, root):
+    e = io.read_table(spark, root, "embeddings")
+    nb = clf.knn_neighbors(e, e, "embedding", 9, "vec_id", "vec_id")
+    return r6(nb.select("test_id", "train_id", "dist", "rank"))
+
+
+_EMB_SPLIT = ("s AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) "
+              "<= CAST(ceil(0.2 * count(*) OVER ()) AS BIGINT) AS is_test FROM e)")
+
+
+@query("knn_classify", sql=(
+    f"WITH {_EMB}, {_EMB_SPLIT}, "
+    f"pairs AS (SELECT a.vec_id AS test_id, b.vec_id AS train_id, b.label AS nb_label, {_DIST} AS dist "
+    "FROM s a JOIN s b ON a.is_test AND NOT b.is_test), "
+    "nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY dist, train_id) AS rk "
+    "FROM pairs) t WHERE rk <= 9), "
+    "votes AS (SELECT test_id, nb_label, count(*) AS n FROM nb GROUP BY 1, 2), "
+    "best AS (SELECT test_id, nb_label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY test_id "
+    "ORDER BY n DESC, nb_label) AS r FROM votes) t WHERE r = 1), "
+    "sc AS (SELECT test_id, count(*) FILTER (WHERE nb_label = 1) / count(*) AS score FROM nb GROUP BY 1) "
+    "SELECT best.test_id, e.label, best.prediction, round(sc.score, 6) AS score FROM best JOIN sc USING (test_id) "
+    "JOIN e ON e.vec_id = best.test_id"))
+def q_knn_classify(spark, root):
+    e = io.read_table(spark, root, "embeddings")
+    sp = fe.random_split(e, "vec_id", 0.2, SEED)
+    train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
+    pred = clf.knn_classify(train, test, "embedding", "label", 9, "vec_id", "vec_id")
+    out = pred.join(e.select(F.col("vec_id").alias("test_id"), "label"), "test_id")
+    return r6(out.select("test_id", "label", "prediction", "score"))
+
+
+@query("accuracy", sql=with_profile(f", sc AS ({_scored_sql('n_orders', '0.333')}) "
+                                    "SELECT round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy FROM sc"))
+def q_accuracy(spark, root):
+    return r6(clf.accuracy(_scored(spark, root)))
+
+
+_PRF_SQL = ("SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, "
+            "round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, "
+            "round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, "
+            "round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM ("
+            "SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp, "
+            "count(*) FILTER (WHERE label <> 1 AND prediction = 1) AS fp, "
+            "count(*) FILTER (WHERE label = 1 AND prediction <> 1) AS fn, "
+            "count(*) FILTER (WHERE label <> 1 AND prediction <> 1) AS tn FROM sc) c")
+
+
+@query("precision_recall_f1", sql=with_profile(f", sc AS ({_scored_sql('n_orders', '0.333')}) " + _PRF_SQL))
+def q_precision_recall_f1(spark, root):
+    return r6(clf.precision_recall_f1(_scored(spark, root)))
+
+
+@query("confusion_matrix", sql=with_profile(
+    f", sc AS ({_scored_sql('n_orders', '0.333')}), g AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) "
+    "v(actual, predicted)), c AS (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM sc GROUP BY 1, 2) "
+    "SELECT g.actual, g.predicted, coalesce(c.n, 0) AS n FROM g LEFT JOIN c USING (actual, predicted)"))
+def q_confusion_matrix(spark, root):
+    return clf.confusion_matrix(_scored(spark, root))
+
+
+_SC_COUNTS = ("cnt AS (SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS pos, "
+              "count(*) FILTER (WHERE label <> 1) AS neg FROM sc WHERE score IS NOT NULL GROUP BY score)")
+
+
+@query("roc_curve", sql=with_profile(
+    f", sc AS ({_scored_sql('n_orders', '0.333')}), {_SC_COUNTS}, "
+    "t AS (SELECT sum(pos) AS p, sum(neg) AS n FROM cnt), "
+    "c AS (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tp, "
+    "sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fp FROM cnt) "
+    "SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr UNION ALL "
+    "SELECT threshold, round(fp / t.n, 6) AS fpr, round(tp / t.p, 6) AS tpr FROM c, t"))
+def q_roc_curve(spark, root):
+    return r6(clf.roc_curve(_scored(spark, root)))
+
+
+def _auc_sql(sc_sql: str) -> str:
+    return (f", sc AS ({sc_sql}), {_SC_COUNTS}, "
+            "c AS (SELECT pos, neg, sum(neg) OVER (ORDER BY threshold ROWS UNBOUNDED PRECEDING) - neg AS below FROM cnt) "
+            "SELECT round(sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0), 6) AS auc FROM c")
+
+
+@query("roc_auc", headline=True, sql=with_profile(_auc_sql(_scored_sql("n_orders", "0.333"))))
+def q_roc_auc(spark, root):
+    return r6(clf.roc_auc(_scored(spark, root)))
+
+
+def _model_metrics_sql(name: str, col: str, cut: str) -> str:
+    sc = _scored_sql(col, cut)
+    return (
+        f"SELECT '{name}' AS model, m.accuracy, m.precision, m.recall, m.f1, a.auc FROM "
+        "(SELECT (tp + tn) / (tp + fp + fn + tn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, "
+        "coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 "
+        "FROM (SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp, "
+        "count(*) FILTER (WHERE label <> 1 AND prediction = 1) AS fp, "
+        "count(*) FILTER (WHERE label = 1 AND prediction <> 1) AS fn, "
+        f"count(*) FILTER (WHERE label <> 1 AND prediction <> 1) AS tn FROM ({sc}) s1) c) m, "
+        "(SELECT sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM ("
+        "SELECT pos, neg, sum(neg) OVER (ORDER BY threshold ROWS UNBOUNDED PRECEDING) - neg AS below FROM ("
+        "SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg "
+        f"FROM ({sc}) s2 WHERE score IS NOT NULL GROUP BY score) cnt) c2) a")
+
+
+@query("compare_models", sql=with_profile(
+    ", allm AS (" + _model_metrics_sql("orders", "n_orders", "0.333") + " UNION ALL "
+    + _model_metrics_sql("parts", "n_parts", "1.5") + ") "
+    "SELECT model, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, "
+    "round(f1, 6) AS f1, round(auc, 6) AS auc, row_number() OVER (ORDER BY f1 DESC, model) = 1 AS is_best FROM allm"))
+def q_compare_models(spark, root):
+    scored = {"orders": _scored(spark, root, "n_orders", 0.333), "parts": _scored(spark, root, "n_parts", 1.5)}
+    return r6(clf.compare_models(scored))
+
+
+def _fitted_classifiers(spark, root):
+    def build():
+        sp, feats = _clf_split(spark, root)
+        sp = sp.cache()
+        train = sp.where(~F.col("is_test"))
+        models = {
+            "Decision Tree": clf.fit_decision_tree(train, feats, "target_flag", seed=SEED),
+            "Random Forest": clf.fit_random_forest(train, feats, "target_flag", seed=SEED),
+            "Gradient Boosting": clf.fit_gbt(train, feats, "target_flag", seed=SEED),
+        }
+        return sp, feats, models
+    return _memo(("clf", root), build)
+
+
+def _classifier_report(spark, root, names):
+    sp, feats, models = _fitted_classifiers(spark, root)
+    scored = {n: clf.predict(models[n], sp).withColumnRenamed("target_flag", "label") for n in names}
+    return r6(clf.compare_models(scored, split="is_test"))
+
+
+@query("fit_decision_tree")
+def q_fit_decision_tree(spark, root):
+    return _classifier_report(spark, root, ["Decision Tree"])
+
+
+@query("fit_random_forest")
+def q_fit_random_forest(spark, root):
+    return _classifier_report(spark, root, ["Random Forest"])
+
+
+@query("fit_gbt")
+def q_fit_gbt(spark, root):
+    return _classifier_report(spark, root, ["Gradient Boosting"])
+
+
+@query("knn_on_features")
+def q_knn_on_features(spark, root):
+    """k-NN on z-scored customer features (scaler fitted on train only)."""
+    sp, feats = _clf_split(spark, root)
+    train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
+    stats = fe.fit_zscore(train, feats)
+    ztr, zte = fe.apply_zscore(train, stats), fe.apply_zscore(test, stats)
+    pred = clf.knn_classify(ztr, zte, feats, "target_flag", 9, "id", "id")
+    scored = pred.join(test.select(F.col("id").alias("test_id"), F.col("target_flag").alias("label")), "test_id")
+    return r6(clf.compare_models({"KNN": scored}))
+
+
+@query("predict")
+def q_predict(spark, root):
+    sp, feats, models = _fitted_classifiers(spark, root)
+    return r6(clf.predict(models["Random Forest"], sp.where(F.col("is_test"))).select("id", "prediction", "score"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, root):
+    _, _, models = _fitted_classifiers(spark, root)
+    return r6(clf.feature_importance(models["Random Forest"], 15))
+
+
+@query("classifier_comparison")
+def q_classifier_comparison(spark, root):
+    return _classifier_report(spark, root, ["Decision Tree", "Random Forest", "Gradient Boosting"])
+
+
+# -------------------------------------------------------------- H regression
+
+_PRED = "qty * 1400.0"
+
+
+@query("regression_metrics", sql=with_profile(
+    f", pr AS (SELECT target_amount AS y, {_PRED} AS yh FROM profile WHERE target_amount IS NOT NULL AND qty IS NOT NULL) "
+    "SELECT round(1 - sum((y - yh) * (y - yh)) / nullif(var_pop(y) * count(y), 0), 6) AS r2, "
+    "round(avg(abs(y - yh)), 4) AS mae, round(sqrt(avg((y - yh) * (y - yh))), 4) AS rmse, count(y) AS n FROM pr"))
+def q_regression_metrics(spark, root):
+    p = profile(spark, root).withColumn("pred", F.col("qty") * 1400.0)
+    return r6(rg.regression_metrics(p, "target_amount", "pred"), {"mae": 4, "rmse": 4})
+
+
+@query("residuals", sql=with_profile(
+    f"SELECT id, round(target_amount, 4) AS actual, round({_PRED}, 4) AS predicted, "
+    f"round(target_amount - {_PRED}, 4) AS residual FROM profile"))
+def q_residuals(spark, root):
+    p = profile(spark, root).withColumn("pred", F.col("qty") * 1400.0)
+    return r6(rg.residuals(p, "target_amount", "pred", keep=["id"]), {"actual": 4, "predicted": 4, "residual": 4})
+
+
+def _reg_frames(spark, root):
+    def build():
+        p = profile(spark, root)
+        feats = numeric_features(p, exclude=REG_LEAKAGE)
+        p = fill_nulls(p, feats, 0)
+        sp = fe.random_split(p, "id", 0.2, SEED)
+        # Statistics from the training rows only (the reference fitted them on all rows).
+        stats = fe.fit_zscore(sp.where(~F.col("is_test")), feats)
+        z = fe.apply_zscore(sp, stats).cache()
+        return z, feats
+    return _memo(("reg", root), build)
+
+
+def _fit_one(spark, root, name):
+    z, feats = _reg_frames(spark, root)
+    train, test = z.where(~F.col("is_test")), z.where(F.col("is_test"))
+    table, fitted = rg.fit_targets(train, test, feats, REG_TARGETS, {name: rg.DEFAULT_MODELS[name]})
+    _cache[("reg_models", root, name)] = fitted
+    return r6(table.drop("is_best"), {"mae": 4, "rmse": 4})
+
+
+@query("fit_linear")
+def q_fit_linear(spark, root):
+    return _fit_one(spark, root, "Linear Regression")
+
+
+@query("fit_ridge")
+def q_fit_ridge(spark, root):
+    return _fit_one(spark, root, "Ridge")
+
+
+@query("fit_rf_regressor")
+def q_fit_rf_regressor(spark, root):
+    return _fit_one(spark, root, "Random Forest")
+
+
+@query("fit_gbt_regressor")
+def q_fit_gbt_regressor(spark, root):
+    return _fit_one(spark, root, "Gradient Boosting")
+
+
+@query("regression_importance")
+def q_regression_importance(spark, root):
+    if ("reg_models", root, "Random Forest") not in _cache:
+        _fit_one(spark, root, "Random Forest")
+    fitted = _cache[("reg_models", root, "Random Forest")]
+    return r6(rg.regression_importance({t: m["Random Forest"] for t, m in fitted.items()}, 15))
+
+
+@query("fit_targets")
+def q_fit_targets(spark, root):
+    z, feats = _reg_frames(spark, root)
+    models = {"Linear Regression": rg.fit_linear, "Ridge": rg.fit_ridge}
+    table, _ = rg.fit_targets(z.where(~F.col("is_test")), z.where(F.col("is_test")), feats,
+                              REG_TARGETS + ["not_a_column"], models)
+    return r6(table, {"mae": 4, "rmse": 4})
+
+
+# -------------------------------------------------------------- I clustering
+
+CLUSTER_COLS = ["balance", "n_orders", "avg_price", "qty", "avg_discount", "n_parts", "n_returned", "score_1_10"]
+
+
+def _cluster_frame(spark, root):
+    def build():
+        p = profile(spark, root)
+        p = fill_nulls(p, CLUSTER_COLS, 0)
+        return fe.zscore(p, CLUSTER_COLS).select("id", *CLUSTER_COLS).cache()
+    return _memo(("clu", root), build)
+
+
+@query("kmeans")
+def q_kmeans(spark, root):
+    z = _cluster_frame(spark, root)
+    model, cost, costs = cl.kmeans(z, CLUSTER_COLS, k=5, n_init=20, seed=SEED)
+    lab = cl.assign(model, z, CLUSTER_COLS, "cluster")
+    sizes = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumn("best_cost", F.round(F.lit(cost), 4)).withColumn(
+        "best_is_min", F.lit(cost <= min(costs)))
+
+
+@query("k_sweep")
+def q_k_sweep(spark, root):
+    z = _cluster_frame(spark, root)
+    return r6(cl.k_sweep(z, CLUSTER_COLS, range(2, 9), n_init=10, seed=SEED, sample=500, key="id"))
+
+
+@query("pca")
+def q_pca(spark, root):
+    z = _cluster_frame(spark, root)
+    _, var = cl.pca(z, CLUSTER_COLS, 2, key="id")
+    return r6(var)
+
+
+def _sil_sql(m: int) -> str:
+    return (f"WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings "
+            f"ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT {m}), "
+            f"d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, {_DIST} AS dist FROM s a JOIN s b ON a.vec_id <> b.vec_id), "
+            "m AS (SELECT vec_id, la, lb, avg(dist) AS md FROM d GROUP BY vec_id, la, lb), "
+            "ab AS (SELECT vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b "
+            "FROM m GROUP BY vec_id), sz AS (SELECT label, count(*) AS n FROM s GROUP BY label) "
+            "SELECT round(avg(CASE WHEN sz.n > 1 THEN (ab.b - ab.a) / greatest(ab.a, ab.b) ELSE 0 END), 6) AS silhouette "
+            "FROM s JOIN sz USING (label) LEFT JOIN ab USING (vec_id)")
+
+
+@query("silhouette", sql=_sil_sql(600))
+def q_silhouette(spark, root):
+    e = io.read_table(spark, root, "embeddings")
+    return r6(cl.silhouette(e, "label", "embedding", sample=600, seed=SEED, key="vec_id"))
+
+
+@query("davies_bouldin", sql=(
+    "WITH e AS (SELECT label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), "
+    "ex AS (SELECT label, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM e), "
+    "cd AS (SELECT label, i, avg(v) AS cv FROM ex GROUP BY label, i), "
+    "c AS (SELECT label, list(cv ORDER BY i) AS cen FROM cd GROUP BY label), "
+    "sp AS (SELECT e.label, avg(sqrt(list_sum(list_transform(range(1, len(e.x) + 1), "
+    "lambda i: (e.x[i] - c.cen[i]) * (e.x[i] - c.cen[i]))))) AS s FROM e JOIN c ON e.label = c.label GROUP BY e.label), "
+    "pr AS (SELECT a.label, max((sa.s + sb.s) / sqrt(list_sum(list_transform(range(1, len(a.cen) + 1), "
+    "lambda i: (a.cen[i] - b.cen[i]) * (a.cen[i] - b.cen[i]))))) AS r FROM c a JOIN c b ON a.label <> b.label "
+    "JOIN sp sa ON sa.label = a.label JOIN sp sb ON sb.label = b.label GROUP BY a.label) "
+    "SELECT round(avg(r), 6) AS davies_bouldin FROM pr"))
+def q_davies_bouldin(spark, root):
+    e = io.read_table(spark, root, "embeddings")
+    return r6(cl.davies_bouldin(e, "label", "embedding"))
+
+
+# Ordered naming rules over average ranks of the segment profile (fixed values).
+RANK_COLS = ["avg_discount", "n_parts", "balance", "score_1_10"]
+NAME_RULES = [
+    ("Budget-Conscious", "avg_discount_rank = 5 AND balance_rank <= 2"),
+    ("High-Value", "balance_rank >= 4 AND n_parts_rank >= 3"),
+    ("Digital-First", "n_parts_rank = 5 AND score_1_10_rank <= 2"),
+    ("Finance Professionals", "avg_discount_rank <= 2 AND balance_rank >= 3"),
+]
+NAME_DEFAULT = "Cautious Savers"
+
+
+def _rank_sql(c: str) -> str:
+    return (f"CAST(floor(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) AS INTEGER) "
+            f"AS {c}_rank")
+
+
+_NAMES_SQL = (
+    ", prof AS (SELECT segment, " + ", ".join(f"round(avg({c}), 2) AS {c}" for c in RANK_COLS)
+    + " FROM profile GROUP BY segment), rk AS (SELECT segment, " + ", ".join(_rank_sql(c) for c in RANK_COLS)
+    + " FROM prof), nm AS (SELECT segment, CASE " + " ".join(f"WHEN {cond} THEN '{lab}'" for lab, cond in NAME_RULES)
+    + f" ELSE '{NAME_DEFAULT}' END AS segment_name FROM rk), named AS (SELECT p.*, nm.segment_name FROM profile p "
+    "LEFT JOIN nm ON p.segment = nm.segment)")
+
+
+def _named(spark, root):
+    return cl.name_segments(profile(spark, root), "segment", RANK_COLS, NAME_RULES, NAME_DEFAULT)
+
+
+@query("name_segments", sql=with_profile(_NAMES_SQL + " SELECT id, segment, segment_name FROM named"))
+def q_name_segments(spark, root):
+    return _named(spark, root).select("id", "segment", "segment_name")
+
+
+@query("segment_profile", sql=with_profile(
+    _NAMES_SQL + " SELECT segment_name, count(id) AS n, round(avg(target_amount), 4) AS amount, "
+    "round(avg(avg_discount), 6) AS discount, round(avg(balance), 6) AS balance, round(avg(score_1_10), 6) AS score "
+    "FROM named GROUP BY segment_name"))
+def q_segment_profile(spark, root):
+    g = cl.segment_profile(_named(spark, root), "segment_name", {
+        "n": ("id", "count"), "amount": ("target_amount", "mean"), "discount": ("avg_discount", "mean"),
+        "balance": ("balance", "mean"), "score": ("score_1_10", "mean")})
+    return r6(g, {"amount": 4})
+
+
+_NORM_COLS = ["avg_discount", "n_parts", "target_amount", "balance"]
+
+
+@query("segment_profile_normalised", sql=with_profile(
+    _NAMES_SQL + ", mm AS (SELECT segment_name, " + ", ".join(f"avg({c}) AS {c}" for c in _NORM_COLS)
+    + " FROM named GROUP BY segment_name) SELECT segment_name, " + ", ".join(
+        f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER () + 1e-9), 6) AS {c}" for c in _NORM_COLS)
+    + " FROM mm"))
+def q_segment_profile_normalised(spark, root):
+    return r6(cl.segment_profile_normalised(_named(spark, root), "segment_name", _NORM_COLS))
+
+
+# ------------------------------------------------------------ A5, A6 sinks
+
+@query("save_load_pipeline")
+def q_save_load_pipeline(spark, root):
+    sp, feats, models = _fitted_classifiers(spark, root)
+    path = io.save_pipeline(models["Decision Tree"], scratch_path(spark, "dt-pipeline"))
+    again = io.load_pipeline(path)
+    test = sp.where(F.col("is_test"))
+    a = clf.predict(models["Decision Tree"], test).select("id", F.col("score").alias("before"))
+    b = clf.predict(again, test).select("id", F.col("score").alias("after"))
+    return a.join(b, "id").select("id", (F.col("before") == F.col("after")).alias("same"))
+
+
+@query("write_results")
+def q_write_results(spark, root):
+    from cohortlens.operators import aggregates as agg
+    p = profile(spark, root)
+    sections = {"funnel": agg.funnel(p, [("Total", None), ("Willing", "target_flag = 1")]),
+                "segments": agg.group_means(p, "segment", ["balance", "score_1_10"])}
+    paths = io.write_results(sections, scratch_path(spark, "results"))
+    parts = [spark.read.json(path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("section"), "n_rows")
+             for name, path in paths.items()]
+    return parts[0].unionByName(parts[1])
