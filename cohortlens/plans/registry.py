@@ -40,4 +40,4 @@ def r6(df: DataFrame, big: dict[str, int] | None = None) -> DataFrame:
 
 def load_all() -> None:
     """Import the catalog modules so their decorators run."""
-    from cohortlens.plans import catalog_models, catalog_rules, catalog_tables  # noqa: F401
+    from cohortlens.plans import catalog_models, catalog_reports, catalog_rules, catalog_tables  # noqa: F401
