@@ -200,11 +200,20 @@ def _score_counts(pred: DataFrame, score: str, label: str, positive) -> DataFram
         F.count_if(F.col(label) == positive).alias("pos"), F.count_if(F.col(label) != positive).alias("neg"))
 
 
-def roc_curve(pred: DataFrame, score: str = "score", label: str = "label", positive=1) -> DataFrame:
+def roc_curve(pred: DataFrame, score: str = "score", label: str = "label", positive=1,
+              drop_intermediate: bool = False) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, descending, plus the
-    (0, 0) start with a NULL threshold. Intermediate collinear points are kept."""
+    (0, 0) start with a NULL threshold. ``drop_intermediate`` removes points
+    collinear with both neighbours (scikit-learn's default): a point goes when
+    the next lower score adds the same positives and negatives as it did;
+    the first and last points always stay."""
     sc = _score_counts(pred, score, label, positive)
-    cum = ordered_cumsum(sc, "threshold", ["pos", "neg"], descending=True)
+    cum = ordered_cumsum(sc, "threshold", ["pos", "neg"], descending=True,
+                         next_cols=["pos", "neg"] if drop_intermediate else ())
+    if drop_intermediate:
+        first = (F.col("pos_cum") == F.col("pos")) & (F.col("neg_cum") == F.col("neg"))
+        same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
+        cum = cum.where(first | F.col("next_pos").isNull() | ~same)
     tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     P, N = tot.select("P").scalar(), tot.select("N").scalar()
     pts = cum.select("threshold", (F.col("neg_cum") / F.nullif(N, F.lit(0))).alias("fpr"),

@@ -39,25 +39,38 @@ def _vec(df: DataFrame, features: str | Sequence[str], out: str = "features") ->
 
 # I1
 def kmeans(df: DataFrame, features: str | Sequence[str], k: int = 5, n_init: int = 20, seed: int = 42,
-           max_iter: int = 300, tol: float = 1e-4):
-    """Best of ``n_init`` k-means|| runs by training cost (inertia).
+           max_iter: int = 300, tol: float = 1e-4, parallel: int = 4):
+    """Best of ``n_init`` k-means|| runs by training cost (inertia); ties go
+    to the earlier restart.
 
     Returns (model, cost, costs per restart). The input is cached for the
-    restarts and released afterwards."""
+    restarts and released afterwards. Restarts are independent, so up to
+    ``parallel`` of them are submitted concurrently to the same session;
+    each fit is still a distributed MLlib job."""
     data = _vec(df, features).select("features").cache()
+
+    def fit(i: int):
+        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="features").fit(data)
+        return m, m.summary.trainingCost
+
     try:
-        best, best_cost, costs = None, None, []
-        for i in range(n_init):
-            m = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="features").fit(data)
-            cost = m.summary.trainingCost
-            costs.append(cost)
-            if best_cost is None or cost < best_cost:
-                best, best_cost = m, cost
-        return best, best_cost, costs
+        results = run_parallel([lambda i=i: fit(i) for i in range(n_init)], parallel)
+        costs = [c for _, c in results]
+        best_i = min(range(n_init), key=lambda i: (costs[i], i))
+        return results[best_i][0], costs[best_i], costs
     finally:
         data.unpersist()
 
 
+def run_parallel(tasks, parallel: int):
+    """Run independent driver-side fits concurrently, results in task order."""
+    if parallel <= 1 or len(tasks) <= 1:
+        return [t() for t in tasks]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return list(pool.map(lambda t: t(), tasks))
+
+
 def assign(model, df: DataFrame, features: str | Sequence[str], out: str = "cluster") -> DataFrame:
     return model.setPredictionCol(out).transform(_vec(df, features)).drop("features")
 
@@ -66,12 +79,13 @@ def assign(model, df: DataFrame, features: str | Sequence[str], out: str = "clus
 def k_sweep(df: DataFrame, features: str | Sequence[str], ks: Sequence[int] = range(2, 9), n_init: int = 10,
             seed: int = 42, sample: int = 500, key: str | None = None) -> DataFrame:
     """Inertia and sample silhouette per k (the elbow table)."""
-    rows = []
-    for k in ks:
+    def one(k: int):
         model, cost, _ = kmeans(df, features, k, n_init, seed)
         labelled = assign(model, df, features, "cluster")
         sil = silhouette(labelled, "cluster", features, sample=sample, seed=seed, key=key).first()["silhouette"]
-        rows.append((int(k), float(cost), None if sil is None else float(sil)))
+        return (int(k), float(cost), None if sil is None else float(sil))
+
+    rows = run_parallel([lambda k=k: one(k) for k in ks], 2)
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 

@@ -110,6 +110,21 @@ def random_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, out
     return stratified_split(df, key, None, test, seed, out)
 
 
+def size_partitions(df: DataFrame, rows_per_partition: int = 500_000) -> DataFrame:
+    """Partition a training set by its size: ``ceil(rows / rows_per_partition)``
+    partitions (coalesced down without a shuffle, or repartitioned up).
+    Iterative MLlib fits run several jobs per iteration, so tiny inputs spread
+    over many partitions pay task overhead, and huge ones need the parallelism."""
+    n = df.count()
+    target = max(1, math.ceil(n / rows_per_partition))
+    current = df.rdd.getNumPartitions()
+    if target < current:
+        return df.coalesce(target)
+    if target > current:
+        return df.repartition(target)
+    return df
+
+
 def to_array(df: DataFrame, features: str | Sequence[str], out: str = "__x") -> DataFrame:
     """Features as ``array<double>``: from an array/vector column or a list of numeric columns."""
     from pyspark.ml.functions import vector_to_array

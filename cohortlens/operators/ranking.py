@@ -87,7 +87,7 @@ def arg_best(df: DataFrame, metric: str, key: str, order: str = "max", group: Se
 
 
 def ordered_cumsum(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
-                   n_ranges: int = 512, suffix: str = "_cum") -> DataFrame:
+                   n_ranges: int = 512, suffix: str = "_cum", next_cols: Sequence[str] = ()) -> DataFrame:
     """Inclusive running totals of ``value_cols`` along ``order_col``.
 
     ``order_col`` must be unique in ``df`` (aggregate per distinct value
@@ -115,4 +115,16 @@ def ordered_cumsum(df: DataFrame, order_col: str, value_cols: Sequence[str], des
     w = Window.partitionBy("__rng").orderBy("__ord").rowsBetween(Window.unboundedPreceding, 0)
     out = bucketed.join(F.broadcast(offsets), "__rng")
     out = out.withColumns({f"{c}{suffix}": F.sum(c).over(w) + F.col(f"__o_{c}") for c in value_cols})
+    if next_cols:
+        # ``next_<c>``: value of the following row in order. Inside a range it
+        # is a lead(); the last row of a range takes the first row of the next
+        # non-empty range, found on the per-range table (n_ranges rows).
+        wr = Window.partitionBy("__rng").orderBy("__ord")
+        out = out.withColumns({f"__lead_{c}": F.lead(c).over(wr) for c in next_cols})
+        firsts = bucketed.groupBy("__rng").agg(*[F.min_by(c, F.col("__ord")).alias(f"__f_{c}") for c in next_cols])
+        wn = Window.orderBy("__rng")
+        nxt = firsts.select("__rng", *[F.lead(f"__f_{c}").over(wn).alias(f"__n_{c}") for c in next_cols])
+        out = out.join(F.broadcast(nxt), "__rng").withColumns(
+            {f"next_{c}": F.coalesce(F.col(f"__lead_{c}"), F.col(f"__n_{c}")) for c in next_cols})
+        out = out.drop(*[f"__lead_{c}" for c in next_cols], *[f"__n_{c}" for c in next_cols])
     return out.drop("__ord", "__rng", *[f"__o_{c}" for c in value_cols])

@@ -102,27 +102,29 @@ DEFAULT_MODELS: dict[str, Fitter] = {
 
 
 def fit_targets(train: DataFrame, test: DataFrame, features: Sequence[str], targets: Sequence[str],
-                models: Mapping[str, Fitter] | None = None) -> tuple[DataFrame, dict[str, dict[str, PipelineModel]]]:
+                models: Mapping[str, Fitter] | None = None, parallel: int = 4) -> tuple[DataFrame, dict[str, dict[str, PipelineModel]]]:
     """Fit every model on every present target (fresh model per target).
 
     Returns (metrics table: target, model, r2, mae, rmse, n, is_best) and the
     fitted models. Targets absent from the table are skipped.
     """
     from pyspark.sql import Window
+    from cohortlens.operators.cluster import run_parallel
     models = models or DEFAULT_MODELS
+    present = [t for t in targets if t in train.columns]
+    grid = [(t, name) for t in present for name in models]
+
+    def fit_one(t: str, name: str) -> PipelineModel:
+        return models[name](train.where(F.col(t).isNotNull()), features, t)
+
+    # Fits are independent: a few run concurrently on the same session.
+    done = run_parallel([lambda t=t, n=n: fit_one(t, n) for t, n in grid], parallel)
     fitted: dict[str, dict[str, PipelineModel]] = {}
     parts = []
-    for t in targets:
-        if t not in train.columns:
-            continue
-        tr = train.where(F.col(t).isNotNull())
-        te = test.where(F.col(t).isNotNull())
-        fitted[t] = {}
-        for name, fit in models.items():
-            m = fit(tr, features, t)
-            fitted[t][name] = m
-            met = regression_metrics(m.transform(te), t, "prediction")
-            parts.append(met.select(F.lit(t).alias("target"), F.lit(name).alias("model"), "*"))
+    for (t, name), m in zip(grid, done):
+        fitted.setdefault(t, {})[name] = m
+        met = regression_metrics(m.transform(test.where(F.col(t).isNotNull())), t, "prediction")
+        parts.append(met.select(F.lit(t).alias("target"), F.lit(name).alias("model"), "*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -194,6 +194,20 @@ def q_roc_curve(spark, root):
     return r6(clf.roc_curve(_scored(spark, root)))
 
 
+@query("roc_curve_drop_intermediate", sql=with_profile(
+    f", sc AS ({_scored_sql('n_parts', '1.5')}), {_SC_COUNTS}, "
+    "t AS (SELECT sum(pos) AS p, sum(neg) AS n FROM cnt), "
+    "c AS (SELECT threshold, pos, neg, sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tp, "
+    "sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fp, "
+    "lead(pos) OVER (ORDER BY threshold DESC) AS npos, lead(neg) OVER (ORDER BY threshold DESC) AS nneg, "
+    "row_number() OVER (ORDER BY threshold DESC) AS rn FROM cnt) "
+    "SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr UNION ALL "
+    "SELECT threshold, round(fp / t.n, 6) AS fpr, round(tp / t.p, 6) AS tpr FROM c, t "
+    "WHERE rn = 1 OR npos IS NULL OR NOT (npos = pos AND nneg = neg)"))
+def q_roc_curve_drop_intermediate(spark, root):
+    return r6(clf.roc_curve(_scored(spark, root, "n_parts", 1.5), drop_intermediate=True))
+
+
 def _auc_sql(sc_sql: str) -> str:
     return (f", sc AS ({sc_sql}), {_SC_COUNTS}, "
             "c AS (SELECT pos, neg, sum(neg) OVER (ORDER BY threshold ROWS UNBOUNDED PRECEDING) - neg AS below FROM cnt) "
@@ -234,13 +248,14 @@ def q_compare_models(spark, root):
 def _fitted_classifiers(spark, root):
     def build():
         sp, feats = _clf_split(spark, root)
-        sp = sp.cache()
+        sp = fe.size_partitions(sp.cache()).cache()
         train = sp.where(~F.col("is_test"))
-        models = {
-            "Decision Tree": clf.fit_decision_tree(train, feats, "target_flag", seed=SEED),
-            "Random Forest": clf.fit_random_forest(train, feats, "target_flag", seed=SEED),
-            "Gradient Boosting": clf.fit_gbt(train, feats, "target_flag", seed=SEED),
+        fits = {
+            "Decision Tree": lambda: clf.fit_decision_tree(train, feats, "target_flag", seed=SEED),
+            "Random Forest": lambda: clf.fit_random_forest(train, feats, "target_flag", seed=SEED),
+            "Gradient Boosting": lambda: clf.fit_gbt(train, feats, "target_flag", seed=SEED),
         }
+        models = dict(zip(fits, cl.run_parallel(list(fits.values()), 3)))
         return sp, feats, models
     return _memo(("clf", root), build)
 
@@ -325,7 +340,7 @@ def _reg_frames(spark, root):
         sp = fe.random_split(p, "id", 0.2, SEED)
         # Statistics from the training rows only (the reference fitted them on all rows).
         stats = fe.fit_zscore(sp.where(~F.col("is_test")), feats)
-        z = fe.apply_zscore(sp, stats).cache()
+        z = fe.size_partitions(fe.apply_zscore(sp, stats).cache()).cache()
         return z, feats
     return _memo(("reg", root), build)
 
@@ -384,7 +399,7 @@ def _cluster_frame(spark, root):
     def build():
         p = profile(spark, root)
         p = fill_nulls(p, CLUSTER_COLS, 0)
-        return fe.zscore(p, CLUSTER_COLS).select("id", *CLUSTER_COLS).cache()
+        return fe.size_partitions(fe.zscore(p, CLUSTER_COLS).select("id", *CLUSTER_COLS).cache()).cache()
     return _memo(("clu", root), build)
 
 
