@@ -33,6 +33,12 @@ _cache: dict = {}
 
 
 def _memo(key, fn):
+    """Per-session memo for fitted models and cached training frames (several
+    queries share one fit); keyed by the application so a new session never
+    sees frames of a stopped one."""
+    from pyspark.sql import SparkSession
+    active = SparkSession.getActiveSession()
+    key = (active.sparkContext.applicationId if active else None,) + tuple(key)
     if key not in _cache:
         _cache[key] = fn()
     return _cache[key]
@@ -348,8 +354,8 @@ def _reg_frames(spark, root):
 def _fit_one(spark, root, name):
     z, feats = _reg_frames(spark, root)
     train, test = z.where(~F.col("is_test")), z.where(F.col("is_test"))
-    table, fitted = rg.fit_targets(train, test, feats, REG_TARGETS, {name: rg.DEFAULT_MODELS[name]})
-    _cache[("reg_models", root, name)] = fitted
+    table, fitted = _memo(("reg_models", root, name), lambda: rg.fit_targets(
+        train, test, feats, REG_TARGETS, {name: rg.DEFAULT_MODELS[name]}))
     return r6(table.drop("is_best"), {"mae": 4, "rmse": 4})
 
 
@@ -375,9 +381,10 @@ def q_fit_gbt_regressor(spark, root):
 
 @query("regression_importance")
 def q_regression_importance(spark, root):
-    if ("reg_models", root, "Random Forest") not in _cache:
-        _fit_one(spark, root, "Random Forest")
-    fitted = _cache[("reg_models", root, "Random Forest")]
+    z, feats = _reg_frames(spark, root)
+    train, test = z.where(~F.col("is_test")), z.where(F.col("is_test"))
+    _, fitted = _memo(("reg_models", root, "Random Forest"), lambda: rg.fit_targets(
+        train, test, feats, REG_TARGETS, {"Random Forest": rg.DEFAULT_MODELS["Random Forest"]}))
     return r6(rg.regression_importance({t: m["Random Forest"] for t, m in fitted.items()}, 15))
 
 

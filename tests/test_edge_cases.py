@@ -155,3 +155,19 @@ def test_band_and_prefix_rules(spark):
     names = spark.createDataFrame([("Eng_x",), ("Derived_y",), ("Q1",)], "f string")
     kinds = [r.k for r in names.select(clf.classify_by_prefix("f", clf.PROVENANCE_RULES, "Survey Item").alias("k")).collect()]
     assert kinds == ["Engineered", "Derived Composite", "Survey Item"]
+
+
+def test_ordered_cumsum_across_ranges(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    vals = rng.choice(10_000, size=2_000, replace=False).astype(float)
+    w = rng.integers(0, 5, size=2_000)
+    df = spark.createDataFrame([(float(v), int(x)) for v, x in zip(vals, w)], "v double, w long")
+    for desc in (False, True):
+        got = {r.v: (r.w_cum, r.next_w) for r in
+               rk.ordered_cumsum(df, "v", ["w"], descending=desc, n_ranges=7, next_cols=["w"]).collect()}
+        order = np.argsort(-vals if desc else vals)
+        cum = np.cumsum(w[order])
+        for pos, i in enumerate(order):
+            nxt = int(w[order[pos + 1]]) if pos + 1 < len(order) else None
+            assert got[vals[i]] == (int(cum[pos]), nxt)
