@@ -274,6 +274,16 @@ def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = "index",
     return out.drop("__row_total", "__grand").orderBy(row, col)
 
 
+def crosstab_wide(df: DataFrame, row: str, col: str, values: Sequence, normalize: str | None = "index",
+                  scale: float = 100.0) -> DataFrame:
+    """The matrix form of :func:`crosstab`: one row per row label, one column
+    per (known) column label, zero-filled; percentages when normalised."""
+    long = crosstab(df, row, col, normalize=normalize, scale=scale, values=values)
+    metric = "pct" if normalize else "n"
+    wide = long.groupBy(row).pivot(col, list(values)).agg(F.first(metric))
+    return wide.na.fill(0).orderBy(row)
+
+
 def _lit(v) -> str:
     if isinstance(v, str):
         return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -19,7 +19,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.features import split_hash, to_array
@@ -86,7 +86,10 @@ def k_sweep(df: DataFrame, features: str | Sequence[str], ks: Sequence[int] = ra
         return (int(k), float(cost), None if sil is None else float(sil))
 
     rows = run_parallel([lambda k=k: one(k) for k in ks], 2)
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    out = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    # Best k by silhouette (ties -> smaller k); the table has one row per k.
+    w = Window.orderBy(F.col("silhouette").desc_nulls_last(), F.col("k"))
+    return out.withColumn("is_best", F.row_number().over(w) == 1).orderBy("k")
 
 
 # I3

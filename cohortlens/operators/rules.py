@@ -203,6 +203,19 @@ def filter_rules(rules: DataFrame, min_support: float | None = 0.10, min_confide
     return rules.where(cond)
 
 
+def rule_counts(rules: DataFrame, min_support: float | None = 0.10, min_confidence: float | None = 0.55,
+                min_lift: float | None = 1.10) -> DataFrame:
+    """One row: all rules and those passing the thresholds, from one scan."""
+    cond = F.lit(True)
+    if min_support is not None:
+        cond = cond & (F.col("support") >= min_support)
+    if min_confidence is not None:
+        cond = cond & (F.col("confidence") >= min_confidence)
+    if min_lift is not None:
+        cond = cond & (F.col("lift") >= min_lift)
+    return rules.agg(F.count(F.lit(1)).alias("total_rules"), F.count_if(cond).alias("filtered_rules"))
+
+
 def with_display(rules: DataFrame, sep: str = ", ") -> DataFrame:
     """Add ``antecedents_str`` / ``consequents_str`` (sorted, joined)."""
     return rules.withColumns({"antecedents_str": F.array_join(F.array_sort("antecedents"), sep),

@@ -253,7 +253,8 @@ def q_compare_models(spark, root):
 
 def _fitted_classifiers(spark, root):
     def build():
-        sp, feats = _clf_split(spark, root)
+        p, feats = _clf_frame(spark, root)
+        sp = fe.stratified_split(p.cache(), "id", "target_flag", 0.2, SEED)
         sp = fe.size_partitions(sp.cache()).cache()
         train = sp.where(~F.col("is_test"))
         fits = {
@@ -342,7 +343,8 @@ def _reg_frames(spark, root):
     def build():
         p = profile(spark, root)
         feats = numeric_features(p, exclude=REG_LEAKAGE)
-        p = fill_nulls(p, feats, 0)
+        # Split, scaler fit and sizing each read the frame: compute the joins once.
+        p = fill_nulls(p, feats, 0).cache()
         sp = fe.random_split(p, "id", 0.2, SEED)
         # Statistics from the training rows only (the reference fitted them on all rows).
         stats = fe.fit_zscore(sp.where(~F.col("is_test")), feats)
@@ -404,8 +406,7 @@ CLUSTER_COLS = ["balance", "n_orders", "avg_price", "qty", "avg_discount", "n_pa
 
 def _cluster_frame(spark, root):
     def build():
-        p = profile(spark, root)
-        p = fill_nulls(p, CLUSTER_COLS, 0)
+        p = fill_nulls(profile(spark, root), CLUSTER_COLS, 0).cache()
         return fe.size_partitions(fe.zscore(p, CLUSTER_COLS).select("id", *CLUSTER_COLS).cache()).cache()
     return _memo(("clu", root), build)
 

@@ -114,3 +114,10 @@ def q_rules_csv_roundtrip(spark, root):
     top = ar.top_rules(ar.filter_rules(_rules(spark, root), **FILTER), 20)
     path = io.write_csv(top, scratch_path(spark, "top-rules-csv"))
     return r6(io.read_csv(spark, path, schema=top.schema))
+
+
+@query("rule_counts", sql=with_basket(
+    _RULES_SQL + " SELECT count(*) AS total_rules, count(*) FILTER (WHERE support >= 0.10 AND confidence >= 0.55 "
+    "AND lift >= 1.10) AS filtered_rules FROM rl", long=True))
+def q_rule_counts(spark, root):
+    return ar.rule_counts(_rules(spark, root), **FILTER)

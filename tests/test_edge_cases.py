@@ -171,3 +171,9 @@ def test_ordered_cumsum_across_ranges(spark):
         for pos, i in enumerate(order):
             nxt = int(w[order[pos + 1]]) if pos + 1 < len(order) else None
             assert got[vals[i]] == (int(cum[pos]), nxt)
+
+
+def test_crosstab_wide_zero_fills(spark):
+    df = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "a")], "r string, c string")
+    rows = {r.r: (r.a, r.b) for r in agg.crosstab_wide(df, "r", "c", ["a", "b"]).collect()}
+    assert rows == {"x": (50.0, 50.0), "y": (100.0, 0.0)}
