@@ -208,9 +208,10 @@ def name_segments(df: DataFrame, key: str, rank_cols: Sequence[str], rules: Sequ
     for label, cond in rules:
         name = F.when(F.expr(cond), F.lit(label)) if name is None else name.when(F.expr(cond), F.lit(label))
     name = F.lit(default) if name is None else name.otherwise(F.lit(default))
-    names = ranked.select(key, name.alias(out))
-    # One row per group: the groups were counted by the profile above.
-    return df.join(F.broadcast(names), key, "left")
+    names = ranked.select(key, name.alias(out)).cache()
+    # One row per group (segments/clusters): broadcast once the count is known small.
+    n_groups = names.count()
+    return df.join(F.broadcast(names) if n_groups <= _K_LIMIT else names, key, "left")
 
 
 # I7

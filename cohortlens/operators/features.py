@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _HASH_DIGITS = 4
+# Quota and boundary tables have one row per stratum; they are broadcast,
+# so the number of strata is checked against this bound first.
+_MAX_STRATA = 100_000
 
 
 # F1
@@ -82,7 +85,10 @@ def stratified_split(df: DataFrame, key: str, label: str | None, test: float = 0
         "__b", F.conv(F.substring("__h", 1, _HASH_DIGITS), 16, 10).cast("int"))
     bc = work.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__c"))
     # Strata are the label classes: a handful of rows reach the driver.
-    counts = {r["__s"]: r["c"] for r in bc.groupBy("__s").agg(F.sum("__c").alias("c")).collect()}
+    counts = {r["__s"]: r["c"] for r in
+              bc.groupBy("__s").agg(F.sum("__c").alias("c")).limit(_MAX_STRATA + 1).collect()}
+    if len(counts) > _MAX_STRATA:
+        raise ValueError(f"more than {_MAX_STRATA} strata: stratify on a class label, not a key")
     if not counts:
         return base.withColumn(out, F.lit(False))
     quotas = _quotas(counts, test)
