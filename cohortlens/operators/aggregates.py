@@ -140,7 +140,8 @@ def group_means_ordered(df: DataFrame, key: str, col: str, order: Sequence, keep
     data give a NULL row (``keep_missing``) or are dropped; labels outside
     the order are dropped."""
     spark = df.sparkSession
-    ord_df = spark.createDataFrame([(v, i) for i, v in enumerate(order)], [key, pos_col])
+    ord_df = spark.createDataFrame([(v, i) for i, v in enumerate(order)], [key, pos_col]).select(
+        F.col(key).cast(df.schema[key].dataType), F.col(pos_col).cast("int"))
     agg = df.groupBy(key).agg(F.avg(col).alias(out))
     # The order table is a parameter list (driver data of known size).
     how = "left" if keep_missing else "inner"

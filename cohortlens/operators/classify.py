@@ -184,7 +184,8 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
                      labels: Sequence = (0, 1)) -> DataFrame:
     """(actual, predicted, n) for every label pair; empty cells give 0."""
     spark = pred.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], ["actual", "predicted"])
+    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], ["actual", "predicted"]).select(
+        F.col("actual").cast(pred.schema[label].dataType), F.col("predicted").cast(pred.schema[prediction].dataType))
     counts = pred.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
     # The grid is |labels|^2 rows of driver data.

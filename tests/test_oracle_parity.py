@@ -10,6 +10,7 @@ from conftest import SF_SMALL
 import __spark_entry__ as entry
 from cohortlens.sources.io import TABLES
 
+_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 ORACLE = entry.oracle_sql()
 QUERIES = entry.queries()
 
@@ -47,6 +48,9 @@ def test_matches_oracle(spark, con, name):
     srows = [tuple(r) for r in sdf.collect()]
     res = con.sql(ORACLE[name])
     assert sorted(sdf.columns) == sorted(res.columns)
+    spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    duck_types = {c: str(t) for c, t in zip(res.columns, res.types)}
+    assert spark_types == duck_types
     drows = res.fetchall()
     assert len(srows) == len(drows)
     assert _rows(sdf.columns, srows) == _rows(res.columns, drows)
