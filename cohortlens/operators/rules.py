@@ -4,8 +4,9 @@ Level-wise Apriori written as DataFrame joins:
 
 * identical baskets are collapsed first to ``(items, weight)``; survey-style
   0/1 matrices have far fewer distinct patterns than rows, and every later
-  step works on patterns, not rows. The pattern table is checkpointed so
-  later levels neither recompute the input scan nor depend on lost executors;
+  step works on patterns, not rows. The pattern table and each level's
+  extension table are checkpointed so later levels neither recompute the
+  input scan nor depend on lost executors (small derived tables are cached);
 * level 1 counts items; baskets keep only frequent items;
 * level k extends each basket's frequent (k-1)-itemsets by one larger item
   of the same basket and equi-joins the result to the candidate table (joins
@@ -39,6 +40,15 @@ from cohortlens.session import scratch_dir
 _BROADCAST_ROWS = 2_000_000
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint computed once: an un-persisted plan would be
+    evaluated twice (once to count, once to write the checkpoint files)."""
+    cached = df.cache()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
 def _maybe_broadcast(df: DataFrame, bound_rows: int) -> DataFrame:
     return F.broadcast(df) if bound_rows <= _BROADCAST_ROWS else df
 
@@ -70,7 +80,7 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.10, max_len: in
     patterns = (baskets.select(F.array_sort(F.array_distinct(F.col(items_col))).alias("items"))
                 .groupBy("items").agg(F.count(F.lit(1)).alias("w")))
     if checkpoint:
-        patterns = patterns.checkpoint(eager=True)
+        patterns = _materialise(patterns)
     n = patterns.agg(F.sum("w")).first()[0] or 0
     if n == 0:
         return spark.createDataFrame([], "itemset array<string>, size int, count long, support double")
@@ -92,8 +102,9 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.10, max_len: in
     allowed = F.array(*[F.lit(x) for x in freq_items])
     kept = (patterns.select(F.filter("items", lambda x: F.array_contains(allowed, x)).alias("items"), "w")
             .where(F.size("items") >= 2).groupBy("items").agg(F.sum("w").alias("w")))
-    if checkpoint:
-        kept = kept.checkpoint(eager=True)
+    # One filter + regroup away from the checkpointed patterns: caching is
+    # enough (lost blocks recompute from the checkpoint).
+    kept = kept.cache()
     # Per-pattern frequent itemsets of the current level: (items, w, itemset).
     carried = kept.select("items", "w", F.explode("items").alias("x")).select(
         "items", "w", F.array("x").alias("itemset"))
@@ -110,10 +121,8 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.10, max_len: in
         ext = ext.join(_maybe_broadcast(cands, bound), "itemset", "left_semi")
         if checkpoint:
             # Used twice (counts and next level); materialise once, cut lineage.
-            ext = ext.checkpoint(eager=True)
-        lk = frequent(ext.groupBy("itemset").agg(F.sum("w").alias("count")))
-        if checkpoint:
-            lk = lk.checkpoint(eager=True)
+            ext = _materialise(ext)
+        lk = frequent(ext.groupBy("itemset").agg(F.sum("w").alias("count"))).cache()
         if lk.isEmpty():
             break
         levels.append(lk.select("itemset", F.lit(k).alias("size"), "count"))
