@@ -130,15 +130,18 @@ def fit_decision_tree(train: DataFrame, features: Sequence[str], label: str, max
     """Depth 7, at least 10 rows per leaf (which implies the reference's
     minimum of 20 rows to split)."""
     est = DecisionTreeClassifier(labelCol=label, featuresCol="features", maxDepth=max_depth,
-                                 minInstancesPerNode=min_leaf, maxBins=max_bins, seed=seed)
+                                 minInstancesPerNode=min_leaf, maxBins=max_bins, seed=seed,
+                                 cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
     return _pipeline(features, est).fit(train)
 
 
 def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, n_trees: int = 200,
                       max_depth: int = 10, min_leaf: int = 5, seed: int = 42, max_bins: int = 64) -> PipelineModel:
+    # Deep trees: node ids cached per row (trees are not shipped to executors
+    # each level), checkpointed every 10 levels; larger histogram memory.
     est = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=n_trees, maxDepth=max_depth,
                                  minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
-                                 maxBins=max_bins)
+                                 maxBins=max_bins, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
     return _pipeline(features, est).fit(train)
 
 

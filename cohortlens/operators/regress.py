@@ -50,7 +50,8 @@ def fit_rf_regressor(train: DataFrame, features: Sequence[str], label: str, n_tr
                      max_depth: int = 8, seed: int = 42, max_bins: int = 64) -> PipelineModel:
     """All features considered at each split (MLlib's default would use a third)."""
     est = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=n_trees, maxDepth=max_depth,
-                                featureSubsetStrategy="all", seed=seed, maxBins=max_bins)
+                                featureSubsetStrategy="all", seed=seed, maxBins=max_bins,
+                                cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
     return _pipeline(features, est).fit(train)
 
 
