@@ -411,10 +411,15 @@ def _cluster_frame(spark, root):
     return _memo(("clu", root), build)
 
 
+def _kmeans5(spark, root):
+    z = _cluster_frame(spark, root)
+    return _memo(("km5", root), lambda: cl.kmeans(z, CLUSTER_COLS, k=5, n_init=20, seed=SEED))
+
+
 @query("kmeans")
 def q_kmeans(spark, root):
     z = _cluster_frame(spark, root)
-    model, cost, costs = cl.kmeans(z, CLUSTER_COLS, k=5, n_init=20, seed=SEED)
+    model, cost, costs = _kmeans5(spark, root)
     lab = cl.assign(model, z, CLUSTER_COLS, "cluster")
     sizes = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     return sizes.withColumn("best_cost", F.round(F.lit(cost), 4)).withColumn(
@@ -427,6 +432,21 @@ def q_k_sweep(spark, root):
     return r6(cl.k_sweep(z, CLUSTER_COLS, range(2, 9), n_init=10, seed=SEED, sample=500, key="id"))
 
 
+@query("cluster_segments")
+def q_cluster_segments(spark, root):
+    """The reference flow: k-means (k=5, best of 20) on z-scored features,
+    clusters named by rank rules over their profile, then the named-segment
+    profile on the original (unscaled) columns."""
+    z = _cluster_frame(spark, root)
+    model, _, _ = _kmeans5(spark, root)
+    labelled = cl.assign(model, z, CLUSTER_COLS, "cluster").select("id", "cluster")
+    raw = profile(spark, root).join(labelled, "id")
+    named = cl.name_segments(raw, "cluster", RANK_COLS, NAME_RULES, NAME_DEFAULT)
+    return r6(cl.segment_profile(named, "segment_name", {
+        "n": ("id", "count"), "amount": ("target_amount", "mean"), "discount": ("avg_discount", "mean"),
+        "balance": ("balance", "mean"), "score": ("score_1_10", "mean")}), {"amount": 4})
+
+
 @query("pca")
 def q_pca(spark, root):
     z = _cluster_frame(spark, root)
