@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.quantiles import exact_quantiles
+from cohortlens.operators.quantiles import one_row, summarize
 
 _PIVOT_LIMIT = 1000
 
@@ -52,10 +52,17 @@ def kpis(df: DataFrame, specs: Sequence[tuple[str, str, str]]) -> DataFrame:
             medians.append((out, col))
         else:
             raise ValueError(f"unknown KPI kind {kind}")
-    res = df.agg(*simple) if simple else df.limit(0).agg(F.count(F.lit(1)).alias("__d")).drop("__d")
-    if medians:
-        q = exact_quantiles(df, [c for _, c in medians], [0.5])
-        res = res.withColumns({out: F.lit(q[c][0]).cast("double") for out, c in medians})
+    if not medians:
+        return df.agg(*simple).select(*[o for o, _, _ in specs])
+    # Medians need passes of their own; the plain aggregates ride on the
+    # first of them, so the input is read once.
+    inputs = [c for _, kind, c in specs if kind != "median"]
+    if not all(isinstance(c, str) for c in inputs):
+        inputs = df.columns  # expressions: their inputs are not known here
+    st, q = summarize(df, [c for _, c in medians], [0.5], simple, inputs)
+    res = one_row(df.agg(*simple), st, [o for o, kind, _ in specs if kind != "median"]) if simple \
+        else df.sparkSession.range(1).drop("id")
+    res = res.withColumns({out: F.lit(q[c][0]).cast("double") for out, c in medians})
     return res.select(*[o for o, _, _ in specs])
 
 
@@ -198,9 +205,13 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int | None = None, appr
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
         if approx:
             aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"{c}__q"))
-    wide = df.agg(*aggs)
-    if not approx:
-        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    if approx:
+        wide = df.agg(*aggs)
+    else:
+        # One pass for the plain statistics and the counts, one window job
+        # for the quartiles of every column; the result is a computed table.
+        st, q = summarize(df, cols, [0.25, 0.5, 0.75], aggs, cols)
+        wide = one_row(df.agg(*aggs), st, [f"{c}__{k}" for c in cols for k in ("count", "mean", "std", "min", "max")])
         wide = wide.withColumns({f"{c}__q": F.array(*[F.lit(v).cast("double") for v in q[c]]) for c in cols})
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                         F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),

@@ -15,9 +15,11 @@ import math
 from collections.abc import Sequence
 from fractions import Fraction
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _HASH_DIGITS = 4
 # Quota and boundary tables have one row per stratum; they are broadcast,
@@ -83,23 +85,34 @@ def stratified_split(df: DataFrame, key: str, label: str | None, test: float = 0
     h = split_hash(key, seed)
     work = base.withColumn("__s", strat).withColumn("__h", h).withColumn(
         "__b", F.conv(F.substring("__h", 1, _HASH_DIGITS), 16, 10).cast("int"))
-    bc = work.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__c"))
-    # Strata are the label classes: a handful of rows reach the driver.
-    counts = {r["__s"]: r["c"] for r in
-              bc.groupBy("__s").agg(F.sum("__c").alias("c")).limit(_MAX_STRATA + 1).collect()}
-    if len(counts) > _MAX_STRATA:
-        raise ValueError(f"more than {_MAX_STRATA} strata: stratify on a class label, not a key")
-    if not counts:
-        return base.withColumn(out, F.lit(False))
-    quotas = _quotas(counts, test)
-    spark = df.sparkSession
-    qdf = spark.createDataFrame([(s, q) for s, q in quotas.items()], ["__s", "__q"])
-    w = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = bc.join(F.broadcast(qdf), "__s").withColumn("__hi", F.sum("__c").over(w)).withColumn(
-        "__lo", F.col("__hi") - F.col("__c"))
-    # Per stratum: the bucket holding the quota boundary, and rows before it.
-    bounds = cum.where((F.col("__lo") < F.col("__q")) & (F.col("__hi") >= F.col("__q"))).select(
-        "__s", F.col("__b").alias("__bb"), F.col("__lo").alias("__before"), "__q")
+    # (stratum, bucket) counts: at most 65,536 rows per stratum. Persisted
+    # for the two small passes below, then released; the input is not
+    # evaluated again for them.
+    bc = work.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__c")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # Strata are the label classes: a handful of rows reach the driver.
+        counts = {r["__s"]: r["c"] for r in
+                  bc.groupBy("__s").agg(F.sum("__c").alias("c")).limit(_MAX_STRATA + 1).collect()}
+        if len(counts) > _MAX_STRATA:
+            raise ValueError(f"more than {_MAX_STRATA} strata: stratify on a class label, not a key")
+        if not counts:
+            return base.withColumn(out, F.lit(False))
+        quotas = _quotas(counts, test)
+        spark = df.sparkSession
+        qdf = spark.createDataFrame([(s, q) for s, q in quotas.items()],
+                                    T.StructType([bc.schema["__s"], T.StructField("__q", T.LongType())]))
+        w = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+        cum = bc.join(F.broadcast(qdf), "__s").withColumn("__hi", F.sum("__c").over(w)).withColumn(
+            "__lo", F.col("__hi") - F.col("__c"))
+        # Per stratum: the bucket holding the quota boundary, and rows before
+        # it (one row per stratum with a non-zero quota).
+        brows = cum.where((F.col("__lo") < F.col("__q")) & (F.col("__hi") >= F.col("__q"))).select(
+            "__s", F.col("__b").alias("__bb"), F.col("__lo").alias("__before"), "__q").collect()
+        bounds = spark.createDataFrame([tuple(r) for r in brows], T.StructType([
+            bc.schema["__s"], T.StructField("__bb", T.IntegerType()), T.StructField("__before", T.LongType()),
+            T.StructField("__q", T.LongType())]))
+    finally:
+        bc.unpersist()
     j = work.join(F.broadcast(bounds), "__s", "left")
     decided = j.where(F.col("__bb").isNull() | (F.col("__b") != F.col("__bb"))).withColumn(
         out, F.coalesce(F.col("__b") < F.col("__bb"), F.lit(False)))

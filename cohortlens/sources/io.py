@@ -17,9 +17,25 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
+_SCHEMAS: dict = {}
+
+
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """Read ``{root}/{name}.{fmt}``."""
-    return spark.read.format(fmt).load(f"{root.rstrip('/')}/{name}.{fmt}")
+    """Read ``{root}/{name}.{fmt}``.
+
+    Parquet/ORC schema inference runs a footer-reading job on every load;
+    the schema of a table is read once per application and then passed
+    explicitly, so building a plan starts no job."""
+    path = f"{root.rstrip('/')}/{name}.{fmt}"
+    if fmt not in ("parquet", "orc"):
+        return spark.read.format(fmt).load(path)
+    key = (spark.sparkContext.applicationId, fmt, path)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.format(fmt).load(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.format(fmt).schema(schema).load(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
