@@ -4,9 +4,9 @@ Level-wise Apriori written as DataFrame joins:
 
 * identical baskets are collapsed first to ``(items, weight)``; survey-style
   0/1 matrices have far fewer distinct patterns than rows, and every later
-  step works on patterns, not rows. The pattern table and each level's
-  extension table are checkpointed so later levels neither recompute the
-  input scan nor depend on lost executors (small derived tables are cached);
+  step works on patterns, not rows. The pattern table is checkpointed so
+  later levels never recompute the input scan; each level's extension table
+  is persisted (and checkpointed every few levels, so lineage stays short);
 * level 1 counts items; baskets keep only frequent items;
 * level k extends each basket's frequent (k-1)-itemsets by one larger item
   of the same basket and equi-joins the result to the candidate table (joins
@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,9 @@ from cohortlens.session import scratch_dir
 # Above this many rows a bounded table is left to the planner (AQE still
 # broadcasts at run time when the measured size is small).
 _BROADCAST_ROWS = 2_000_000
+_CHECKPOINT_EVERY = 4
+# A level bounded by this many itemsets returns to the driver as a local table.
+_LOCAL_ROWS = 100_000
 
 
 def _materialise(df: DataFrame) -> DataFrame:
@@ -81,20 +85,25 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.10, max_len: in
                 .groupBy("items").agg(F.count(F.lit(1)).alias("w")))
     if checkpoint:
         patterns = _materialise(patterns)
-    n = patterns.agg(F.sum("w")).first()[0] or 0
+    # One job: item counts plus the basket total (the NULL item carries every
+    # basket's weight, empty baskets included). Rows: item columns + 1.
+    tallies = (patterns.select(F.explode(F.concat("items", F.array(F.lit(None).cast("string")))).alias("item"), "w")
+               .groupBy("item").agg(F.sum("w").alias("count")).collect())
+    n = sum(r["count"] for r in tallies if r["item"] is None)
     if n == 0:
         return spark.createDataFrame([], "itemset array<string>, size int, count long, support double")
+    l1_rows = sorted((r["item"], r["count"]) for r in tallies
+                     if r["item"] is not None and r["count"] / float(n) >= min_support)
+    freq_items = [i for i, _ in l1_rows]
+    m = len(freq_items)
+    if n_items_bound is not None and m > n_items_bound:
+        raise ValueError("more frequent items than item columns")
+    # At most one row per item column: a local table.
+    l1 = spark.createDataFrame(l1_rows, "item string, count long")
 
     def frequent(counts: DataFrame) -> DataFrame:
         return counts.where(F.col("count") / F.lit(float(n)) >= F.lit(min_support))
 
-    l1 = frequent(patterns.select(F.explode("items").alias("item"), "w")
-                  .groupBy("item").agg(F.sum("w").alias("count")))
-    # The frequent items are at most the number of item columns.
-    freq_items = sorted(r["item"] for r in l1.select("item").collect())
-    m = len(freq_items)
-    if n_items_bound is not None and m > n_items_bound:
-        raise ValueError("more frequent items than item columns")
     levels = [l1.select(F.array("item").alias("itemset"), F.lit(1).alias("size"), "count")]
     if m < 2 or (max_len is not None and max_len < 2):
         return _finish(levels, n)
@@ -109,6 +118,7 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.10, max_len: in
     carried = kept.select("items", "w", F.explode("items").alias("x")).select(
         "items", "w", F.array("x").alias("itemset"))
     prev = levels[0].select("itemset")
+    held: list[DataFrame] = []
     k = 2
     top = max_len if max_len is not None else m
     while k <= top:
@@ -119,16 +129,36 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.10, max_len: in
                              .alias("x"))
         ext = ext.select("items", "w", F.concat("itemset", F.array("x")).alias("itemset"))
         ext = ext.join(_maybe_broadcast(cands, bound), "itemset", "left_semi")
-        if checkpoint:
+        if bound <= _LOCAL_ROWS:
+            # The level has at most C(m, k) <= _LOCAL_ROWS rows: it comes
+            # back as a local table, so later plans stay shallow. ``ext`` is
+            # persisted for the next level, and every _CHECKPOINT_EVERY
+            # levels reliably checkpointed so lineage stays short.
+            if checkpoint and (k - 1) % _CHECKPOINT_EVERY == 0:
+                ext = _materialise(ext)
+            else:
+                ext = ext.persist(StorageLevel.MEMORY_AND_DISK)
+            rows = frequent(ext.groupBy("itemset").agg(F.sum("w").alias("count"))).collect()
+            lk = spark.createDataFrame([(list(r["itemset"]), r["count"]) for r in rows],
+                                       "itemset array<string>, count long")
+            empty = not rows
+        else:
             # Used twice (counts and next level); materialise once, cut lineage.
-            ext = _materialise(ext)
-        lk = frequent(ext.groupBy("itemset").agg(F.sum("w").alias("count"))).cache()
-        if lk.isEmpty():
+            if checkpoint:
+                ext = _materialise(ext)
+            lk = frequent(ext.groupBy("itemset").agg(F.sum("w").alias("count"))).cache()
+            empty = lk.isEmpty()
+        for old in held:
+            old.unpersist()
+        held = [ext] if ext.storageLevel.useMemory or ext.storageLevel.useDisk else []
+        if empty:
             break
         levels.append(lk.select("itemset", F.lit(k).alias("size"), "count"))
         carried = ext.join(_maybe_broadcast(lk.select("itemset"), bound), "itemset", "left_semi")
         prev = lk.select("itemset")
         k += 1
+    for old in held:
+        old.unpersist()
     return _finish(levels, n)
 
 
