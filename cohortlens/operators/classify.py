@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        RandomForestClassifier)
@@ -230,12 +231,19 @@ def roc_curve(pred: DataFrame, score: str = "score", label: str = "label", posit
 def roc_auc(pred: DataFrame, score: str = "score", label: str = "label", positive=1) -> DataFrame:
     """Area under the ROC curve (ties count one half), i.e. the Mann-Whitney
     statistic from per-score counts; NULL when a class is absent."""
-    sc = _score_counts(pred, score, label, positive)
-    cum = ordered_cumsum(sc, "threshold", ["neg"], descending=False)
-    # neg_cum - neg = negatives strictly below this score.
-    part = cum.agg(F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") + 0.5 * F.col("neg"))).alias("u"),
-                   F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return part.select((F.col("u") / F.nullif(F.col("P") * F.col("N"), F.lit(0))).alias("auc"))
+    # One row per distinct score, persisted: the range splitters and the
+    # running sums both read it, so the predictions (often a costly model
+    # transform) are evaluated once. The answer is one number.
+    sc = _score_counts(pred, score, label, positive).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cum = ordered_cumsum(sc, "threshold", ["neg"], descending=False)
+        # neg_cum - neg = negatives strictly below this score.
+        part = cum.agg(F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") + 0.5 * F.col("neg"))).alias("u"),
+                       F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+        row = part.select((F.col("u") / F.nullif(F.col("P") * F.col("N"), F.lit(0))).alias("auc")).first()
+    finally:
+        sc.unpersist()
+    return pred.sparkSession.range(1).select(F.lit(row["auc"]).cast("double").alias("auc"))
 
 
 # G11-G12 -------------------------------------------------------------------
