@@ -267,14 +267,16 @@ def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = "index",
     wide = base.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).na.fill(0)
     names = [str(v) for v in values]
     tot = sum((F.col(_q(n)) for n in names), F.lit(0))
-    grand = F.sum(tot).over(Window.partitionBy())  # over the pivoted rows only
     stack = ", ".join(f"{_lit(v)}, {_q(n)}" for v, n in zip(values, names))
-    long = wide.withColumn("__row_total", tot).withColumn("__grand", grand).selectExpr(
-        row, "__row_total", "__grand", f"stack({len(names)}, {stack}) as ({col}, n)")
+    long = wide.withColumn("__row_total", tot).selectExpr(
+        row, "__row_total", f"stack({len(names)}, {stack}) as ({col}, n)")
     if normalize == "index":
         den = F.col("__row_total")
     elif normalize == "all":
-        den = F.col("__grand")
+        # Cells counted in the table (labels in ``values``): one aggregate,
+        # one number, instead of a window that gathers every row in one task.
+        grand = base.where(F.col(col).isin(list(values))).agg(F.count(F.lit(1))).first()[0]
+        den = F.lit(grand)
     elif normalize == "columns":
         den = F.sum("n").over(Window.partitionBy(col))
     else:
@@ -283,7 +285,7 @@ def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = "index",
     if den is not None:
         pct = F.lit(scale) * F.col("n") / F.nullif(den, F.lit(0))
         out = out.withColumn("pct", F.round(pct, digits) if digits is not None else pct)
-    return out.drop("__row_total", "__grand").orderBy(row, col)
+    return out.drop("__row_total").orderBy(row, col)
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, values: Sequence, normalize: str | None = "index",

@@ -82,3 +82,20 @@ def test_apriori_matches_brute_force(spark):
             if c / len(baskets) >= 0.3:
                 want[combo] = (k, c)
     assert _as_dict(ar.frequent_itemsets(b, 0.3, 3)) == want
+
+
+def test_crosstab_normalisations(spark):
+    rows = [("x", "a")] * 3 + [("x", "b")] + [("y", "a")] * 2 + [("y", "c")] * 4 + [(None, "a"), ("y", None)]
+    df = spark.createDataFrame(rows, "r string, c string")
+
+    def cells(norm, values=None):
+        return {(t.r, t.c): (t.n, t.pct) for t in agg.crosstab(df, "r", "c", normalize=norm, values=values).collect()}
+
+    idx = cells("index")
+    assert idx[("x", "a")] == (3, pytest.approx(75.0)) and idx[("x", "c")] == (0, pytest.approx(0.0))
+    allc = cells("all")
+    assert allc[("y", "c")] == (4, pytest.approx(40.0)) and sum(v[1] for v in allc.values()) == pytest.approx(100.0)
+    # Only cells of the listed labels count towards the grand total.
+    assert cells("all", ["a", "b"])[("x", "a")] == (3, pytest.approx(50.0))
+    col = cells("columns")
+    assert col[("y", "a")] == (2, pytest.approx(40.0)) and col[("y", "c")] == (4, pytest.approx(100.0))
