@@ -104,11 +104,10 @@ def frequency_pct(df: DataFrame, col: str, base: str = "all", digits: int | None
     """C4 plus percentage. ``base='all'`` divides by every row (NULL rows
     included); ``base='non_null'`` by the counted rows only."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias(count_col))
-    w = Window.partitionBy()  # over the grouped result: one row per distinct value
-    if base == "all":
-        den = F.sum(count_col).over(w)
-    else:
-        den = F.sum(F.when(F.col(col).isNotNull(), F.col(count_col))).over(w)
+    # The denominator is a scalar subquery (one aggregate, read as a
+    # constant), not a window that would gather every distinct value in one
+    # task.
+    den = df.agg(F.count(F.lit(1)) if base == "all" else F.count(F.col(col))).scalar()
     pct = F.lit(100.0) * F.col(count_col) / F.nullif(den, F.lit(0))
     if digits is not None:
         pct = F.round(pct, digits)
@@ -273,10 +272,9 @@ def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = "index",
     if normalize == "index":
         den = F.col("__row_total")
     elif normalize == "all":
-        # Cells counted in the table (labels in ``values``): one aggregate,
-        # one number, instead of a window that gathers every row in one task.
-        grand = base.where(F.col(col).isin(list(values))).agg(F.count(F.lit(1))).first()[0]
-        den = F.lit(grand)
+        # Cells counted in the table (labels in ``values``): a scalar
+        # subquery, not a window that gathers every row in one task.
+        den = base.where(F.col(col).isin(list(values))).agg(F.count(F.lit(1))).scalar()
     elif normalize == "columns":
         den = F.sum("n").over(Window.partitionBy(col))
     else:
