@@ -4,20 +4,28 @@ table and derives the contract's digest columns from the operator's outputs."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.scratch import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
     def put(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
-        return fn
+        return run
     return put
 
 
@@ -25,6 +33,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_embedding_near_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+    label IS NOT NULL AND embedding IS NOT NULL AND coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))), 1) = 0
+    AND coalesce(len(list_filter(embedding, lambda x: x <> 0)), 0) > 0 AS ok
+  FROM embeddings),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b
+  ON a.ok AND b.ok AND a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.w FROM reach r JOIN links l ON l.u = r.w),
+comp AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.u = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN comp ON comp.u = v.vec_id""")
+def embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.embeddings import embedding_near_dedup
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm import language
@@ -34,7 +61,22 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score"))
 
 
-@query("op3_decontamination")
+_PLAIN = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op3_decontamination", f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_PLAIN} AS w FROM documents),
+b AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS m, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, m, s, array_to_string(w[s:s + m - 1], ' ') AS win
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM bw))),
+hit AS MATERIALIZED (SELECT dw.doc_id, dw.m, dw.s, bw.item_id FROM dw JOIN bw USING (m, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.decontaminate import benchmark_hits
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -42,13 +84,32 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", """
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""")
 def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.substrings import substring_dedup
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op5_suffix_dedup")
+@query("op5_suffix_dedup", """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS s FROM d)),
+twice AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM (
+  SELECT doc_id, s, sum(CASE WHEN s <= p + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS g
+  FROM (SELECT doc_id, s, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000000) AS p FROM twice)) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, h, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
+  CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(a) + 2),
+    lambda i: substr(h, 2 * (CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END) + 1, 2 * ((CASE WHEN i > len(a) THEN length(h) // 2 ELSE a[i] END) - (CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END)))), '') END AS k
+  FROM d LEFT JOIN cut USING (doc_id))
+SELECT doc_id, length(h) // 2 AS n_bytes, n_removed::BIGINT AS n_removed, n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept""")
 def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.suffixes import suffix_dedup
     return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -59,3 +120,78 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.simhash import simhash_near_dedup
     out = simhash_near_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+@query("op6_token_files")
+def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.token_files import token_files
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2)
+
+
+@query("op9_bpe")
+def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.bpe import bpe_encode_decode
+    out = bpe_encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _license_sql() -> str:
+    from cohortlens.llm import licenses as L
+    phrases = ", ".join(f"({i}, '{p}', '{label}', {len(p.split())})" for i, (p, label) in enumerate(L.PHRASES))
+    templates = ", ".join(f"({i}, '{label}', {words!r}, {least})" for i, label, words, least in L.template_rows(L.TEMPLATES, L.CONTAINMENT))
+    plain = _PLAIN.replace("text", "line")
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_PLAIN} AS w FROM documents),
+p(i, phrase, label, m) AS (VALUES {phrases}),
+t(i, label, words, need) AS (VALUES {templates}),
+place AS (SELECT doc_id, s - 1 AS pos, label FROM (SELECT doc_id, w, label, phrase, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, p) WHERE array_to_string(w[s:s + m - 1], ' ') = phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base FROM place GROUP BY doc_id),
+line AS (SELECT doc_id, list_distinct({plain}) AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)),
+hit AS (SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(lw, words)) / len(words)) AS best FROM line, t WHERE len(list_intersect(lw, words)) >= need GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN hit USING (doc_id)"""
+
+
+@query("op7_license_scan", _license_sql())
+def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.licenses import license_scan
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def _chat_sql() -> str:
+    from cohortlens.llm import chat
+    text = "replace(text, '~', '~0')"
+    for c in chat.CONTROL:
+        text = f"replace({text}, '{c}', '{chat._SIGN[c[0]] + c[1:]}')"
+    role = "replace(replace(" + text.replace("(text,", "(role,", 1) + ", ']', '~3'), '[', '~2')"
+    return f"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS l,
+  (7 + sum(16 + length({role}) + length({text})))::BIGINT AS formatted_chars FROM m GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, formatted_chars FROM g"""
+
+
+@query("op8_chat_formatting", _chat_sql())
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm import chat
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    messages = chat.conversation_messages(rows.union(extra))
+    out = chat.format_paths(chat.chosen_paths(messages), messages)
+    turns = chat.read_turns(F.col("formatted"))
+    loss = F.array_join(F.transform("loss", lambda s: chat.unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    out = out.select(F.col("tree").alias("conv_id"), turns.alias("turns"), loss.alias("loss"), "formatted")
+    return out.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+                      F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+                      F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))

@@ -30,3 +30,59 @@ def keep(df: DataFrame) -> DataFrame:
     recompute it nor depend on one executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_shared(spark: SparkSession, name: str, array) -> str:
+    """Save a NumPy array as a file of the shared folder; returns its path."""
+    import io
+
+    import numpy as np
+    from pyarrow import fs
+
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    where, at = filesystem(path)
+    data = io.BytesIO()
+    np.save(data, array)
+    where.create_dir(at.rpartition("/")[0])
+    with where.open_output_stream(at, compression=None) as out:
+        out.write(data.getvalue())
+    return path
+
+
+def filesystem(path: str):
+    """(file system, path in it) of a folder's URI or local path."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per application, so that tasks can import it
+    wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    import io
+    import os
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    at = os.path.join(folder, n)
+                    z.write(at, os.path.relpath(at, os.path.dirname(root)))
+    path = f"{shared_dir(spark).rstrip('/')}/cohortlens-{uuid.uuid4().hex}.zip"
+    where, at = filesystem(path)
+    where.create_dir(at.rpartition("/")[0])
+    with where.open_output_stream(at, compression=None) as out:
+        out.write(data.getvalue())
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)

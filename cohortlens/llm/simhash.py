@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import text as X
+from cohortlens.llm.anchors import LEAST
 from cohortlens.llm.components import components
 from cohortlens.llm.scratch import keep
 
@@ -95,6 +96,13 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, root): the component of every fingerprint."""
+    nodes = keep(prints.select("fp").distinct())
+    comp = components(links(nodes))
+    return keep(nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def simhash_near_dedup(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Components of documents whose fingerprints differ in two or fewer bits.
 
@@ -105,9 +113,28 @@ def simhash_near_dedup(docs: DataFrame, shingle: int = 3) -> DataFrame:
     component (null when there is none).
     """
     prints = keep(with_fingerprint(docs, shingle))
-    nodes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = components(links(nodes.select("fp")))
-    roots = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = roots.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    roots = _classes(prints)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    known = keep(roots.join(least, "fp"))
+    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_print = keep(known.select("fp", "root").join(ids, "root").select("fp", "component_id"))
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest doc_id.
+
+    Of different rows that share it, the least by a hash of the row stays, of
+    equal rows one. A null doc_id stays only where its component has no other.
+    """
+    named = docs.withColumn("row__", F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns]))
+    prints = keep(with_fingerprint(named, shingle, ["doc_id", "row__"]))
+    rows = prints.join(_classes(prints), "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row__")).alias("f"))
+    first = keep(first.select(F.coalesce(F.col("f.doc_id").cast("bigint"), F.lit(LEAST)).alias("d__"), F.col("f.row__").alias("r__")))
+    twice = prints.groupBy("doc_id", "row__").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    named = named.withColumn("d__", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST))).withColumnRenamed("row__", "r__")
+    kept = named.join(first, ["d__", "r__"], "left_semi")
+    if twice:
+        kept = kept.dropDuplicates(["d__", "r__"])
+    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
