@@ -10,7 +10,7 @@ from tests.llm import data as D  # noqa: E402
 
 
 def fixture():
-    rng = random.Random(11)
+    rng = random.Random(77)
     rows = D.documents(11, 48)
     items = [(i, D.prose(rng, 30)) for i in range(4)]
     rows += [(700 + i, f"{D.prose(rng, 20)} {t} {D.prose(rng, 20)}", "en", "s", 1) for i, t in items]
