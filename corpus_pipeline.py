@@ -28,9 +28,12 @@ from cohortlens.llm.substrings import substring_dedup
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; a null text or one without a letter is rejected."""
+    """Rows whose text has a language; a null text or one without a letter is rejected. Where no
+    labelled text is there to learn from, only those are, and every other row stays."""
     ship(spark)
     model = language.train(docs.where(~language.held_out()))
+    if not model:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = language.identify(docs, model, carry=docs.columns)
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
