@@ -55,20 +55,17 @@ def knn_neighbors(train: DataFrame, test: DataFrame, features: str | Sequence[st
     b_te = max(1, math.ceil(n_te / block_rows))
     keep_cols = [f"nb_{c}" for c in keep]
     tr_rows = tr.select(F.lit(0).alias("__side"), F.pmod(F.xxhash64("__id"), F.lit(b_tr)).alias("__tb"),
-                        F.explode(F.sequence(F.lit(0), F.lit(b_te - 1))).alias("__sb"), "__id", "__x",
-                        *keep_cols)
+                        F.explode(F.sequence(F.lit(0), F.lit(b_te - 1))).alias("__sb"), "__id", "__x")
     te_rows = te.select(F.lit(1).alias("__side"), F.explode(F.sequence(F.lit(0), F.lit(b_tr - 1))).alias("__tb"),
-                        F.pmod(F.xxhash64("__id"), F.lit(b_te)).alias("__sb"), "__id", "__x",
-                        *[F.lit(None).cast(tr.schema[c].dataType).alias(c) for c in keep_cols])
+                        F.pmod(F.xxhash64("__id"), F.lit(b_te)).alias("__sb"), "__id", "__x")
     id_type = tr.schema["__id"].dataType.simpleString()
     te_id_type = te.schema["__id"].dataType.simpleString()
-    extra = "".join(f", {c} {tr.schema[c].dataType.simpleString()}" for c in keep_cols)
-    schema = f"test_id {te_id_type}, train_id {id_type}, dist double{extra}"
+    schema = f"test_id {te_id_type}, train_id {id_type}, dist double"
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         trn = pdf[pdf["__side"] == 0]
         tst = pdf[pdf["__side"] == 1]
-        cols = ["test_id", "train_id", "dist"] + keep_cols
+        cols = ["test_id", "train_id", "dist"]
         if trn.empty or tst.empty:
             return pd.DataFrame({c: [] for c in cols})
         order = np.argsort(trn["__id"].to_numpy(), kind="stable")
@@ -77,32 +74,43 @@ def knn_neighbors(train: DataFrame, test: DataFrame, features: str | Sequence[st
         ids = trn["__id"].to_numpy()
         Q = np.vstack(tst["__x"].to_numpy()).astype(np.float64)
         qids = tst["__id"].to_numpy()
-        xx = (X * X).sum(axis=1)
+        if np.isnan(X).any() or np.isnan(Q).any():
+            raise ValueError("k-NN features must not be NULL or NaN; fill them first")
+        centre = X.mean(axis=0)
+        C = X - centre
+        xx = (C * C).sum(axis=1)
         kk = min(k, len(X))
-        margin = min(len(X), kk + 16)
         out_t, out_n, out_d = [], [], []
         for s in range(0, len(Q), _KNN_CHUNK):
             q = Q[s:s + _KNN_CHUNK]
-            approx = xx[None, :] - 2.0 * (q @ X.T) + (q * q).sum(axis=1)[:, None]
-            cand = np.argpartition(approx, margin - 1, axis=1)[:, :margin] if margin < len(X) else \
-                np.tile(np.arange(len(X)), (len(q), 1))
-            diff = q[:, None, :] - X[cand]
-            exact = np.sqrt((diff * diff).sum(axis=2))
-            # Sort candidates by (distance, position); positions follow train id.
-            pick = np.lexsort((cand, exact), axis=1)[:, :kk]
-            rows = np.arange(len(q))[:, None]
+            c = q - centre
+            qq = (c * c).sum(axis=1)
+            approx = xx[None, :] - 2.0 * (c @ C.T) + qq[:, None]
+            # The expansion is off by a few rounding steps of its largest term;
+            # every row within that bound of the k-th distance is a candidate.
+            slack = 1e-13 * (X.shape[1] + 8) * (xx.max() + qq)
+            reach = np.partition(approx, kk - 1, axis=1)[:, kk - 1] + 2.0 * slack
+            for i in range(len(q)):
+                cand = np.flatnonzero(approx[i] <= reach[i])
+                diff = q[i] - X[cand]
+                exact = np.sqrt((diff * diff).sum(axis=1))
+                # Stable sort by distance: ties keep their position, which follows the train id.
+                pick = np.argsort(exact, kind="stable")[:kk]
+                out_n.append(cand[pick])
+                out_d.append(exact[pick])
             out_t.append(np.repeat(qids[s:s + len(q)], kk))
-            out_n.append(cand[rows, pick].ravel())
-            out_d.append(exact[rows, pick].ravel())
         pos = np.concatenate(out_n)
         res = pd.DataFrame({"test_id": np.concatenate(out_t), "train_id": ids[pos], "dist": np.concatenate(out_d)})
-        for c in keep_cols:
-            res[c] = trn[c].to_numpy()[pos]
         return res
 
     cand = tr_rows.unionByName(te_rows).groupBy("__tb", "__sb").applyInPandas(block, schema)
     w = Window.partitionBy("test_id").orderBy("dist", "train_id")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if not keep_cols:
+        return best
+    # The kept columns join back by id with their own types (k rows per test row).
+    return best.join(tr.select(F.col("__id").alias("train_id"), *keep_cols), "train_id").select(
+        "test_id", "train_id", "dist", *keep_cols, "rank")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, features: str | Sequence[str], label: str, k: int = 9,
@@ -248,11 +256,8 @@ def roc_auc(pred: DataFrame, score: str = "score", label: str = "label", positiv
 
 # G11-G12 -------------------------------------------------------------------
 
-PROVENANCE_RULES = [("Eng_", "Engineered"), ("Derived_", "Derived Composite")]
-
-
-def feature_importance(model: PipelineModel, k: int | None = 15, rules: Sequence[tuple[str, str]] = PROVENANCE_RULES,
-                       default: str = "Survey Item") -> DataFrame:
+def feature_importance(model: PipelineModel, k: int | None = 15, rules: Sequence[tuple[str, str]] = (),
+                       default: str = "Feature") -> DataFrame:
     """Ranked importances of the fitted tree stage, with a provenance label."""
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
     names = assembler.getInputCols()
@@ -268,19 +273,19 @@ def feature_importance(model: PipelineModel, k: int | None = 15, rules: Sequence
 
 
 def compare_models(scored: Mapping[str, DataFrame], label: str = "label", prediction: str = "prediction",
-                   score: str | None = "score", split: str | None = None) -> DataFrame:
+                   score: str | None = "score", is_test: str | None = None) -> DataFrame:
     """One metrics row per model (accuracy, precision, recall, F1, AUC and
-    train accuracy when ``split`` marks train rows) plus ``is_best`` by F1
+    train accuracy when the boolean ``is_test`` marks the hold-out rows) plus ``is_best`` by F1
     (ties -> model name)."""
     rows = []
     for name, pred in scored.items():
-        test = pred.where(~F.col(split)) if split else pred
+        test = pred.where(F.col(is_test)) if is_test else pred
         m = precision_recall_f1(test, label, prediction).select("accuracy", "precision", "recall", "f1")
         # One-row results are attached as scalar subqueries, not joins.
         auc = roc_auc(test, score, label).select("auc").scalar() if score else F.lit(None).cast("double")
         m = m.withColumn("auc", auc)
-        if split:
-            tr = accuracy(pred.where(F.col(split)), label, prediction).select("accuracy").scalar()
+        if is_test:
+            tr = accuracy(pred.where(~F.col(is_test)), label, prediction).select("accuracy").scalar()
             m = m.withColumn("train_accuracy", tr)
         rows.append(m.select(F.lit(name).alias("model"), "*"))
     out = rows[0]

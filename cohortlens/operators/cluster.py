@@ -112,9 +112,11 @@ def silhouette(df: DataFrame, label: str, features: str | Sequence[str], sample:
         ev = ClusteringEvaluator(featuresCol="features", predictionCol=label, distanceMeasure="squaredEuclidean")
         val = ev.evaluate(v.withColumn(label, F.col(label).cast("double")))
         return df.sparkSession.createDataFrame([(float(val),)], "silhouette double")
+    if sample is None:
+        raise ValueError("euclidean silhouette scores a sample; use metric='sqeuclidean' for all rows")
     if key is None:
         raise ValueError("silhouette needs a key column for the deterministic sample")
-    smp = silhouette_sample(to_array(df, features).select(key, label, "__x"), key, sample or _SAMPLE_LIMIT, seed)
+    smp = silhouette_sample(to_array(df, features).select(key, label, "__x"), key, sample, seed)
     # The sample is bounded by ``sample`` (checked above), so it is broadcast.
     rows = smp.collect()
     if not rows:
@@ -142,7 +144,9 @@ def silhouette(df: DataFrame, label: str, features: str | Sequence[str], sample:
             other = means / sizes[None, :]
             other[np.arange(len(P)), idx] = np.inf
             b = other.min(axis=1) if len(uniq) > 1 else np.full(len(P), np.nan)
-            s = np.where(n_own > 1, (b - a) / np.maximum(a, b), 0.0)
+            top = np.maximum(a, b)
+            # Singletons, and points at distance 0 from everything, score 0.
+            s = np.where((n_own > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), np.where(np.isnan(top), np.nan, 0.0))
             yield pd.DataFrame({"s": s})
 
     vals = smp.select(label, "__x").repartition(max(1, min(64, len(rows) // 256 + 1))).mapInPandas(score, "s double")
@@ -152,9 +156,12 @@ def silhouette(df: DataFrame, label: str, features: str | Sequence[str], sample:
 # I4
 def davies_bouldin(df: DataFrame, label: str, features: str | Sequence[str]) -> DataFrame:
     """mean_i max_{j != i} (S_i + S_j) / d(c_i, c_j), S = mean distance of a
-    cluster's points to its centroid."""
+    cluster's points to its centroid; a pair of equal centroids adds nothing."""
     x = to_array(df, features).select(F.col(label).alias("__l"), "__x")
-    d = len(x.select("__x").first()["__x"])
+    head = x.where(F.col("__x").isNotNull()).select("__x").first()
+    if head is None:
+        return df.sparkSession.createDataFrame([(None,)], "davies_bouldin double")
+    d = len(head["__x"])
     cent = x.groupBy("__l").agg(*[F.avg(F.col("__x")[i]).alias(f"c{i}") for i in range(d)]).select(
         "__l", F.array(*[F.col(f"c{i}") for i in range(d)]).alias("__c"))
     n_clusters = cent.count()
@@ -168,8 +175,8 @@ def davies_bouldin(df: DataFrame, label: str, features: str | Sequence[str]) ->
     expr = """
       aggregate(
         transform(cs, a -> array_max(transform(filter(cs, b -> b.__l != a.__l),
-          b -> (a.__s + b.__s) / sqrt(aggregate(zip_with(a.__c, b.__c, (p, q) -> (p - q) * (p - q)), 0D,
-                                                 (acc, v) -> acc + v))))),
+          b -> (a.__s + b.__s) / nullif(sqrt(aggregate(zip_with(a.__c, b.__c, (p, q) -> (p - q) * (p - q)), 0D,
+                                                 (acc, v) -> acc + v)), 0D)))),
         0D, (acc, v) -> acc + coalesce(v, 0D)) / size(cs)"""
     return table.select(F.expr(expr).alias("davies_bouldin"))
 

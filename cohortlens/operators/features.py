@@ -56,7 +56,8 @@ def zscore(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None,
 
 def split_hash(key: str | Column, seed: int | str) -> Column:
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
+    # A NULL key hashes like any other value, so its rows stay in the split.
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(k.cast("string"), F.lit("\u0000"))))
 
 
 def _quotas(counts: dict, test: float) -> dict:
@@ -78,7 +79,7 @@ def _quotas(counts: dict, test: float) -> dict:
 def stratified_split(df: DataFrame, key: str, label: str | None, test: float = 0.2, seed: int = 42,
                      out: str = "is_test") -> DataFrame:
     """Adds boolean ``out``. Rows with a NULL label are dropped (they belong
-    to no stratum). Exact quotas per stratum, identical for any engine that
+    to no stratum); rows with a NULL key stay. Exact quotas per stratum, identical for any engine that
     orders by the same hash."""
     strat = F.col(label) if label else F.lit(0)
     base = df.where(strat.isNotNull()) if label else df
@@ -129,13 +130,18 @@ def random_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, out
     return stratified_split(df, key, None, test, seed, out)
 
 
+#: Below this a further task costs an iterative fit more than it saves.
+_ROWS_WORTH_A_TASK = 2_000
+
+
 def size_partitions(df: DataFrame, rows_per_partition: int = 500_000) -> DataFrame:
     """Partition a training set by its size: ``ceil(rows / rows_per_partition)``
-    partitions (coalesced down without a shuffle, or repartitioned up).
+    partitions, and as many as there are cores once each has a task's worth of rows (coalesced down without a shuffle, or repartitioned up).
     Iterative MLlib fits run several jobs per iteration, so tiny inputs spread
     over many partitions pay task overhead, and huge ones need the parallelism."""
     n = df.count()
-    target = max(1, math.ceil(n / rows_per_partition))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    target = max(1, math.ceil(n / rows_per_partition), min(cores, math.ceil(n / _ROWS_WORTH_A_TASK)))
     current = df.rdd.getNumPartitions()
     if target < current:
         return df.coalesce(target)

@@ -270,7 +270,7 @@ def _fitted_classifiers(spark, root):
 def _classifier_report(spark, root, names):
     sp, feats, models = _fitted_classifiers(spark, root)
     scored = {n: clf.predict(models[n], sp).withColumnRenamed("target_flag", "label") for n in names}
-    return r6(clf.compare_models(scored, split="is_test"))
+    return r6(clf.compare_models(scored, is_test="is_test"))
 
 
 @query("fit_decision_tree")
@@ -306,15 +306,61 @@ def q_predict(spark, root):
     return r6(clf.predict(models["Random Forest"], sp.where(F.col("is_test"))).select("id", "prediction", "score"))
 
 
+# Label prefixes of engineered columns.
+PROVENANCE_RULES = [("Eng_", "Engineered"), ("Derived_", "Derived Composite")]
+
+
 @query("feature_importance")
 def q_feature_importance(spark, root):
     _, _, models = _fitted_classifiers(spark, root)
-    return r6(clf.feature_importance(models["Random Forest"], 15))
+    return r6(clf.feature_importance(models["Random Forest"], 15, PROVENANCE_RULES, "Survey Item"))
+
+
+def _knn_scored(spark, root):
+    """Every row scored by its nine nearest training rows (a training row is its own nearest)."""
+    sp, feats = _clf_split(spark, root)
+    train = sp.where(~F.col("is_test"))
+    stats = fe.fit_zscore(train, feats)
+    pred = clf.knn_classify(fe.apply_zscore(train, stats), fe.apply_zscore(sp, stats), feats, "target_flag", 9, "id", "id")
+    return pred.join(sp.select(F.col("id").alias("test_id"), F.col("target_flag").alias("label"), "is_test"), "test_id")
 
 
 @query("classifier_comparison")
 def q_classifier_comparison(spark, root):
-    return _classifier_report(spark, root, ["Decision Tree", "Random Forest", "Gradient Boosting"])
+    """All four classifiers on the same hold-out rows."""
+    sp, feats, models = _fitted_classifiers(spark, root)
+    scored = {n: clf.predict(m, sp).withColumnRenamed("target_flag", "label") for n, m in models.items()}
+    scored["KNN"] = _knn_scored(spark, root)
+    return r6(clf.compare_models(scored, is_test="is_test"))
+
+
+@query("fitted_confusion_matrix")
+def q_fitted_confusion_matrix(spark, root):
+    """Confusion matrix of the fitted random forest on the hold-out rows."""
+    sp, _, models = _fitted_classifiers(spark, root)
+    pred = clf.predict(models["Random Forest"], sp.where(F.col("is_test"))).withColumnRenamed("target_flag", "label")
+    return clf.confusion_matrix(pred)
+
+
+@query("fitted_roc_curve")
+def q_fitted_roc_curve(spark, root):
+    """ROC points of the fitted random forest on the hold-out rows."""
+    sp, _, models = _fitted_classifiers(spark, root)
+    pred = clf.predict(models["Random Forest"], sp.where(F.col("is_test"))).withColumnRenamed("target_flag", "label")
+    return r6(clf.roc_curve(pred))
+
+
+@query("accuracy_by_split", sql=with_profile(
+    ", s AS (SELECT id % 5 = 0 AS is_test, target_flag AS label, CASE WHEN id % 5 = 0 THEN CASE WHEN n_orders >= 12 THEN 1 ELSE 0 END "
+    "ELSE target_flag END AS p FROM profile WHERE target_flag IS NOT NULL) "
+    "SELECT 'rule' AS model, round(avg(CASE WHEN label = p THEN 1.0 ELSE 0.0 END) FILTER (is_test), 6) AS accuracy, "
+    "round(avg(CASE WHEN label = p THEN 1.0 ELSE 0.0 END) FILTER (NOT is_test), 6) AS train_accuracy FROM s"))
+def q_accuracy_by_split(spark, root):
+    """Hold-out and training accuracy of a rule that is perfect on the training rows only."""
+    p = profile(spark, root).where("target_flag IS NOT NULL").withColumn("is_test", F.expr("id % 5 = 0"))
+    rule = F.when(F.col("is_test"), F.when(F.coalesce(F.col("n_orders") >= 12, F.lit(False)), 1).otherwise(0)).otherwise(F.col("target_flag"))
+    scored = p.select(F.col("target_flag").alias("label"), rule.alias("prediction"), "is_test")
+    return r6(clf.compare_models({"rule": scored}, score=None, is_test="is_test").select("model", "accuracy", "train_accuracy"))
 
 
 # -------------------------------------------------------------- H regression
@@ -393,9 +439,8 @@ def q_regression_importance(spark, root):
 @query("fit_targets")
 def q_fit_targets(spark, root):
     z, feats = _reg_frames(spark, root)
-    models = {"Linear Regression": rg.fit_linear, "Ridge": rg.fit_ridge}
     table, _ = rg.fit_targets(z.where(~F.col("is_test")), z.where(F.col("is_test")), feats,
-                              REG_TARGETS + ["not_a_column"], models)
+                              REG_TARGETS + ["not_a_column"], rg.DEFAULT_MODELS)
     return r6(table, {"mae": 4, "rmse": 4})
 
 
@@ -487,15 +532,14 @@ def q_davies_bouldin(spark, root):
     return r6(cl.davies_bouldin(e, "label", "embedding"))
 
 
-# Ordered naming rules over average ranks of the segment profile (fixed values).
+# Naming rules for the fixture's own segments, over average ranks of their profile; the first that holds names it.
 RANK_COLS = ["avg_discount", "n_parts", "balance", "score_1_10"]
 NAME_RULES = [
-    ("Budget-Conscious", "avg_discount_rank = 5 AND balance_rank <= 2"),
-    ("High-Value", "balance_rank >= 4 AND n_parts_rank >= 3"),
-    ("Digital-First", "n_parts_rank = 5 AND score_1_10_rank <= 2"),
-    ("Finance Professionals", "avg_discount_rank <= 2 AND balance_rank >= 3"),
+    ("Bulk buyers", "n_parts_rank >= 5"),
+    ("Deal seekers", "avg_discount_rank >= 4 AND score_1_10_rank <= 3"),
+    ("Cash-rich fans", "balance_rank > 3 AND score_1_10_rank > 3"),
 ]
-NAME_DEFAULT = "Cautious Savers"
+NAME_DEFAULT = "Everyday"
 
 
 def _rank_sql(c: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortlens.plans import reports as rp
 from cohortlens.plans.catalog_tables import REGION_LABELS, TIER_LABELS, FLAG_LABELS
 from cohortlens.plans.oracle import with_profile
-from cohortlens.plans.registry import query, r6
+from cohortlens.plans.registry import QUERIES, query, r6
 from cohortlens.session import scratch_path
 from cohortlens.sources.views import profile
 
@@ -108,9 +108,11 @@ def q_business_report(spark, root):
 @query("run_all")
 def q_run_all(spark, root):
     p = profile(spark, root)
+    others = {"crosstabs": "crosstab_report", "correlations": "corr_with_target", "classification": "classifier_comparison",
+              "clustering": "cluster_segments", "rules": "top_rules", "regression": "fit_targets", "business": "business_report"}
     sections = {
         "descriptive": rp.descriptive_report(p, "target_flag", "score_1_10", "target_amount", "nps_category"),
         "diagnostic": rp.diagnostic_report(p, _DIAG),
         "opportunity": rp.opportunity_map(p, "segment", "target_amount", "score_1_10", "avg_discount", "id"),
-    }
+    } | {name: QUERIES[q](spark, root) for name, q in others.items()}
     return rp.run_all(sections, scratch_path(spark, "run-all")).orderBy(F.col("section"))

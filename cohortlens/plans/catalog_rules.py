@@ -32,29 +32,24 @@ def _rules(spark, root):
     return ar.association_rules(_itemsets(spark, root), RULE_METRIC, RULE_MIN, n_items_bound=len(BASKET_ITEMS))
 
 
-_FI_SQL = """, nb AS (SELECT count(*) AS n FROM basket),
-s1 AS (SELECT [a.item] AS itemset, count(*) AS c FROM bl a GROUP BY a.item),
-s2 AS (SELECT [a.item, b.item] AS itemset, count(*) AS c FROM bl a JOIN bl b ON a.id = b.id AND a.item < b.item
-       GROUP BY a.item, b.item),
-s3 AS (SELECT [a.item, b.item, d.item] AS itemset, count(*) AS c FROM bl a
-       JOIN bl b ON a.id = b.id AND a.item < b.item JOIN bl d ON a.id = d.id AND b.item < d.item
-       GROUP BY a.item, b.item, d.item),
-s4 AS (SELECT [a.item, b.item, d.item, e.item] AS itemset, count(*) AS c FROM bl a
-       JOIN bl b ON a.id = b.id AND a.item < b.item JOIN bl d ON a.id = d.id AND b.item < d.item
-       JOIN bl e ON a.id = e.id AND d.item < e.item GROUP BY a.item, b.item, d.item, e.item),
-fi AS (SELECT itemset, CAST(len(itemset) AS INTEGER) AS size, c, c / n AS support
-       FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) u,
-       nb WHERE c / n >= 0.1)"""
+# Baskets collapse to bit masks (bit i: the i-th item by name); every mask of at
+# most four items is counted against the weighted masks.
+_NAMES = sorted(BASKET_ITEMS)
+_MASK = " + ".join(f"(CASE WHEN {c} = 1 THEN {1 << i} ELSE 0 END)" for i, c in enumerate(_NAMES))
+_LIST = "[" + ", ".join(f"'{c}'" for c in _NAMES) + "]"
+_FI_SQL = f""", pat AS MATERIALIZED (SELECT mask, count(*) AS w FROM (SELECT {_MASK} AS mask FROM basket) GROUP BY mask),
+nb AS (SELECT sum(w) AS n FROM pat),
+fm AS MATERIALIZED (SELECT m, bit_count(m) AS size, CAST(sum(w) AS BIGINT) AS c, sum(w) / any_value(n) AS support
+       FROM (SELECT unnest(range(1, {1 << len(_NAMES)})) AS m) JOIN pat ON (pat.mask & m) = m, nb
+       WHERE bit_count(m) <= 4 GROUP BY m HAVING sum(w) / any_value(n) >= 0.1),
+fi AS (SELECT m, list_filter({_LIST}, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS itemset, CAST(size AS INTEGER) AS size, c, support FROM fm)"""
 
 _RULES_SQL = _FI_SQL + """,
-sp AS (SELECT itemset, support, unnest(range(1, (1 << size) - 1)) AS mask FROM fi WHERE size >= 2),
-sp2 AS (SELECT list_filter(itemset, lambda x, i: ((mask >> (i - 1)) & 1) = 1) AS ante,
-               list_filter(itemset, lambda x, i: ((mask >> (i - 1)) & 1) = 0) AS cons, support FROM sp),
-ru AS (SELECT array_to_string(ante, ', ') AS antecedents_str, array_to_string(cons, ', ') AS consequents_str,
-              a.support AS antecedent_support, c.support AS consequent_support, sp2.support,
-              sp2.support / a.support AS confidence, sp2.support / a.support / c.support AS lift,
-              sp2.support - a.support * c.support AS leverage
-       FROM sp2 JOIN fi a ON a.itemset = sp2.ante JOIN fi c ON c.itemset = sp2.cons),
+ru AS (SELECT array_to_string(a.itemset, ', ') AS antecedents_str, array_to_string(c.itemset, ', ') AS consequents_str,
+              a.support AS antecedent_support, c.support AS consequent_support, f.support,
+              f.support / a.support AS confidence, f.support / a.support / c.support AS lift,
+              f.support - a.support * c.support AS leverage
+       FROM fi f JOIN fi a ON (a.m & f.m) = a.m AND a.m <> f.m JOIN fi c ON c.m = xor(f.m, a.m) WHERE f.size >= 2),
 rl AS (SELECT * FROM ru WHERE lift >= 1.05)"""
 
 
@@ -69,7 +64,7 @@ def q_to_baskets(spark, root):
 
 @query("frequent_itemsets", headline=True, sql=with_basket(
     _FI_SQL + " SELECT array_to_string(itemset, ', ') AS items_str, size, c AS count, round(support, 6) AS support "
-    "FROM fi", long=True))
+    "FROM fi"))
 def q_frequent_itemsets(spark, root):
     fi = _itemsets(spark, root)
     return r6(fi.select(F.array_join("itemset", ", ").alias("items_str"), "size", "count", "support"))
@@ -79,7 +74,7 @@ _RULE_COLS = ["antecedent_support", "consequent_support", "support", "confidence
 
 
 @query("association_rules", headline=True, sql=with_basket(
-    _RULES_SQL + " SELECT antecedents_str, consequents_str, " + _round_sql(_RULE_COLS) + " FROM rl", long=True))
+    _RULES_SQL + " SELECT antecedents_str, consequents_str, " + _round_sql(_RULE_COLS) + " FROM rl"))
 def q_association_rules(spark, root):
     r = ar.with_display(_rules(spark, root))
     return r6(r.select("antecedents_str", "consequents_str", *_RULE_COLS))
@@ -87,7 +82,7 @@ def q_association_rules(spark, root):
 
 @query("filter_rules", sql=with_basket(
     _RULES_SQL + " SELECT antecedents_str, consequents_str, " + _round_sql(["support", "confidence", "lift"])
-    + " FROM rl WHERE support >= 0.10 AND confidence >= 0.55 AND lift >= 1.10", long=True))
+    + " FROM rl WHERE support >= 0.10 AND confidence >= 0.55 AND lift >= 1.10"))
 def q_filter_rules(spark, root):
     r = ar.with_display(ar.filter_rules(_rules(spark, root), **FILTER))
     return r6(r.select("antecedents_str", "consequents_str", "support", "confidence", "lift"))
@@ -98,18 +93,18 @@ _TOP_SQL = (" SELECT antecedents_str, consequents_str, " + _round_sql(["support"
             " ORDER BY lift DESC, confidence DESC, support DESC, antecedents_str, consequents_str LIMIT {k}) t")
 
 
-@query("top_rules", headline=True, sql=with_basket(_RULES_SQL + _TOP_SQL.format(extra="", k=20), long=True))
+@query("top_rules", headline=True, sql=with_basket(_RULES_SQL + _TOP_SQL.format(extra="", k=20)))
 def q_top_rules(spark, root):
     return r6(ar.top_rules(ar.filter_rules(_rules(spark, root), **FILTER), 20))
 
 
 @query("outcome_rules", sql=with_basket(_RULES_SQL + _TOP_SQL.format(
-    extra="AND coalesce(regexp_matches(consequents_str, 'bulk|many'), false)", k=10), long=True))
+    extra="AND coalesce(regexp_matches(consequents_str, 'bulk|many'), false)", k=10)))
 def q_outcome_rules(spark, root):
     return r6(ar.outcome_rules(ar.filter_rules(_rules(spark, root), **FILTER), OUTCOME_PATTERN, 10))
 
 
-@query("rules_csv_roundtrip", sql=with_basket(_RULES_SQL + _TOP_SQL.format(extra="", k=20), long=True))
+@query("rules_csv_roundtrip", sql=with_basket(_RULES_SQL + _TOP_SQL.format(extra="", k=20)))
 def q_rules_csv_roundtrip(spark, root):
     top = ar.top_rules(ar.filter_rules(_rules(spark, root), **FILTER), 20)
     path = io.write_csv(top, scratch_path(spark, "top-rules-csv"))
@@ -118,6 +113,6 @@ def q_rules_csv_roundtrip(spark, root):
 
 @query("rule_counts", sql=with_basket(
     _RULES_SQL + " SELECT count(*) AS total_rules, count(*) FILTER (WHERE support >= 0.10 AND confidence >= 0.55 "
-    "AND lift >= 1.10) AS filtered_rules FROM rl", long=True))
+    "AND lift >= 1.10) AS filtered_rules FROM rl"))
 def q_rule_counts(spark, root):
     return ar.rule_counts(_rules(spark, root), **FILTER)

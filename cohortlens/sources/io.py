@@ -17,34 +17,20 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
-_SCHEMAS: dict = {}
-
-
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """Read ``{root}/{name}.{fmt}``.
-
-    Parquet/ORC schema inference runs a footer-reading job on every load;
-    the schema of a table is read once per application and then passed
-    explicitly, so building a plan starts no job."""
-    path = f"{root.rstrip('/')}/{name}.{fmt}"
-    if fmt not in ("parquet", "orc"):
-        return spark.read.format(fmt).load(path)
-    key = (spark.sparkContext.applicationId, fmt, path)
-    schema = _SCHEMAS.get(key)
-    if schema is None:
-        df = spark.read.format(fmt).load(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.format(fmt).schema(schema).load(path)
+    """Read ``{root}/{name}.{fmt}``; NaN reads as NULL, as everywhere at ingest."""
+    return nan_to_null(spark.read.format(fmt).load(f"{root.rstrip('/')}/{name}.{fmt}"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             infer: bool = False) -> DataFrame:
+             infer: bool = False, multi_line: bool = False) -> DataFrame:
     """Header CSV (A1). An explicit schema avoids the inference pass over the
     whole file; ``infer=True`` reproduces type inference when none is known.
-    Empty fields and ``NaN`` read as NULL so aggregates skip them."""
+    Empty fields and ``NaN`` read as NULL so aggregates skip them. Quotes
+    inside a quoted field are doubled; ``multi_line`` allows line ends there."""
     reader = spark.read.option("header", "true").option("nanValue", "NaN") \
-        .option("nullValue", "").option("mode", "FAILFAST")
+        .option("nullValue", "").option("mode", "FAILFAST") \
+        .option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower())
     if schema is not None:
         reader = reader.schema(schema)
     else:
@@ -87,7 +73,7 @@ def resolve_source(spark: SparkSession, name: str, roots: Iterable[str],
         path = f"{root.rstrip('/')}/{name}.{fmt}"
         tried.append(path)
         if _exists(spark, path):
-            return spark.read.format(fmt).load(path)
+            return nan_to_null(spark.read.format(fmt).load(path))
     raise FileNotFoundError(f"cannot find table {name!r}; looked in: " + ", ".join(tried))
 
 
@@ -116,7 +102,7 @@ def flatten_for_text(df: DataFrame, sep: str = ", ") -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Header CSV (A4). Executors write their own parts in parallel."""
-    flatten_for_text(df).write.mode(mode).option("header", "true").csv(path)
+    flatten_for_text(df).write.mode(mode).option("header", "true").option("escape", '"').csv(path)
     return path
 
 

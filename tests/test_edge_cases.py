@@ -153,7 +153,7 @@ def test_band_and_prefix_rules(spark):
     got = [r.b for r in df.select(fx.band("s", [7, 5], ["High", "Mid", "Low"]).alias("b")).collect()]
     assert got == ["High", "Mid", "Low", None]
     names = spark.createDataFrame([("Eng_x",), ("Derived_y",), ("Q1",)], "f string")
-    kinds = [r.k for r in names.select(clf.classify_by_prefix("f", clf.PROVENANCE_RULES, "Survey Item").alias("k")).collect()]
+    kinds = [r.k for r in names.select(clf.classify_by_prefix("f", [("Eng_", "Engineered"), ("Derived_", "Derived Composite")], "Survey Item").alias("k")).collect()]
     assert kinds == ["Engineered", "Derived Composite", "Survey Item"]
 
 
