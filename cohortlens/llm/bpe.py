@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm import text as X
 from cohortlens.llm.lexicon import Lexicon, build
-from cohortlens.llm.scratch import write_shared
+from cohortlens.llm.scratch import keep, write_shared
 
 #: Words in the lexicon.
 WORDS = 1 << 15
@@ -212,8 +212,20 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = WORDS) -> np.ndarray:
-    """The transducer of the ``size`` most frequent words (ties: the smaller word)."""
-    top = word_counts(docs, vocabulary).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    """The transducer of the most frequent words, ``size`` at most.
+
+    Counts are put into steps of about nine per cent; all words of the highest steps that fit
+    are taken, so that the driver gets one row per step and then the chosen words alone.
+    """
+    counts = keep(word_counts(docs, vocabulary).select("word", F.floor(F.log2("n") * 8).alias("step")))
+    steps = sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"])
+    least, total = None, 0
+    for r in steps:
+        total += r["n"]
+        if total > size:
+            break
+        least = r["step"]
+    top = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []
     words = [bytes(r["word"]) for r in top]
     lens = np.array([len(w) for w in words], np.int64)
     ids, n = vocabulary.merge(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lens) - lens, lens)
