@@ -21,7 +21,7 @@ from cohortlens.llm.sais import permuted_lcp, suffix_array
 WINDOW = 400
 #: Bytes in one suffix array.
 SHARD = 1 << 20
-_LEVELS = [32, 304, 376, 394, 400]
+_LEVELS = [200, 304, 376, 394, 400]
 
 
 def repeated_strings(tokens: np.ndarray, first: np.ndarray, d=None, h=None, start=None, window: int = WINDOW) -> np.ndarray:
