@@ -216,11 +216,12 @@ def repeated_windows(docs: DataFrame, tokens: Tokens, dtype, window: int, levels
     occ, out = _occurrences(docs, tokens, window, levels[0]), None
     for level, k in enumerate(levels):
         inner = level > 0
-        shared = occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+        # Kept, as adaptive execution splits a hot anchor only where both sides of the join are plain shuffles.
+        shared = keep(occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
         occ = keep(occ.join(shared, "anchor"))
         place = F.struct(*_PLACE, *(["tokens"] if inner else []))
         classes = keep(occ.groupBy("anchor", "piece").agg(F.min(place).alias("f"), F.count("*").alias("n")))
-        several = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+        several = keep(classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"))
         first = classes.join(several, "anchor").select("f.*", "anchor", "c")
         copies = occ.select(*_PLACE, "anchor", "piece").join(classes.where("n > 1").select("anchor", "piece", *[F.col(f"f.{c}").alias(f"f_{c}") for c in _PLACE]), ["anchor", "piece"])
         if not every:
