@@ -7,9 +7,10 @@ pattern holds allow a move over a whole window. Only where the table says
 zero do the hashes of the last words select test patterns, which are then
 compared word by word. Scans run in lock step over many stretches of text.
 
-The tables travel to the tasks as broadcasts of at most ``BLOCK_BYTES`` of
-benchmark text each; a larger benchmark is cut into blocks by item and the
-documents are scanned once for each.
+A benchmark of at most ``BLOCK_BYTES`` of text travels to the tasks as one
+broadcast. Of a larger one no text comes to the driver: Spark writes its items
+to the shared folder in blocks, tasks build a block's tables from its file, and
+the documents are scanned once for each block.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import text as X
+from cohortlens.llm.scratch import filesystem, shared_path
 
 WINDOW = 13
-#: Benchmark text in one broadcast block.
+#: Benchmark text in one broadcast; at most about so much in a stored block.
 BLOCK_BYTES = 16 << 20
 #: Words in one stretch of the lock-step scan.
 STRETCH = 256
@@ -112,7 +115,7 @@ class Matcher:
         words, first = _tokens([t for _, t in items])
         self.names = [i for i, _ in items]
         self.vocabulary = pa.array(sorted(set(words)), pa.large_binary())
-        ids = pc.index_in(pa.array(words, pa.large_binary()), value_set=self.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) + 1 if words else np.zeros(0, np.int64)
+        ids = pc.index_in(pa.array(words, pa.large_binary()), value_set=self.vocabulary).to_numpy(zero_copy_only=False).astype(np.int32) + 1 if words else np.zeros(0, np.int32)
         by: dict[int, list] = {}
         for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
             m = min(window, b - a)
@@ -155,29 +158,44 @@ class Matcher:
         return np.diff(first), runs, items
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items in lists of at most about BLOCK_BYTES of text; one list unless the table is larger."""
-    items = benchmark.where("text is not null").select("item_id", "text")
+def _blocks(benchmark: DataFrame) -> list[list[tuple] | str]:
+    """The items (id as a string, text) as one list, or, beyond BLOCK_BYTES of text, the folders of the blocks that hold them."""
+    items = benchmark.where("octet_length(text) > 0").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(total / BLOCK_BYTES)
-    if n <= 1:
+    n = 2 * math.ceil(total / BLOCK_BYTES)
+    if n <= 2:
         return [[tuple(r) for r in items.collect()]]
-    part = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n)))
-    return [[(r["item_id"], r["text"]) for r in part.where(F.col("part") == i).collect()] for i in range(2 * n)]
+    path = shared_path(items.sparkSession, "benchmark")
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block")
+    items.distinct().select("*", block).repartition(n, "block").write.partitionBy("block").parquet(path)
+    return [f"{path}/block={r[0]}" for r in items.sparkSession.read.parquet(path).select("block").distinct().sort("block").collect()]
+
+
+_loaded: dict[tuple, Matcher] = {}
+
+
+def _stored(path: str, window: int) -> Matcher:
+    """The matcher of a stored block; a task's Python process holds the last one only."""
+    if (path, window) not in _loaded:
+        _loaded.clear()
+        where, at = filesystem(path)
+        rows = pq.read_table(at, filesystem=where, columns=["item_id", "text"], partitioning=None)
+        _loaded[path, window] = Matcher(list(zip(*(rows[c].to_pylist() for c in ("item_id", "text")), strict=True)), window)
+    return _loaded[path, window]
 
 
 _HITS = "array<struct<start:bigint,end:bigint>>"
 
 
-def _scan(docs: DataFrame, items: list[tuple], kind: str, window: int, carry: list[str] | None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Matcher(items, window))
+def _scan(docs: DataFrame, block: list[tuple] | str, window: int, carry: list[str] | None) -> DataFrame:
+    shared = None if isinstance(block, str) else docs.sparkSession.sparkContext.broadcast(Matcher(block, window))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(data, offsets):
-        m = shared.value
+        m = _stored(block, window) if shared is None else shared.value
         n, runs, found = m.scan(data, offsets)
         names = [sorted({m.names[i] for i in f if m.names[i] is not None}) for f in found]
-        return [n, pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], span), pa.array([[str(x) for x in f] for f in names], pa.list_(pa.string()))]
+        return [n, pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], span), pa.array(names, pa.list_(pa.string()))]
 
     return X.map_docs(docs, [("n_words", "bigint"), ("hits", _HITS), ("items", "array<string>")], run, carry)
 
@@ -197,20 +215,19 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     without words, and null texts, match nothing. Items with a null id hit
     words but are not listed; rows that repeat an item count once.
     """
-    kind = dict(benchmark.dtypes)["item_id"]
     blocks = _blocks(benchmark)
     if len(blocks) == 1:
-        out = _scan(docs, blocks[0], kind, window, carry)
+        out = _scan(docs, blocks[0], window, carry)
     else:
         key = F.md5(F.coalesce("text", F.lit("")))
         keyed = docs.withColumn("text_key__", key)
-        parts = [_scan(keyed, b, kind, window, ["doc_id", "text_key__"]).where(F.size("hits") > 0) for b in blocks]
+        parts = [_scan(keyed, b, window, ["doc_id", "text_key__"]).where(F.size("hits") > 0) for b in blocks]
         hits = parts[0]
         for p in parts[1:]:
             hits = hits.union(p)
         hits = (hits.distinct().groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id__"), "text_key__")
                 .agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items")))
-        base = _scan(keyed, [], kind, window, [*(carry or ["doc_id"]), *(["doc_id"] if carry and "doc_id" not in carry else []), "text_key__"]).drop("hits", "items")
+        base = _scan(keyed, [], window, [*(carry or ["doc_id"]), *(["doc_id"] if carry and "doc_id" not in carry else []), "text_key__"]).drop("hits", "items")
         base = base.withColumn("id__", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
         out = (base.join(hits, ["id__", "text_key__"], "left").drop("id__", "text_key__")
                .withColumn("hits", F.coalesce("hits", F.array().cast(_HITS))).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))))

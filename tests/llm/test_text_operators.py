@@ -41,6 +41,8 @@ def test_benchmark_hits_in_one_and_several_blocks(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("part", F.lit(1))
     for limit in (decontaminate.BLOCK_BYTES, 500):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        blocks = decontaminate._blocks(bench)
+        assert (len(blocks) > 3 and all(isinstance(b, str) for b in blocks)) if limit == 500 else len(blocks) == 1
         got = decontaminate.benchmark_hits(docs, bench).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), D.sha(",".join(r["items"])), r["contaminated"]) for r in got} == want
     assert decontaminate.benchmark_hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0
