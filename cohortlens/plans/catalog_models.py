@@ -466,9 +466,12 @@ def q_kmeans(spark, root):
     z = _cluster_frame(spark, root)
     model, cost, costs = _kmeans5(spark, root)
     lab = cl.assign(model, z, CLUSTER_COLS, "cluster")
-    sizes = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.withColumn("best_cost", F.round(F.lit(cost), 4)).withColumn(
-        "best_is_min", F.lit(cost <= min(costs)))
+    # The cost again from the labels alone: squares about each cluster's own means.
+    squares = sum((F.var_pop(c) * F.count(F.lit(1)) for c in CLUSTER_COLS), F.lit(0.0))
+    sizes = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), squares.alias("within"))
+    total = sizes.agg(F.sum("within")).scalar()
+    return sizes.select("cluster", "n", F.round("within", 4).alias("within"), F.round(F.lit(cost), 4).alias("best_cost"),
+                        F.round(F.lit(max(costs)), 4).alias("worst_cost"), F.round(total / F.lit(cost), 4).alias("label_cost_ratio"))
 
 
 @query("k_sweep")
@@ -495,8 +498,26 @@ def q_cluster_segments(spark, root):
 @query("pca")
 def q_pca(spark, root):
     z = _cluster_frame(spark, root)
-    _, var = cl.pca(z, CLUSTER_COLS, 2, key="id")
-    return r6(var)
+    model, _, _ = _kmeans5(spark, root)
+    points, _ = cl.pca(z, CLUSTER_COLS, 2, key="id")
+    labels = cl.assign(model, z, CLUSTER_COLS, "cluster").select("id", "cluster")
+    return r6(points.join(labels, "id"))
+
+
+@query("pca_variance", sql=with_profile(
+    ", f AS (SELECT coalesce(score_1_10, 0) AS a, coalesce(n_parts, 0) AS b FROM profile), "
+    "m AS (SELECT var_pop(a) AS p, var_pop(b) AS q, covar_pop(a, b) AS c, count(*) AS n FROM f), "
+    "e AS (SELECT p + q AS t, sqrt((p - q) * (p - q) / 4 + c * c) AS d, n FROM m) "
+    "SELECT 1 AS component, round((t / 2 + d) / t, 6) AS variance_ratio, round(t / 2 + d, 4) AS point_variance, CAST(0 AS DOUBLE) AS point_mean, n FROM e "
+    "UNION ALL SELECT 2, round((t / 2 - d) / t, 6), round(t / 2 - d, 4), CAST(0 AS DOUBLE), n FROM e"))
+def q_pca_variance(spark, root):
+    """Both components of two columns: shares of variance, and what the projected points themselves have."""
+    z = fill_nulls(profile(spark, root), ["score_1_10", "n_parts"], 0).select("id", "score_1_10", "n_parts")
+    points, var = cl.pca(z, ["score_1_10", "n_parts"], 2, key="id")
+    seen = points.agg(*[f(c).alias(f"{n}{c}") for c in ("pc1", "pc2") for f, n in ((F.var_pop, "v"), (F.avg, "m"))], F.count("id").alias("n"))
+    seen = seen.select(F.inline(F.array(*[F.struct(F.lit(k).alias("component"), F.col(f"vpc{k}").alias("point_variance"),
+                                                   (F.round(F.col(f"mpc{k}"), 6) + 0.0).alias("point_mean"), F.col("n")) for k in (1, 2)])))
+    return r6(var.join(seen, "component"), {"point_variance": 4})
 
 
 def _sil_sql(m: int) -> str:

@@ -12,19 +12,49 @@ from cohortlens.session import scratch_path
 from cohortlens.sources.views import profile
 
 
+_CT_TIER = ("CASE tier_code WHEN 1 THEN 'T1' WHEN 2 THEN 'T2' WHEN 3 THEN 'T3' WHEN 4 THEN 'T4' WHEN 5 THEN 'T5' "
+            "WHEN 6 THEN 'T6' END")
+_CT_REGION = "CASE region_code WHEN 1 THEN 'R1' WHEN 2 THEN 'R2' WHEN 3 THEN 'R3' WHEN 4 THEN 'R4' END"
+
+_DEMOGRAPHICS = {"tier_dist": ("tier_code", TIER_LABELS), "region_dist": ("region_code", REGION_LABELS),
+                 "flag_label_dist": ("target_flag", FLAG_LABELS)}
+_CT_FLAG = "CASE target_flag WHEN 0 THEN 'Not Willing' WHEN 1 THEN 'Willing' END"
+_BAND = "CASE WHEN score_1_10 >= 7 THEN 'High' WHEN score_1_10 >= 5 THEN 'Medium' WHEN score_1_10 IS NOT NULL THEN 'Low' END"
+
+
+def _dist_sql(section: str, expr: str) -> str:
+    return f"UNION ALL SELECT '{section}', CAST({expr} AS VARCHAR), count(*) FROM profile WHERE {expr} IS NOT NULL GROUP BY {expr} "
+
+
+def _tidy(report):
+    """Values to 4 digits, but medians to 6: the midpoint of two snapped amounts is an exact tie at the fifth."""
+    digits = F.when(F.col("key") == "median_amount", F.round("value", 6)).otherwise(F.round("value", 4))
+    return report.withColumn("value", digits)
+
+
 @query("descriptive_report", headline=True, sql=with_profile(
-    "SELECT 'kpi' AS section, 'willing_pct' AS key, round(avg(target_flag) * 100, 4) AS value FROM profile "
+    ", rg AS (SELECT CASE WHEN min(target_amount) = max(target_amount) THEN min(target_amount) - 0.5 ELSE min(target_amount) END AS lo, "
+    "CASE WHEN min(target_amount) = max(target_amount) THEN max(target_amount) + 0.5 ELSE max(target_amount) END AS hi FROM profile), "
+    "hb AS (SELECT CAST(least(floor((target_amount - lo) * 20 / (hi - lo)), 19) AS INTEGER) AS bin, count(*) AS n "
+    "FROM profile, rg WHERE target_amount IS NOT NULL GROUP BY 1) "
+    "SELECT 'kpi' AS section, 'willing_pct' AS key, CAST(round(avg(target_flag) * 100, 4) AS DOUBLE) AS value FROM profile "
     "UNION ALL SELECT 'kpi', 'avg_score', round(avg(score_1_10), 4) FROM profile "
-    "UNION ALL SELECT 'kpi', 'avg_nps', round(avg(score_1_10), 4) FROM profile "
+    "UNION ALL SELECT 'kpi', 'avg_nps', round(avg(n_closed), 4) FROM profile "
+    "UNION ALL SELECT 'kpi', 'avg_pain', round(avg(avg_discount), 4) FROM profile "
     "UNION ALL SELECT 'kpi', 'avg_amount', round(avg(target_amount), 4) FROM profile "
-    "UNION ALL SELECT 'kpi', 'median_amount', round(median(target_amount), 4) FROM profile "
-    "UNION ALL SELECT 'flag_dist', CAST(target_flag AS VARCHAR), count(*) FROM profile "
-    "WHERE target_flag IS NOT NULL GROUP BY target_flag "
-    "UNION ALL SELECT 'category_dist', nps_category, count(*) FROM profile WHERE nps_category IS NOT NULL "
-    "GROUP BY nps_category"))
+    "UNION ALL SELECT 'kpi', 'median_amount', round(median(target_amount), 6) FROM profile "
+    "UNION ALL SELECT 'amount_range', 'min', round(lo, 4) FROM rg UNION ALL SELECT 'amount_range', 'max', round(hi, 4) FROM rg "
+    "UNION ALL SELECT 'amount_histogram', CAST(g.range AS VARCHAR), coalesce(hb.n, 0) FROM range(20) g LEFT JOIN hb ON g.range = hb.bin "
+    + _dist_sql("flag_dist", "target_flag") + _dist_sql("category_dist", "nps_category") + _dist_sql("score_dist", "score_1_10")
+    + _dist_sql("score_band", f"({_BAND})") + _dist_sql("tier_dist", f"({_CT_TIER})") + _dist_sql("region_dist", f"({_CT_REGION})")
+    + _dist_sql("flag_label_dist", f"({_CT_FLAG})")))
 def q_descriptive_report(spark, root):
-    rep = rp.descriptive_report(profile(spark, root), "target_flag", "score_1_10", "target_amount", "nps_category")
-    return r6(rep, {"value": 4})
+    return _tidy(_descriptive(profile(spark, root)))
+
+
+def _descriptive(p):
+    return rp.descriptive_report(p, "target_flag", "score_1_10", "target_amount", "nps_category", nps_score="n_closed",
+                                 pain="avg_discount", demographics=_DEMOGRAPHICS)
 
 
 def _ct_sql(dim: str, row_expr: str) -> str:
@@ -37,9 +67,6 @@ def _ct_sql(dim: str, row_expr: str) -> str:
             "ON g.row_label = c.row_label AND g.col_label = c.col_label")
 
 
-_CT_TIER = ("CASE tier_code WHEN 1 THEN 'T1' WHEN 2 THEN 'T2' WHEN 3 THEN 'T3' WHEN 4 THEN 'T4' WHEN 5 THEN 'T5' "
-            "WHEN 6 THEN 'T6' END")
-_CT_REGION = "CASE region_code WHEN 1 THEN 'R1' WHEN 2 THEN 'R2' WHEN 3 THEN 'R3' WHEN 4 THEN 'R4' END"
 
 
 @query("crosstab_report", sql=with_profile(
@@ -63,10 +90,34 @@ def _g(x: str, y: str) -> str:
     return f"covar_pop({xm}, {ym}) / nullif(stddev_pop({xm}) * stddev_pop({ym}), 0)"
 
 
-@query("diagnostic_report", sql=with_profile(
-    "SELECT " + ", ".join(f"round({_g(x, y)}, 6) AS {n}" for n, (x, y) in _DIAG.items()) + " FROM profile"))
+_DIAG_COLS = ["balance", "n_orders", "qty", "avg_discount", "n_parts", "score_1_10"]
+_TREND = ("avg_discount", "target_amount")
+_TX, _TY = [f"CASE WHEN avg_discount IS NOT NULL AND target_amount IS NOT NULL THEN CAST({c} AS DOUBLE) END" for c in _TREND]
+_SLOPE = f"(covar_pop({_TX}, {_TY}) / nullif(var_pop({_TX}), 0))"
+
+
+@query("diagnostic_report", sql=with_profile("\nUNION ALL ".join(
+    [f"SELECT '{s}' AS section, '{k}' AS key, round({_g(x, y)}, 6) AS value FROM profile" for s, k, x, y in
+     [("pairs", n, x, y) for n, (x, y) in _DIAG.items()]
+     + [("matrix", f"{x}|{y}", x, y) for i, x in enumerate(_DIAG_COLS) for y in _DIAG_COLS[:i]]
+     + [("target", c, c, "target_amount") for c in _DIAG_COLS] + [("trend", "r", *_TREND)]]
+    + [f"SELECT 'trend', 'slope', round({_SLOPE}, 2) FROM profile",
+       f"SELECT 'trend', 'intercept', round(avg({_TY}) - {_SLOPE} * avg({_TX}), 2) FROM profile",
+       f"SELECT 'trend', 'n', CAST(count({_TX}) AS DOUBLE) FROM profile"])))
 def q_diagnostic_report(spark, root):
-    return r6(rp.diagnostic_report(profile(spark, root), _DIAG))
+    line = F.col("key").isin("slope", "intercept")
+    return _diagnostic(profile(spark, root)).withColumn("value", F.when(line, F.round("value", 2)).otherwise(F.round("value", 6)))
+
+
+def _diagnostic(p):
+    return rp.diagnostic_report(p, _DIAG, _DIAG_COLS, "target_amount", _TREND)
+
+
+@query("diagnostic_scatter", sql=with_profile(
+    "SELECT id, segment AS \"group\", round(avg_discount, 6) AS x, round(target_amount, 4) AS y FROM profile "
+    "WHERE avg_discount IS NOT NULL AND target_amount IS NOT NULL"))
+def q_diagnostic_scatter(spark, root):
+    return r6(rp.scatter_rows(profile(spark, root), "id", *_TREND, "segment"), {"y": 4})
 
 
 @query("opportunity_map", headline=True, sql=with_profile(
@@ -95,14 +146,14 @@ _COUNTS = {"high_score": "score_1_10 >= 7", "value_seekers": "target_flag = 1 AN
     "UNION ALL SELECT 'choice_dist', choice, n FROM ch "
     "UNION ALL SELECT * FROM (SELECT 'choice_mode', choice, n FROM ch ORDER BY n DESC, choice LIMIT 1) t2 "
     "UNION ALL SELECT 'summary', 'willing_pct', round(avg(target_flag) * 100, 4) FROM profile "
-    "UNION ALL SELECT 'summary', 'median_amount', round(median(target_amount), 4) FROM profile "
+    "UNION ALL SELECT 'summary', 'median_amount', round(median(target_amount), 6) FROM profile "
     "UNION ALL SELECT 'summary', 'high_score', count(*) FILTER (WHERE score_1_10 >= 7) FROM profile "
     "UNION ALL SELECT 'summary', 'value_seekers', count(*) FILTER (WHERE target_flag = 1 AND n_returned >= 15) "
     "FROM profile"))
 def q_business_report(spark, root):
     rep = rp.business_report(profile(spark, root), _ITEMS, None, "tier_code", TIER_LABELS, "target_flag",
                              "target_amount", _COUNTS, top=5)
-    return r6(rep, {"value": 4})
+    return _tidy(rep)
 
 
 @query("run_all")
@@ -111,8 +162,9 @@ def q_run_all(spark, root):
     others = {"crosstabs": "crosstab_report", "correlations": "corr_with_target", "classification": "classifier_comparison",
               "clustering": "cluster_segments", "rules": "top_rules", "regression": "fit_targets", "business": "business_report"}
     sections = {
-        "descriptive": rp.descriptive_report(p, "target_flag", "score_1_10", "target_amount", "nps_category"),
-        "diagnostic": rp.diagnostic_report(p, _DIAG),
+        "descriptive": _descriptive(p),
+        "diagnostic": _diagnostic(p),
+        "scatter": rp.scatter_rows(p, "id", *_TREND, "segment"),
         "opportunity": rp.opportunity_map(p, "segment", "target_amount", "score_1_10", "avg_discount", "id"),
     } | {name: QUERIES[q](spark, root) for name, q in others.items()}
     return rp.run_all(sections, scratch_path(spark, "run-all")).orderBy(F.col("section"))

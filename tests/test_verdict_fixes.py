@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,32 @@ def test_training_sets_use_the_cores_once_they_are_worth_it(spark):
     n = fe._ROWS_WORTH_A_TASK
     assert fe.size_partitions(spark.range(n)).rdd.getNumPartitions() == 1
     assert fe.size_partitions(spark.range(n * cores)).rdd.getNumPartitions() == cores
+
+
+def test_correlations_pairwise_offsets_and_constants(spark):
+    from cohortlens.operators import stats as st
+    rng = np.random.default_rng(1)
+    d = pd.DataFrame({"a": rng.normal(size=2000) + 1e8, "b": rng.normal(size=2000)})
+    d["c"], d["k"], d["none"] = d.a - 1e8 + 0.5 * d.b, 0.1, np.nan
+    d["h"] = np.where(rng.random(2000) < 0.3, np.nan, d.b)
+    d["z"] = np.where(d.h.isna(), d.b, 7.3)  # constant where h is present
+    want = d.corr()
+    df = spark.createDataFrame(d).repartition(7)
+    for r in st.corr_matrix(df, list(d.columns)).collect():
+        x = want.loc[r.var_x, r.var_y]
+        assert (r.r is None) == bool(np.isnan(x)) and (r.r is None or abs(r.r - x) < 1e-7)
+    assert [r.r for r in st.corr_with_target(df.limit(0), ["a", "b"], "c").collect()] == [None, None]
+
+
+def test_reports_handle_empty_and_constant(spark):
+    from cohortlens.plans import reports as rp
+    df = spark.createDataFrame([(1, 7, 5.0, "x"), (0, 5, 5.0, "y"), (None, None, None, None)], "f int, s int, m double, c string")
+    got = {(r.section, r.key): r.value for r in rp.descriptive_report(df, "f", "s", "m", "c", bins=4, demographics={"label": ("f", {1: "yes"})}).collect()}
+    assert got["kpi", "median_amount"] == 5.0 and got["amount_range", "min"] == 4.5 and got["amount_range", "max"] == 5.5
+    assert [got["amount_histogram", str(i)] for i in range(4)] == [0, 0, 2, 0]
+    assert got["score_band", "High"] == 1 and got["score_band", "Medium"] == 1 and got["label", "yes"] == 1
+    assert ("flag_dist", None) not in got
+    empty = {(r.section, r.key): r.value for r in rp.descriptive_report(df.limit(0), "f", "s", "m", "c", bins=2).collect()}
+    assert empty["kpi", "median_amount"] is None and empty["amount_histogram", "1"] == 0
+    rep = rp.business_report(df, ["f", "s"], {"s": "Score"}, "c", None, "f", "m", {"high": "s >= 7"}, top=1).collect()
+    assert {(r.section, r.key, r.value) for r in rep} >= {("top_items", "Score", 6.0), ("choice_mode", "x", 1.0), ("summary", "high", 1.0)}
