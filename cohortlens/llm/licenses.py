@@ -7,12 +7,14 @@ hold them in the whole corpus, rarest first (words of no template cannot match
 and stand behind all others); a match of at least a words shares one of the
 first |T| - a + 1 words of the template, the block holds at least a words, and
 the words left from the shared one on must suffice. Candidates that pass are
-compared word by word.
+compared word by word, and the words by which a template's label differs from
+others (mit, nc, 4 0) must stand in the block as they do in the template.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +77,31 @@ def template_rows(templates: list[tuple[str, str]], containment: float) -> list[
     return out
 
 
+def separating(templates: list[tuple[str, str]], containment: float) -> list[list[str]]:
+    """Regular expressions that a block (its words, each with a space on either side) must all match, for each template.
+
+    Words of the template that its label names separate it from others; those that
+    adjoin in the template must adjoin in the block, and no such word of a sibling
+    (a template close enough to match the same text) may follow. So "cc by 4 0" is not
+    found in "cc by nc 4 0", nor "cc by nc" in "cc by nc sa".
+    """
+    kinds = template_rows(templates, containment)
+    named = [[w for w in words if w in re.split("[^0-9a-z]+", label.lower())] for _, label, words, _ in kinds]
+    out = []
+    for i, _, words, least in kinds:
+        siblings = [j for j, _, ws, need in kinds if j != i and len(set(ws) & set(words)) >= min(need, least)]
+        others = sorted({w for j in siblings for w in named[j]} - set(words))
+        runs: list[list[str]] = [[]]
+        for w in templates[i][0].split():
+            if w in named[i]:
+                runs[-1].append(w)
+            elif runs[-1]:
+                runs.append([])
+        stop = f"(?! (?:{'|'.join(map(re.escape, others))}) )" if others else ""
+        out.append(list(dict.fromkeys("  ".join(["", *[re.escape(w) for w in run]]).removeprefix(" ") + " " + stop for run in runs if run)))
+    return out
+
+
 def license_scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES,
                  containment: float = CONTAINMENT) -> DataFrame:
     """Licenses of every text.
@@ -104,7 +131,7 @@ def license_scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, temp
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, label, containment) of every template and line with at least that containment."""
+    """(doc_id, label, containment) of every template and line with at least that containment and the template's separating words."""
     spark = docs.sparkSession
     kinds = template_rows(templates, containment)
     vocabulary = sorted({w for _, _, words, _ in kinds for w in words})
@@ -112,25 +139,27 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     line = F.explode(F.split(F.translate(F.col("text"), _UPPER, _LOWER), "\n"))
     lines = docs.where("text is not null").select("doc_id", line.alias("line"))
     words = F.array_distinct(F.filter(F.split("line", _SEPARATORS), lambda w: w != ""))
-    blocks = lines.select("doc_id", F.array_intersect(words, known).alias("words"))
+    blocks = lines.select("doc_id", "line", F.array_intersect(words, known).alias("words"))
     # How many blocks hold each word of a template: at most one row per such word.
     counts = blocks.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").isin(vocabulary)).collect()
     often = {r["w"]: r["n"] for r in counts}
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
+    needs = separating(templates, containment)
     prefix = []
     for i, label, ws, least in kinds:
         ranked = sorted(ws, key=rank.__getitem__)
-        prefix += [(w, i, label, ranked, least, k) for k, w in enumerate(ranked[:len(ranked) - least + 1])]
+        prefix += [(w, i, label, ranked, least, k, needs[i]) for k, w in enumerate(ranked[:len(ranked) - least + 1])]
     rare = F.array(*[F.lit(w) for w in sorted({p[0] for p in prefix})]).cast("array<string>")
-    small = spark.createDataFrame(prefix, "w string, template int, label string, template_words array<string>, least int, i int")
+    small = spark.createDataFrame(prefix, "w string, template int, label string, template_words array<string>, least int, i int, needs array<string>")
     ordered = F.array(*[F.lit(w) for w in order]).cast("array<string>")
     # Only blocks with a word of some prefix are numbered and ranked.
-    some = blocks.where(F.arrays_overlap("words", rare)).select("doc_id", F.array_intersect(ordered, F.col("words")).alias("words"))
-    tokens = some.select("doc_id", "words", F.posexplode("words").alias("j", "w"))
+    some = blocks.where(F.arrays_overlap("words", rare)).select("doc_id", "line", F.array_intersect(ordered, F.col("words")).alias("words"))
+    tokens = some.select("doc_id", "line", "words", F.posexplode("words").alias("j", "w"))
     pairs = (tokens.join(F.broadcast(small), "w")
              .where(F.size("words") >= F.col("least"))
              .where(1 + F.least(F.size("template_words") - F.col("i") - 1, F.size("words") - F.col("j") - 1) + F.least("i", "j") >= F.col("least")))
     shared = F.size(F.array_intersect("words", "template_words"))
-    return (pairs.select("doc_id", "label", "least", shared.alias("shared"), F.size("template_words").alias("size"))
-            .where(F.col("shared") >= F.col("least")).select("doc_id", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct())
+    return (pairs.select("doc_id", "line", "label", "least", "needs", shared.alias("shared"), F.size("template_words").alias("size"))
+            .where(F.col("shared") >= F.col("least"))
+            .withColumn("norm", normalised(F.col("line"))).where(F.forall("needs", lambda r: F.rlike("norm", r))).select("doc_id", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct())

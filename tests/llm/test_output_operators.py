@@ -135,6 +135,27 @@ def test_license_scan_matches_brute_force(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_license_labels_need_the_words_that_separate_them(spark):
+    want = {
+        "Licensed under CC BY 4.0": "cc-by,cc-by-4.0",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+        "Licensed under CC BY-NC 3.0.": "cc-by,cc-by-nc",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by",
+        "Licensed under CC BY-ND 4.0.": "cc-by",
+        "Licensed under CC BY 3.0": "cc-by",
+        "Licensed under CC BY 4.0, figures licensed under CC BY-NC 4.0.": "cc-by,cc-by-4.0,cc-by-nc",
+        "Released under the BSD License.": "",
+        "Released under the MIT License.": "mit",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "Licensed under the Apache License 2.0": "apache,apache-2.0",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert {list(want)[r["doc_id"]]: r["labels"] for r in licenses.license_scan(docs).collect()} == want
+    assert {r["doc_id"]: r["score"] for r in licenses.license_scan(docs).collect()}[list(want).index("Released under the BSD License.")] == 0
+
+
 def conversations(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
