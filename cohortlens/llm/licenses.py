@@ -1,7 +1,8 @@
 """License scan: phrases, and an exact set-similarity join with license templates.
 
-DataFrame functions only. Text blocks are lines. A block matches a template
-when it holds at least ``CONTAINMENT`` of the template's different words. The
+DataFrame functions only. Text blocks are overlapping windows of words over the
+whole text, however it is wrapped: each notice lies inside one, and none is
+longer than two notices. A block matches a template when it holds at least ``CONTAINMENT`` of the template's different words. The
 join is the prefix-filter join: words are ordered by the number of blocks that
 hold them in the whole corpus, rarest first (words of no template cannot match
 and stand behind all others); a match of at least a words shares one of the
@@ -77,13 +78,19 @@ def template_rows(templates: list[tuple[str, str]], containment: float) -> list[
     return out
 
 
+def place_words(templates: list[tuple[str, str]], containment: float) -> list[int]:
+    """Greatest words of a place of each notice, with about as many added words as may be missing; blocks start as far apart as the longest."""
+    return [math.ceil(len(text.split()) * len(words) / least) for (text, _), (_, _, words, least) in zip(templates, template_rows(templates, containment))]
+
+
 def separating(templates: list[tuple[str, str]], containment: float) -> list[list[str]]:
     """Regular expressions that a block (its words, each with a space on either side) must all match, for each template.
 
     Words of the template that its label names separate it from others; those that
     adjoin in the template must adjoin in the block, and no such word of a sibling
     (a template close enough to match the same text) may follow. So "cc by 4 0" is not
-    found in "cc by nc 4 0", nor "cc by nc" in "cc by nc sa".
+    found in "cc by nc 4 0", nor "cc by nc" in "cc by nc sa". A single such word
+    must adjoin a word of the template on its side, so the German "mit" is no name.
     """
     kinds = template_rows(templates, containment)
     named = [[w for w in words if w in re.split("[^0-9a-z]+", label.lower())] for _, label, words, _ in kinds]
@@ -91,14 +98,20 @@ def separating(templates: list[tuple[str, str]], containment: float) -> list[lis
     for i, _, words, least in kinds:
         siblings = [j for j, _, ws, need in kinds if j != i and len(set(ws) & set(words)) >= min(need, least)]
         others = sorted({w for j in siblings for w in named[j]} - set(words))
-        runs: list[list[str]] = [[]]
-        for w in templates[i][0].split():
-            if w in named[i]:
-                runs[-1].append(w)
-            elif runs[-1]:
-                runs.append([])
-        stop = f"(?! (?:{'|'.join(map(re.escape, others))}) )" if others else ""
-        out.append(list(dict.fromkeys("  ".join(["", *[re.escape(w) for w in run]]).removeprefix(" ") + " " + stop for run in runs if run)))
+        stop = f"(?! (?:{'|'.join(others)}) )" if others else ""
+        text, found = templates[i][0].split(), []
+        k = 0
+        while k < len(text):
+            n = 0
+            while k + n < len(text) and text[k + n] in named[i]:
+                n += 1
+            if n:
+                run = " " + "  ".join(text[k:k + n]) + " "
+                if n == 1:  # may be a plain word elsewhere ("mit"): beside a word that stands on that side in the template
+                    run = "|".join([f" (?:{'|'.join(text[:k])}) {run}"] * (k > 0) + [f"{run} (?:{'|'.join(text[k + 1:])}) "] * (k + 1 < len(text)))
+                found.append(f"(?:{run}){stop}")
+            k += n + 1
+        out.append(list(dict.fromkeys(found)))
     return out
 
 
@@ -131,15 +144,19 @@ def license_scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, temp
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, label, containment) of every template and line with at least that containment and the template's separating words."""
+    """(doc_id, label, containment) of every template and block with at least that containment and the template's separating words."""
     spark = docs.sparkSession
     kinds = template_rows(templates, containment)
     vocabulary = sorted({w for _, _, words, _ in kinds for w in words})
     known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
-    line = F.explode(F.split(F.translate(F.col("text"), _UPPER, _LOWER), "\n"))
-    lines = docs.where("text is not null").select("doc_id", line.alias("line"))
-    words = F.array_distinct(F.filter(F.split("line", _SEPARATORS), lambda w: w != ""))
-    blocks = lines.select("doc_id", "line", F.array_intersect(words, known).alias("words"))
+    places = place_words(templates, containment)
+    step = max(places)
+    words = F.array_remove(F.split(F.translate(F.col("text"), _UPPER, _LOWER), _SEPARATORS), "")
+    every = docs.where("text is not null").select("doc_id", words.alias("all"))
+    # A last block inside the one before it is left out.
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("all") / F.lit(step)).cast("int") - 2))
+    block = F.explode(F.transform(starts, lambda i: F.slice("all", i * step + 1, 2 * step)))
+    blocks = every.select("doc_id", block.alias("block")).select("doc_id", "block", F.array_intersect("block", known).alias("words"))
     # How many blocks hold each word of a template: at most one row per such word.
     counts = blocks.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").isin(vocabulary)).collect()
     often = {r["w"]: r["n"] for r in counts}
@@ -149,17 +166,21 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     prefix = []
     for i, label, ws, least in kinds:
         ranked = sorted(ws, key=rank.__getitem__)
-        prefix += [(w, i, label, ranked, least, k, needs[i]) for k, w in enumerate(ranked[:len(ranked) - least + 1])]
+        prefix += [(w, i, label, ranked, least, k, needs[i], places[i]) for k, w in enumerate(ranked[:len(ranked) - least + 1])]
     rare = F.array(*[F.lit(w) for w in sorted({p[0] for p in prefix})]).cast("array<string>")
-    small = spark.createDataFrame(prefix, "w string, template int, label string, template_words array<string>, least int, i int, needs array<string>")
+    small = spark.createDataFrame(prefix, "w string, template int, label string, template_words array<string>, least int, i int, needs array<string>, place int")
     ordered = F.array(*[F.lit(w) for w in order]).cast("array<string>")
     # Only blocks with a word of some prefix are numbered and ranked.
-    some = blocks.where(F.arrays_overlap("words", rare)).select("doc_id", "line", F.array_intersect(ordered, F.col("words")).alias("words"))
-    tokens = some.select("doc_id", "line", "words", F.posexplode("words").alias("j", "w"))
+    some = blocks.where(F.arrays_overlap("words", rare)).select("doc_id", "block", F.array_intersect(ordered, F.col("words")).alias("words"))
+    tokens = some.select("doc_id", "block", "words", F.posexplode("words").alias("j", "w"))
     pairs = (tokens.join(F.broadcast(small), "w")
              .where(F.size("words") >= F.col("least"))
              .where(1 + F.least(F.size("template_words") - F.col("i") - 1, F.size("words") - F.col("j") - 1) + F.least("i", "j") >= F.col("least")))
     shared = F.size(F.array_intersect("words", "template_words"))
-    return (pairs.select("doc_id", "line", "label", "least", "needs", shared.alias("shared"), F.size("template_words").alias("size"))
-            .where(F.col("shared") >= F.col("least"))
-            .withColumn("norm", normalised(F.col("line"))).where(F.forall("needs", lambda r: F.rlike("norm", r))).select("doc_id", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct())
+    near = pairs.where(shared >= F.col("least"))
+    # The words must lie within one place of the template, the separating ones with them (and the word after).
+    at = lambda i, n: F.slice("block", i + 1, F.col("place") + n)
+    norm = lambda i: F.concat(F.lit(" "), F.array_join(at(i, 1), "  "), F.lit(" "))
+    held = F.transform(F.sequence(F.lit(0), F.size("block") - 1), lambda i: F.when(F.forall("needs", lambda r: F.rlike(norm(i), r)), F.size(F.array_intersect(at(i, 0), "template_words"))))
+    return (near.select("doc_id", "label", "least", F.array_max(held).alias("shared"), F.size("template_words").alias("size"))
+            .where(F.col("shared") >= F.col("least")).select("doc_id", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct())

@@ -1,6 +1,8 @@
 import hashlib
 import io
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -149,6 +151,7 @@ def test_license_labels_need_the_words_that_separate_them(spark):
         "Released under the MIT License.": "mit",
         "This work is licensed under the GNU General Public License, version 2.": "gpl",
         "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "Zeit mit Licensed under the Apache License, Version 2.0. Haus mit Garten": "apache,apache-2.0",
         "Licensed under the Apache License 2.0": "apache,apache-2.0",
     }
     docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
@@ -156,6 +159,41 @@ def test_license_labels_need_the_words_that_separate_them(spark):
     assert {r["doc_id"]: r["score"] for r in licenses.license_scan(docs).collect()}[list(want).index("Released under the BSD License.")] == 0
 
 
+def window_labels(t):
+    """Template labels by windows of words, in Python."""
+    w, places, out = D.plain_words(t), licenses.place_words(licenses.TEMPLATES, licenses.CONTAINMENT), set()
+    needs = licenses.separating(licenses.TEMPLATES, licenses.CONTAINMENT)
+    for i, label, words, least in licenses.template_rows(licenses.TEMPLATES, licenses.CONTAINMENT):
+        for s in range(len(w)):
+            norm = "".join(f" {x} " for x in w[s:s + places[i] + 1])
+            if len(set(w[s:s + places[i]]) & set(words)) >= least and all(re.search(r, norm) for r in needs[i]):
+                out.add(label)
+    return out
+
+
+def test_wrapped_notices_are_found_and_scattered_words_are_not(spark):
+    rng = random.Random(8)
+    rows, want = [], []
+    for text, label in licenses.TEMPLATES:
+        for width in (25, 80):
+            for before in (0, 7, 20, 33, 500):
+                for mark in ("", " * "):
+                    rows.append(D.prose(rng, before) + "\n" + "\n".join(mark + x for x in textwrap.wrap(text, width)) + "\n" + D.prose(rng, 30))
+                    want.append({label})
+    for text, _ in licenses.TEMPLATES:  # one long line, 60 words between any two of the notice
+        rows.append(" ".join(f"{D.prose(rng, 60)} {w}" for w in text.split()))
+        want.append(set())
+    for _ in range(40):  # pieces of notices
+        rows.append(" ".join(rng.choice([D.prose(rng, 9), " ".join(rng.choice(licenses.TEMPLATES)[0].split()[rng.randrange(3):])]) for _ in range(9)))
+        want.append(window_labels(rows[-1]))
+    assert [window_labels(t) for t in rows] == want
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {i: set() for i in range(len(rows))}
+    for r in licenses.template_matches(docs).collect():
+        got[r["doc_id"]].add(r["label"])
+    assert list(got.values()) == want
+
+
 def conversations(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
