@@ -195,3 +195,84 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"),
                       F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
                       F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where crc32(doc_id) is divisible by 10, the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.select("doc_id", "text", "w", F.size("w").alias("n"), F.expr("h div 10").alias("g"))
+    rows = rows.select("doc_id", "text", "w", "n", "g", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")).alias("a"))
+    rows = rows.withColumn("p", (1 + F.expr("(n - a) div (3 + g % 8)")).cast("int"))
+    again = F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
+    planted = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(F.flatten(again), F.lit(1), F.col("n") - F.col("a")))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def periodic_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.periodic import periodic_runs
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("m"), listed.alias("listed"), "kept_text")
+    return found.select("doc_id", "n_runs", (-F.col("m.start")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.period")).alias("period"),
+                        F.expr("1000 * m.length div -m.period").alias("exponent_milli"),
+                        F.sha2(F.when(F.col("n_runs") > 0, F.concat("listed", F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+                        F.sha2("kept_text", 256).alias("collapsed_sha256"))
+
+
+@query("op12_exact_dedup", """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""")
+def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.naming import exact_dedup
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def _manifest_sql(levels: int = 5) -> str:
+    """Trees of at most 16 ** levels leaves per source, and of as many sources; each level joins a node's run with itself."""
+    def part(c):
+        return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    text = "text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf, other = (f"sha256({' || '.join(part(c) for c in ['doc_id', 'source', 'lang', 'n_chars', t])})" for t in text)
+    crc = ("list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+           "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)")
+    sql = [f"d AS MATERIALIZED (SELECT doc_id, source, {leaf} AS leaf, CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {other} ELSE {leaf} END AS altered FROM documents)"]
+    sql.append("s0 AS MATERIALIZED (SELECT source, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, "
+               "count(*) OVER (PARTITION BY source) AS size, leaf AS h, doc_id FROM d)")
+
+    def climb(x):
+        for k in range(1, levels + 1):
+            sql.append(f"{x}{k} AS MATERIALIZED (SELECT tree, pos // 16 AS pos, (max(size) + 15) // 16 AS size, CASE WHEN max(size) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {x}{k - 1} GROUP BY tree, pos // 16)")
+        for k in range(levels):
+            sql.append(f"{x}p{k} AS MATERIALIZED (SELECT a.tree, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, "
+                       f"coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r, max(a.size) > 1 AS step FROM {x}{k} a JOIN {x}{k} b ON a.tree = b.tree AND a.pos // 16 = b.pos // 16 GROUP BY a.tree, a.pos)")
+    climb("s")
+    sql.append(f"t0 AS MATERIALIZED (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS size, h FROM s{levels})")
+    climb("t")
+    sql.append(f"f0 AS (SELECT d.*, s0.tree, s0.pos, altered AS f, '' AS p FROM d JOIN s0 USING (doc_id))")
+    n = 0
+    for x, tree, pos in (("s", "tree", "pos"), ("t", "0", "tree")):
+        for k in range(levels):
+            at = f"{pos} // {16 ** k}"
+            sql.append(f"f{n + 1} AS (SELECT f.* REPLACE (CASE WHEN q.step THEN sha256(q.l || f.f || q.r) ELSE f.f END AS f, f.p || q.l || q.r AS p) FROM f{n} f JOIN {x}p{k} q ON q.tree = {('f.' + tree) if tree != '0' else 0} AND q.pos = f.{at})")
+            n += 1
+    return ("WITH " + ",\n".join(sql) + f"\nSELECT f.doc_id, f.leaf, s.h AS subroot, t.h AS root, sha256(f.p) AS proof_sha256, f.f AS folded_root, f.f = t.h AS verified "
+            f"FROM f{n} f JOIN s{levels} s ON s.tree = f.tree CROSS JOIN t{levels} t")
+
+
+@query("op13_merkle_manifest", _manifest_sql())
+def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm import manifest as M
+    from cohortlens.llm.naming import fold
+    docs = table(spark, sf_dir, "documents")
+    record = [docs[c] for c in ("doc_id", "source", "lang", "n_chars")]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    altered = M.record_hash(*record, F.when(docs["text"].isNotNull(), fold(docs["text"])))
+    leaves = docs.select("doc_id", "source", M.record_hash(*record, docs["text"]).alias("leaf"), F.when(chosen, altered).alias("altered"))
+    out = M.merkle_manifest(leaves, "source", ["doc_id"], ["doc_id", "altered"])
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(M.proof(F.col("path")), 256).alias("proof_sha256"),
+                      M.folded(F.coalesce("altered", "leaf"), F.col("path")).alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
