@@ -15,15 +15,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.features import split_hash, to_array
 from cohortlens.operators.ranking import average_rank, min_max_scale
+from cohortlens.operators.stages import CentreModel
 
 _SAMPLE_LIMIT = 20_000
 _K_LIMIT = 10_000
@@ -38,28 +41,114 @@ def _vec(df: DataFrame, features: str | Sequence[str], out: str = "features") ->
 
 
 # I1
-def kmeans(df: DataFrame, features: str | Sequence[str], k: int = 5, n_init: int = 20, seed: int = 42,
-           max_iter: int = 300, tol: float = 1e-4, parallel: int = 4):
-    """Best of ``n_init`` k-means|| runs by training cost (inertia); ties go
-    to the earlier restart.
+#: Rows that starting centres are drawn from; every row takes part in what follows.
+INIT_SAMPLE = 4_000
+
+
+def _points(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
+    return to_array(df, features, "__x").select("__x").where(F.col("__x").isNotNull())
+
+
+def _seed_centres(X: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Greedy k-means++ on a sample, then Lloyd's steps within it."""
+    centres = X[[rng.integers(len(X))]]
+    near = ((X - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k:
+        total = near.sum()
+        tries = rng.choice(len(X), 2 + int(np.log(k)), p=near / total if total > 0 else None)
+        each = [np.minimum(near, ((X - X[t]) ** 2).sum(axis=1)) for t in tries]
+        best = int(np.argmin([e.sum() for e in each]))
+        centres, near = np.vstack([centres, X[tries[best]]]), each[best]
+    for _ in range(100):
+        owner = ((X[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([X[owner == j].mean(axis=0) if (owner == j).any() else centres[j] for j in range(k)])
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def _step(points: DataFrame, runs: Sequence[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """One pass of all ``runs`` at once: (means of the rows nearest to each centre, cost of each run)."""
+    d, k = runs[0].shape[1], [len(c) for c in runs]
+    stacked, first = np.vstack(runs), np.concatenate([[0], np.cumsum(k)])
+    half = (stacked * stacked).sum(axis=1) / 2
+
+    def tally(batches):
+        n, total, cost = np.zeros(len(stacked), np.int64), np.zeros(stacked.shape), np.zeros(len(runs))
+        for batch in batches:
+            X = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            for s in range(0, len(X), 8_192):
+                some = X[s:s + 8_192]
+                far = half - some @ stacked.T  # half the squared distance, less what a row has in common
+                for r in range(len(runs)):
+                    own = first[r] + far[:, first[r]:first[r + 1]].argmin(axis=1)
+                    n += np.bincount(own, minlength=len(n))
+                    for i in range(d):
+                        total[:, i] += np.bincount(own, some[:, i], len(n))
+                    off = some - stacked[own]
+                    cost[r] += np.einsum("ij,ij->", off, off)
+        at = np.concatenate([np.arange(len(stacked)), -1 - np.arange(len(runs))])
+        sums = np.vstack([total, np.zeros((len(runs), d))])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([n, np.zeros(len(runs), np.int64)])),
+                                          pa.array(np.concatenate([np.zeros(len(stacked)), cost])), *[pa.array(sums[:, i]) for i in range(d)]],
+                                         ["at", "n", "cost", *[f"s{i}" for i in range(d)]])
+
+    sums = [f"s{i}" for i in range(d)]
+    found = points.mapInArrow(tally, ", ".join(["at long", "n long", "cost double", *[f"{c} double" for c in sums]]))
+    # One row per centre and run, whatever the number of partitions.
+    rows = found.groupBy("at").agg(*[F.sum(c).alias(c) for c in ["n", "cost", *sums]]).collect()
+    moved, costs = stacked.copy(), np.zeros(len(runs))
+    for r in rows:
+        if r["at"] < 0:
+            costs[-1 - r["at"]] = r["cost"]
+        elif r["n"]:
+            moved[r["at"]] = [r[c] / r["n"] for c in sums]
+    return [moved[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], costs
+
+
+def kmeans_runs(df: DataFrame, features: str | Sequence[str], ks: Sequence[int], seed: int = 42, max_iter: int = 300,
+                tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """Lloyd's algorithm for every entry of ``ks`` at once; (centres, cost) of each.
+
+    Run i starts from centres drawn with ``seed + i`` from ``INIT_SAMPLE`` rows. Each iteration is one pass over all rows:
+    a task multiplies its rows by the stacked centres of all runs that still move, and one aggregate returns a row per
+    centre. A run ends when no centre moves farther than ``tol``. Costs are those of the final centres over all rows.
+    Rows without a point are left out; a run has fewer centres than asked for where fewer rows are there.
+    """
+    points = _points(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        spread = F.xxhash64("__x", F.monotonically_increasing_id())
+        X = np.array([r[0] for r in points.orderBy(spread).limit(INIT_SAMPLE).collect()], float)
+        if not len(X):
+            raise ValueError("k-means needs at least one row")
+        runs = [_seed_centres(X, min(k, len(X)), np.random.default_rng(seed + i)) for i, k in enumerate(ks)]
+        live = list(range(len(runs)))
+        for _ in range(max_iter):
+            moved, _ = _step(points, [runs[i] for i in live])
+            still = []
+            for i, c in zip(live, moved, strict=True):
+                if ((c - runs[i]) ** 2).sum(axis=1).max() > tol * tol:
+                    still.append(i)
+                runs[i] = c
+            live = still
+            if not live:
+                break
+        _, costs = _step(points, runs)
+        return [(c, float(x)) for c, x in zip(runs, costs, strict=True)]
+    finally:
+        points.unpersist()
 
-    Returns (model, cost, costs per restart). The input is cached for the
-    restarts and released afterwards. Restarts are independent, so up to
-    ``parallel`` of them are submitted concurrently to the same session;
-    each fit is still a distributed MLlib job."""
-    data = _vec(df, features).select("features").cache()
 
-    def fit(i: int):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="features").fit(data)
-        return m, m.summary.trainingCost
+def kmeans(df: DataFrame, features: str | Sequence[str], k: int = 5, n_init: int = 20, seed: int = 42,
+           max_iter: int = 300, tol: float = 1e-4):
+    """Best of ``n_init`` runs by cost (inertia), which all advance in the same passes; ties go to the earlier run.
 
-    try:
-        results = run_parallel([lambda i=i: fit(i) for i in range(n_init)], parallel)
-        costs = [c for _, c in results]
-        best_i = min(range(n_init), key=lambda i: (costs[i], i))
-        return results[best_i][0], costs[best_i], costs
-    finally:
-        data.unpersist()
+    Returns (model, cost, costs per run); the model is a saveable ``CentreModel``."""
+    runs = kmeans_runs(df, features, [k] * n_init, seed, max_iter, tol)
+    costs = [c for _, c in runs]
+    best = min(range(n_init), key=lambda i: (costs[i], i))
+    return CentreModel.of(runs[best][0], features), costs[best], costs
 
 
 def run_parallel(tasks, parallel: int):
@@ -71,22 +160,25 @@ def run_parallel(tasks, parallel: int):
         return list(pool.map(lambda t: t(), tasks))
 
 
-def assign(model, df: DataFrame, features: str | Sequence[str], out: str = "cluster") -> DataFrame:
-    return model.setPredictionCol(out).transform(_vec(df, features)).drop("features")
+def assign(model: CentreModel, df: DataFrame, features: str | Sequence[str], out: str = "cluster") -> DataFrame:
+    return CentreModel.of(np.array(model.clusterCenters()), features).setPredictionCol(out).transform(df)
 
 
 # I2
 def k_sweep(df: DataFrame, features: str | Sequence[str], ks: Sequence[int] = range(2, 9), n_init: int = 10,
             seed: int = 42, sample: int = 500, key: str | None = None) -> DataFrame:
-    """Inertia and sample silhouette per k (the elbow table)."""
-    def one(k: int):
-        model, cost, _ = kmeans(df, features, k, n_init, seed)
-        labelled = assign(model, df, features, "cluster")
-        sil = silhouette(labelled, "cluster", features, sample=sample, seed=seed, key=key).first()["silhouette"]
-        return (int(k), float(cost), None if sil is None else float(sil))
-
-    rows = run_parallel([lambda k=k: one(k) for k in ks], 2)
-    out = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    """Inertia and sample silhouette per k (the elbow table). All runs of all k share their passes, and the sample is read once."""
+    if key is None:
+        raise ValueError("k_sweep needs a key column for the deterministic sample")
+    ks = [int(k) for k in ks]
+    runs = kmeans_runs(df, features, [k for k in ks for _ in range(n_init)], seed)
+    best = [min(runs[i * n_init:(i + 1) * n_init], key=lambda r: r[1]) for i in range(len(ks))]
+    rows = silhouette_sample(to_array(df, features).select(key, "__x"), key, sample, seed).collect()
+    X = np.array([r["__x"] for r in rows], dtype=np.float64)
+    labels = [((X[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1) for c, _ in best]
+    scores = {r["run"]: r["silhouette"] for r in _sample_silhouettes(df, X, labels).collect()}
+    out = df.sparkSession.createDataFrame([(k, cost, scores.get(i)) for i, (k, (_, cost)) in enumerate(zip(ks, best, strict=True))],
+                                          "k int, inertia double, silhouette double")
     # Best k by silhouette (ties -> smaller k); the table has one row per k.
     w = Window.orderBy(F.col("silhouette").desc_nulls_last(), F.col("k"))
     return out.withColumn("is_best", F.row_number().over(w) == 1).orderBy("k")
@@ -117,55 +209,59 @@ def silhouette(df: DataFrame, label: str, features: str | Sequence[str], sample:
     if key is None:
         raise ValueError("silhouette needs a key column for the deterministic sample")
     smp = silhouette_sample(to_array(df, features).select(key, label, "__x"), key, sample, seed)
-    # The sample is bounded by ``sample`` (checked above), so it is broadcast.
+    # The sample is bounded by ``sample`` (checked above): read once, then scored from the driver's copy.
     rows = smp.collect()
     if not rows:
         return df.sparkSession.createDataFrame([(None,)], "silhouette double")
     X = np.array([r["__x"] for r in rows], dtype=np.float64)
-    labs = np.array([r[label] for r in rows])
-    bc = df.sparkSession.sparkContext.broadcast((X, labs))
+    _, labs = np.unique(np.array([r[label] for r in rows]), return_inverse=True)
+    return _sample_silhouettes(df, X, [labs]).select("silhouette")
+
+
+def _sample_silhouettes(df: DataFrame, X: np.ndarray, labels: Sequence[np.ndarray]) -> DataFrame:
+    """(run, silhouette) of a bounded sample under each labelling (label numbers); the sample is broadcast, tasks score its rows."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((X, [np.asarray(x) for x in labels]))
 
     def score(it):
-        Xa, la = bc.value
-        uniq = np.unique(la)
+        Xa, runs = shared.value
         for pdf in it:
-            if pdf.empty:
-                continue
-            P = np.vstack(pdf["__x"].to_numpy()).astype(np.float64)
-            own = pdf[label].to_numpy()
+            at = pdf["id"].to_numpy()
             step = max(1, 2_000_000 // max(1, Xa.shape[0] * Xa.shape[1]))
-            d = np.concatenate([np.sqrt(((P[s:s + step, None, :] - Xa[None, :, :]) ** 2).sum(axis=2))
-                                for s in range(0, len(P), step)])
-            means = np.stack([d[:, la == u].sum(axis=1) for u in uniq], axis=1)
-            sizes = np.array([(la == u).sum() for u in uniq], dtype=np.float64)
-            idx = np.searchsorted(uniq, own)
-            n_own = sizes[idx]
-            a = np.where(n_own > 1, means[np.arange(len(P)), idx] / np.maximum(n_own - 1, 1), 0.0)
-            other = means / sizes[None, :]
-            other[np.arange(len(P)), idx] = np.inf
-            b = other.min(axis=1) if len(uniq) > 1 else np.full(len(P), np.nan)
-            top = np.maximum(a, b)
-            # Singletons, and points at distance 0 from everything, score 0.
-            s = np.where((n_own > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), np.where(np.isnan(top), np.nan, 0.0))
-            yield pd.DataFrame({"s": s})
-
-    vals = smp.select(label, "__x").repartition(max(1, min(64, len(rows) // 256 + 1))).mapInPandas(score, "s double")
-    return vals.agg(F.avg("s").alias("silhouette"))
+            for a in range(0, len(at), step):
+                some = at[a:a + step]
+                d = np.sqrt(((Xa[some, None, :] - Xa[None, :, :]) ** 2).sum(axis=2))
+                for run, la in enumerate(runs):
+                    sizes = np.bincount(la).astype(np.float64)
+                    means = np.stack([d[:, la == u].sum(axis=1) for u in range(len(sizes))], axis=1)
+                    idx, line = la[some], np.arange(len(some))
+                    n_own = sizes[idx]
+                    own = np.where(n_own > 1, means[line, idx] / np.maximum(n_own - 1, 1), 0.0)
+                    other = np.where(sizes > 0, means / np.maximum(sizes, 1), np.inf)
+                    other[line, idx] = np.inf
+                    b = other.min(axis=1)
+                    b = np.where(np.isinf(b), np.nan, b)
+                    top = np.maximum(own, b)
+                    # Singletons, and points at distance 0 from everything, score 0.
+                    s = np.where((n_own > 1) & (top > 0), (b - own) / np.where(top > 0, top, 1.0), np.where(np.isnan(top), np.nan, 0.0))
+                    yield pd.DataFrame({"run": run, "s": s})
+
+    ids = spark.range(0, len(X), 1, max(1, min(64, len(X) // 256 + 1)))
+    # A labelling with one label has no other cluster: its scores are missing.
+    return ids.mapInPandas(score, "run int, s double").groupBy("run").agg(F.avg("s").alias("silhouette"))
 
 
 # I4
 def davies_bouldin(df: DataFrame, label: str, features: str | Sequence[str]) -> DataFrame:
     """mean_i max_{j != i} (S_i + S_j) / d(c_i, c_j), S = mean distance of a
     cluster's points to its centroid; a pair of equal centroids adds nothing."""
-    x = to_array(df, features).select(F.col(label).alias("__l"), "__x")
-    head = x.where(F.col("__x").isNotNull()).select("__x").first()
-    if head is None:
-        return df.sparkSession.createDataFrame([(None,)], "davies_bouldin double")
-    d = len(head["__x"])
-    cent = x.groupBy("__l").agg(*[F.avg(F.col("__x")[i]).alias(f"c{i}") for i in range(d)]).select(
-        "__l", F.array(*[F.col(f"c{i}") for i in range(d)]).alias("__c"))
+    x = to_array(df, features).select(F.col(label).alias("__l"), "__x").where(F.col("__x").isNotNull())
+    # One read for the centroids (kept: one row per cluster), one for the spreads.
+    mean = Summarizer.mean(array_to_vector("__x"))
+    cent = x.groupBy("__l").agg(vector_to_array(mean).alias("__c")).persist(StorageLevel.MEMORY_AND_DISK)
     n_clusters = cent.count()
     if n_clusters > _K_LIMIT:
+        cent.unpersist()
         raise ValueError("too many clusters for Davies-Bouldin")
     # k centroids (checked above) are broadcast back to the rows.
     dist = F.sqrt(F.aggregate(F.zip_with("__x", "__c", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
@@ -178,7 +274,9 @@ def davies_bouldin(df: DataFrame, label: str, features: str | Sequence[str]) ->
           b -> (a.__s + b.__s) / nullif(sqrt(aggregate(zip_with(a.__c, b.__c, (p, q) -> (p - q) * (p - q)), 0D,
                                                  (acc, v) -> acc + v)), 0D)))),
         0D, (acc, v) -> acc + coalesce(v, 0D)) / size(cs)"""
-    return table.select(F.expr(expr).alias("davies_bouldin"))
+    value = table.select(F.expr(expr).alias("davies_bouldin")).first()["davies_bouldin"]
+    cent.unpersist()
+    return df.sparkSession.createDataFrame([(value,)], "davies_bouldin double")
 
 
 # I5
@@ -215,10 +313,8 @@ def name_segments(df: DataFrame, key: str, rank_cols: Sequence[str], rules: Sequ
     for label, cond in rules:
         name = F.when(F.expr(cond), F.lit(label)) if name is None else name.when(F.expr(cond), F.lit(label))
     name = F.lit(default) if name is None else name.otherwise(F.lit(default))
-    names = ranked.select(key, name.alias(out)).cache()
-    # One row per group (segments/clusters): broadcast once the count is known small.
-    n_groups = names.count()
-    return df.join(F.broadcast(names) if n_groups <= _K_LIMIT else names, key, "left")
+    # One row per group (segments or clusters); its measured size decides how it is joined.
+    return df.join(ranked.select(key, name.alias(out)), key, "left")
 
 
 # I7

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.classify import feature_importance
+from cohortlens.operators.stages import LinearPredictor
 
 
 def _pipeline(features: Sequence[str], est) -> Pipeline:
@@ -23,11 +27,66 @@ def _pipeline(features: Sequence[str], est) -> Pipeline:
 
 
 # H1
+#: Triangles that one task of the reduction takes together.
+_FAN_IN = 16
+
+
+def tall_qr(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
+    """R of the QR decomposition of a tall table: every partition makes its own triangle, and groups of
+    ``_FAN_IN`` triangles are decomposed again until one is left. Only triangles, the square of the number of
+    columns, travel; their product with themselves is never formed, so the condition is not squared.
+
+    Rows with a missing value in any column are left out. Signs of rows of R are free."""
+    names = [f"c{i}" for i in range(len(columns))]
+    schema = ", ".join(["part long", *[f"{c} double" for c in names]])
+
+    def triangle(batches) -> np.ndarray:
+        step, held = max(4_096, 4 * len(names)), np.zeros((0, len(names)))
+        for batch in batches:
+            X = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            X = X[~np.isnan(X).any(axis=1)]
+            for a in range(0, len(X), step):
+                held = np.linalg.qr(np.vstack([held, X[a:a + step]]), mode="r")
+        return held
+
+    def emit(part: int, R: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(R), pa.int64()), *[pa.array(R[:, i]) for i in range(len(names))]], ["part", *names])
+
+    def whole(batches):
+        R = triangle(batches)
+        if len(R):
+            yield emit(TaskContext.get().partitionId(), R)
+
+    def merge(key, table):
+        return pa.Table.from_batches([emit(key[0].as_py(), triangle(table.to_batches()))])
+
+    slim = df.select(*[c.cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
+    parts, left = slim.mapInArrow(whole, schema), slim.rdd.getNumPartitions()
+    while left > 1:
+        parts = parts.withColumn("part", F.expr(f"part div {_FAN_IN}")).groupBy("part").applyInArrow(merge, schema)
+        left = -(-left // _FAN_IN)
+    rows = parts.select(*names).collect()
+    R = np.array([tuple(r) for r in rows], float).reshape(-1, len(names))
+    return np.linalg.qr(R, mode="r") if len(R) else R
+
+
 def fit_linear(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
-    """Ordinary least squares with intercept (normal equations; at most 4096 features)."""
-    est = LinearRegression(featuresCol="features", labelCol=label, regParam=0.0, solver="normal",
-                           standardization=False)
-    return _pipeline(features, est).fit(train)
+    """Ordinary least squares with intercept, by a distributed QR decomposition.
+
+    Near-collinear and constant features are no obstacle: among equally good coefficients the smallest (about the
+    columns' means) are taken, as NumPy's ``lstsq`` does. A missing feature is an error, rows without a label are left out."""
+    some = train.where(F.col(label).isNotNull())
+    given = [F.coalesce(F.col(f"`{c}`").cast("double"), F.raise_error(F.lit(f"missing value in {c}")).cast("double")) for c in features]
+    R = tall_qr(some, [F.lit(1.0), *given, F.col(f"`{label}`")])
+    d = len(features)
+    if len(R) < 1:
+        raise ValueError("no row with a label")
+    # Behind the row of the constant stands the decomposition of the columns about their means.
+    square = np.zeros((d + 2, d + 2))
+    square[:len(R)] = R
+    w = np.linalg.lstsq(square[1:d + 1, 1:d + 1], square[1:d + 1, d + 1], rcond=np.finfo(float).eps * max(d, 1) * 8)[0]
+    intercept = (square[0, d + 1] - square[0, 1:d + 1] @ w) / square[0, 0]
+    return PipelineModel([LinearPredictor(inputCols=list(features), coefficients=[float(x) for x in w], intercept=float(intercept))])
 
 
 # H2

@@ -1,60 +1,43 @@
 """Frequent itemsets and association rules (survey J1-J6).
 
-Level-wise Apriori written as DataFrame joins:
-
-* identical baskets are collapsed first to ``(items, weight)``; survey-style
-  0/1 matrices have far fewer distinct patterns than rows, and every later
-  step works on patterns, not rows. The pattern table is checkpointed so
-  later levels never recompute the input scan; each level's extension table
-  is persisted (and checkpointed every few levels, so lineage stays short);
-* level 1 counts items; baskets keep only frequent items;
-* level k extends each basket's frequent (k-1)-itemsets by one larger item
-  of the same basket and equi-joins the result to the candidate table (joins
-  of L(k-1) on its first k-2 items, pruned so every (k-1)-subset is
-  frequent); counts are ``groupBy(itemset).sum(weight)`` with map-side
-  partial aggregation.
-
-Candidate and itemset tables are bounded by the number of item columns
-(at most C(m, k) rows per level), which is what makes broadcasting them safe;
-the bound is checked before a broadcast hint is given.
+Level-wise Apriori over bit masks:
+
+* item counts are filtered by the support in Spark; only frequent items reach
+  the driver, sorted by name: the i-th is bit i;
+* a basket is the mask of its frequent items, a long, or an array of longs
+  beyond 63 items; equal masks collapse to one row with a weight, which is
+  written once, so no later level reads the baskets again;
+* candidates of level k are joined from the frequent sets of level k - 1
+  on the driver (a level's frequent sets number at most the sum of what
+  baskets of the support can hold; they are the result itself) and counted by one
+  aggregate: a row keeps the candidates it covers, and their weights are summed before the shuffle.
 
 Rules enumerate every split of each frequent itemset into a non-empty
 antecedent and consequent (bit masks 1 .. 2^k - 2), with support,
 confidence, lift and leverage computed the way the reference library does:
 ``confidence = s(A u C) / s(A)``, ``lift = confidence / s(C)``.
+
+A ``Lattice`` keeps the itemsets of the lowest support of interest and all their splits as
+tables; rules at any higher support, any confidence and any lift are a filter
+on them, pushed down to the files.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import combinations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import match_regex
-from cohortlens.session import scratch_dir
-
-# Above this many rows a bounded table is left to the planner (AQE still
-# broadcasts at run time when the measured size is small).
-_BROADCAST_ROWS = 2_000_000
-_CHECKPOINT_EVERY = 4
-# A level bounded by this many itemsets returns to the driver as a local table.
-_LOCAL_ROWS = 100_000
-
-
-def _materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint computed once: an un-persisted plan would be
-    evaluated twice (once to count, once to write the checkpoint files)."""
-    cached = df.cache()
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
-
+from cohortlens.session import scratch_path
 
-def _maybe_broadcast(df: DataFrame, bound_rows: int) -> DataFrame:
-    return F.broadcast(df) if bound_rows <= _BROADCAST_ROWS else df
+#: Bits of one long; more items take several.
+_BITS = 63
+#: Candidates counted by one job; a level with more takes several.
+_CANDIDATES = 4_096
 
 
 # J1
@@ -72,129 +55,95 @@ def baskets_long(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
 
 
 # J2
+_ITEMSETS = "itemset array<string>, size int, count long, support double"
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder: computed once, and not lost with an executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _mask(items: str, names: Sequence[str]) -> Column:
+    """The mask of an array of items: bit i of word i div 63 is set where names[i] is in it."""
+    def word(some: Sequence[str]) -> Column:
+        # One lookup of every item of the basket, not one of every name.
+        bit = F.create_map(*[x for i, n in enumerate(some) for x in (F.lit(n), F.lit(1 << i).cast("long"))])
+        return F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.coalesce(F.try_element_at(bit, x), F.lit(0).cast("long"))))
+
+    words = [word(names[a:a + _BITS]) for a in range(0, len(names), _BITS)]
+    return words[0] if len(words) == 1 else F.array(*words)
+
+
+def _count(patterns: DataFrame, candidates: Sequence[tuple[int, ...]], wide: bool) -> dict[tuple[int, ...], int]:
+    """Weight of the patterns that hold each candidate (a tuple of bit numbers)."""
+    out: dict[tuple[int, ...], int] = {}
+    for a in range(0, len(candidates), _CANDIDATES):
+        some = candidates[a:a + _CANDIDATES]
+        if wide:
+            asked = F.array(*[F.array(*[F.lit(i) for i in c]) for c in some])
+            held = F.transform(asked, lambda c: F.forall(c, lambda i: F.getbit(F.element_at("mask", F.floor(i / _BITS).cast("int") + 1), (i % _BITS).cast("int")) == 1))
+        else:
+            asked = F.array(*[F.lit(sum(1 << i for i in c)).cast("long") for c in some])
+            held = F.transform(asked, lambda c: F.col("mask").bitwiseAND(c) == c)
+        hits = F.filter(F.transform(held, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+        rows = patterns.select("w", F.explode(hits).alias("at")).groupBy("at").agg(F.sum("w").alias("count")).collect()
+        out.update({some[r["at"]]: r["count"] for r in rows})
+    return out
+
+
+def _join_level(prev: Sequence[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Sets one item larger whose every subset one item smaller is in ``prev`` (sorted tuples)."""
+    known, by_head = set(prev), {}
+    for c in sorted(prev):
+        by_head.setdefault(c[:-1], []).append(c[-1])
+    found = (head + pair for head, tails in by_head.items() for pair in combinations(tails, 2))
+    return [c for c in found if all(s in known for s in combinations(c, len(c) - 1))]
+
+
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.10, max_len: int | None = 4,
-                      items_col: str = "items", n_items_bound: int | None = None,
-                      checkpoint: bool = True) -> DataFrame:
+                      items_col: str = "items", n_items_bound: int | None = None) -> DataFrame:
     """All itemsets with ``count / n >= min_support`` and at most ``max_len``
     items. ``baskets`` holds one array of items per basket; ``n`` counts
-    every basket, empty ones included. Returns (itemset, size, count, support)."""
+    every basket, empty ones included; a null item or array adds nothing.
+    Returns (itemset, size, count, support), itemsets sorted by name."""
     spark = baskets.sparkSession
-    if checkpoint:
-        scratch_dir(spark)
-    patterns = (baskets.select(F.array_sort(F.array_distinct(F.col(items_col))).alias("items"))
-                .groupBy("items").agg(F.count(F.lit(1)).alias("w")))
-    if checkpoint:
-        patterns = _materialise(patterns)
-    # One job: item counts plus the basket total (the NULL item carries every
-    # basket's weight, empty baskets included). Rows: item columns + 1.
-    tallies = (patterns.select(F.explode(F.concat("items", F.array(F.lit(None).cast("string")))).alias("item"), "w")
-               .groupBy("item").agg(F.sum("w").alias("count")).collect())
-    n = sum(r["count"] for r in tallies if r["item"] is None)
-    if n == 0:
-        return spark.createDataFrame([], "itemset array<string>, size int, count long, support double")
-    l1_rows = sorted((r["item"], r["count"]) for r in tallies
-                     if r["item"] is not None and r["count"] / float(n) >= min_support)
-    freq_items = [i for i, _ in l1_rows]
-    m = len(freq_items)
-    if n_items_bound is not None and m > n_items_bound:
+    items = F.filter(F.array_distinct(F.col(items_col)), lambda x: x.isNotNull()).alias("items")
+    # Baskets collapse before anything else, on their nodes first.
+    rows = _written(baskets.select(F.array_sort(F.coalesce(items, F.array().cast("array<string>"))).alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("w")), "baskets")
+    n = rows.agg(F.sum("w").alias("n")).first()["n"]
+    if not n:
+        return spark.createDataFrame([], _ITEMSETS)
+    enough = F.col("count") / F.lit(float(n)) >= F.lit(min_support)
+    single = rows.select(F.explode("items").alias("item"), "w").groupBy("item").agg(F.sum("w").alias("count")).where(enough)
+    tallies = sorted((r["item"], r["count"]) for r in single.collect())
+    names = [i for i, _ in tallies]
+    if n_items_bound is not None and len(names) > n_items_bound:
         raise ValueError("more frequent items than item columns")
-    # At most one row per item column: a local table.
-    l1 = spark.createDataFrame(l1_rows, "item string, count long")
-
-    def frequent(counts: DataFrame) -> DataFrame:
-        return counts.where(F.col("count") / F.lit(float(n)) >= F.lit(min_support))
-
-    levels = [l1.select(F.array("item").alias("itemset"), F.lit(1).alias("size"), "count")]
-    if m < 2 or (max_len is not None and max_len < 2):
-        return _finish(levels, n)
-
-    allowed = F.array(*[F.lit(x) for x in freq_items])
-    kept = (patterns.select(F.filter("items", lambda x: F.array_contains(allowed, x)).alias("items"), "w")
-            .where(F.size("items") >= 2).groupBy("items").agg(F.sum("w").alias("w")))
-    # One filter + regroup away from the checkpointed patterns: caching is
-    # enough (lost blocks recompute from the checkpoint).
-    kept = kept.cache()
-    # Per-pattern frequent itemsets of the current level: (items, w, itemset).
-    carried = kept.select("items", "w", F.explode("items").alias("x")).select(
-        "items", "w", F.array("x").alias("itemset"))
-    prev = levels[0].select("itemset")
-    held: list[DataFrame] = []
-    k = 2
-    top = max_len if max_len is not None else m
+    found: dict[tuple[int, ...], int] = {(i,): c for i, (_, c) in enumerate(tallies)}
+    level, k, top = list(found), 2, len(names) if max_len is None else min(max_len, len(names))
+    if top >= 2:
+        patterns = _written(rows.select(_mask("items", names).alias("mask"), "w").groupBy("mask").agg(F.sum("w").alias("w")), "masks")
     while k <= top:
-        bound = math.comb(m, k)
-        cands = _candidates(prev, k)
-        ext = carried.select("items", "w", "itemset",
-                             F.explode(F.filter("items", lambda x: x > F.element_at(F.col("itemset"), -1)))
-                             .alias("x"))
-        ext = ext.select("items", "w", F.concat("itemset", F.array("x")).alias("itemset"))
-        ext = ext.join(_maybe_broadcast(cands, bound), "itemset", "left_semi")
-        if bound <= _LOCAL_ROWS:
-            # The level has at most C(m, k) <= _LOCAL_ROWS rows: it comes
-            # back as a local table, so later plans stay shallow. ``ext`` is
-            # persisted for the next level, and every _CHECKPOINT_EVERY
-            # levels reliably checkpointed so lineage stays short.
-            if checkpoint and (k - 1) % _CHECKPOINT_EVERY == 0:
-                ext = _materialise(ext)
-            else:
-                ext = ext.persist(StorageLevel.MEMORY_AND_DISK)
-            rows = frequent(ext.groupBy("itemset").agg(F.sum("w").alias("count"))).collect()
-            lk = spark.createDataFrame([(list(r["itemset"]), r["count"]) for r in rows],
-                                       "itemset array<string>, count long")
-            empty = not rows
-        else:
-            # Used twice (counts and next level); materialise once, cut lineage.
-            if checkpoint:
-                ext = _materialise(ext)
-            lk = frequent(ext.groupBy("itemset").agg(F.sum("w").alias("count"))).cache()
-            empty = lk.isEmpty()
-        for old in held:
-            old.unpersist()
-        held = [ext] if ext.storageLevel.useMemory or ext.storageLevel.useDisk else []
-        if empty:
+        candidates = _join_level(level)
+        if not candidates:
             break
-        levels.append(lk.select("itemset", F.lit(k).alias("size"), "count"))
-        carried = ext.join(_maybe_broadcast(lk.select("itemset"), bound), "itemset", "left_semi")
-        prev = lk.select("itemset")
+        counts = _count(patterns, candidates, len(names) > _BITS)
+        level = [c for c in candidates if counts.get(c, 0) / float(n) >= min_support]
+        found.update((c, counts[c]) for c in level)
         k += 1
-    for old in held:
-        old.unpersist()
-    return _finish(levels, n)
-
-
-def _candidates(prev: DataFrame, k: int) -> DataFrame:
-    """Join L(k-1) with itself on the first k-2 items, then keep candidates
-    whose every (k-1)-subset is frequent."""
-    a = prev.select(F.slice("itemset", 1, k - 2).alias("pre"), F.element_at("itemset", -1).alias("a"))
-    b = prev.select(F.slice("itemset", 1, k - 2).alias("pre"), F.element_at("itemset", -1).alias("b"))
-    # For k = 2 the prefix is empty, so this pairs all frequent items: at most
-    # C(m, 2) rows with m bounded by the number of item columns.
-    joined = a.join(b, "pre").where(F.col("a") < F.col("b"))
-    cand = joined.select(F.concat("pre", F.array("a", "b")).alias("itemset"))
-    if k <= 2:
-        return cand
-    subs = cand.select("itemset", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("i")).select(
-        "itemset", F.concat(F.slice("itemset", 1, F.col("i") - 1),
-                            F.slice("itemset", F.col("i") + 1, F.lit(k))).alias("sub"))
-    ok = subs.join(prev.withColumnRenamed("itemset", "sub"), "sub", "left_semi")
-    return ok.groupBy("itemset").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == k).select("itemset")
-
-
-def _finish(levels: list[DataFrame], n: int) -> DataFrame:
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out.select("itemset", F.col("size").cast("int"), F.col("count").cast("long"),
-                      (F.col("count") / F.lit(float(n))).alias("support"))
+    out = spark.createDataFrame([([names[i] for i in c], len(c), count) for c, count in found.items()], "itemset array<string>, size int, count long")
+    return out.withColumn("support", F.col("count") / F.lit(float(n)))
 
 
 # J3
 _METRICS = ("support", "confidence", "lift", "leverage")
 
 
-def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold: float = 1.05,
-                      n_items_bound: int | None = None) -> DataFrame:
-    """Every rule A -> C with A, C non-empty, disjoint, A u C frequent.
+def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold: float | None = 1.05) -> DataFrame:
+    """Every rule A -> C with A, C non-empty, disjoint, A u C frequent; those with ``metric`` of
+    ``min_threshold`` or more, all without a threshold.
 
     Columns: antecedents, consequents (sorted arrays), antecedent_support,
     consequent_support, support, confidence, lift, leverage. Subset
@@ -210,23 +159,64 @@ def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold:
     splits = masks.select(F.expr("filter(itemset, (x, i) -> shiftright(mask, i) % 2 = 1)").alias("antecedents"),
                           F.expr("filter(itemset, (x, i) -> shiftright(mask, i) % 2 = 0)").alias("consequents"),
                           "support")
-    bound = _itemset_bound(n_items_bound)
     lookup_a = sets.select(F.col("itemset").alias("antecedents"), F.col("support").alias("antecedent_support"))
     lookup_c = sets.select(F.col("itemset").alias("consequents"), F.col("support").alias("consequent_support"))
-    rules = (splits.join(_maybe_broadcast(lookup_a, bound), "antecedents")
-             .join(_maybe_broadcast(lookup_c, bound), "consequents"))
+    # Small or large, the itemsets' measured size decides how they are joined.
+    rules = splits.join(lookup_a, "antecedents").join(lookup_c, "consequents")
     conf = F.col("support") / F.col("antecedent_support")
     rules = rules.select("antecedents", "consequents", "antecedent_support", "consequent_support", "support",
                          conf.alias("confidence"))
     rules = rules.withColumn("lift", F.col("confidence") / F.col("consequent_support")).withColumn(
         "leverage", F.col("support") - F.col("antecedent_support") * F.col("consequent_support"))
-    return rules.where(F.col(metric) >= F.lit(min_threshold))
-
-
-def _itemset_bound(n_items: int | None, max_len: int = 4) -> int:
-    if n_items is None:
-        return _BROADCAST_ROWS + 1  # unknown: let AQE decide from measured size
-    return sum(math.comb(n_items, k) for k in range(1, max_len + 1))
+    return rules if min_threshold is None else rules.where(F.col(metric) >= F.lit(min_threshold))
+
+
+class Lattice:
+    """Frequent itemsets and the rules among them, mined once and stored.
+
+    ``mine`` writes the itemsets of ``floor`` support and every rule, with all its metrics, under ``path``.
+    Whatever is asked for at that support or a higher one is read from the files: a rule's support is its
+    itemset's, and by downward closure its two sides are at least as frequent."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        made = spark.read.parquet(f"{path}/settings").first()
+        self.floor, self.max_len = made["floor"], made["max_len"]
+
+    @classmethod
+    def mine(cls, baskets: DataFrame, path: str, floor: float = 0.05, max_len: int | None = 4, n_items_bound: int | None = None) -> Lattice:
+        spark = baskets.sparkSession
+        sets = frequent_itemsets(baskets, floor, max_len, n_items_bound=n_items_bound)
+        sets.write.parquet(f"{path}/itemsets")
+        stored = spark.read.schema(sets.schema).parquet(f"{path}/itemsets")
+        # Sorted by support, so that a threshold skips row groups.
+        association_rules(stored, min_threshold=None).sort("support").write.parquet(f"{path}/rules")
+        # Written last: without it the lattice is not whole and does not open.
+        spark.createDataFrame([(float(floor), max_len)], "floor double, max_len int").write.parquet(f"{path}/settings")
+        return cls(spark, path)
+
+    def _checked(self, support: float) -> float:
+        if support < self.floor:
+            raise ValueError(f"mined at support {self.floor}; {support} needs mining again")
+        return support
+
+    def itemsets(self, min_support: float) -> DataFrame:
+        self._checked(min_support)
+        return self.spark.read.parquet(f"{self.path}/itemsets").where(F.col("support") >= F.lit(min_support))
+
+    def rules(self, min_support: float, min_confidence: float | None = None, min_lift: float | None = None) -> DataFrame:
+        """Rules at thresholds of one's own; None leaves a metric free."""
+        self._checked(min_support)
+        return filter_rules(self.spark.read.parquet(f"{self.path}/rules"), min_support, min_confidence, min_lift)
+
+    def counts(self, supports: Sequence[float], confidences: Sequence[float], lifts: Sequence[float]) -> DataFrame:
+        """How many rules each combination of thresholds keeps: (min_support, min_confidence, min_lift, n_rules), in one read."""
+        grid = [(float(self._checked(s)), float(c), float(x)) for s in supports for c in confidences for x in lifts]
+        rules = self.rules(min(supports), min(confidences), min(lifts))
+        kept = [F.count_if((F.col("support") >= s) & (F.col("confidence") >= c) & (F.col("lift") >= x)).alias(f"n{i}") for i, (s, c, x) in enumerate(grid)]
+        table = F.array(*[F.struct(F.lit(s).alias("min_support"), F.lit(c).alias("min_confidence"), F.lit(x).alias("min_lift"), F.col(f"n{i}").alias("n_rules"))
+                          for i, (s, c, x) in enumerate(grid)])
+        return rules.agg(*kept).select(F.inline(table))
 
 
 # J4

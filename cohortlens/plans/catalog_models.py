@@ -9,6 +9,7 @@ metric tables and are covered by invariant tests instead.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from cohortlens.operators import classify as clf
 from cohortlens.operators import cluster as cl
 from cohortlens.operators import features as fe
 from cohortlens.operators import regress as rg
+from cohortlens.operators import stages as sg
 from cohortlens.plans.oracle import with_profile
 from cohortlens.plans.registry import query, r6
 from cohortlens.session import scratch_path
@@ -610,15 +612,49 @@ def q_segment_profile_normalised(spark, root):
 
 # ------------------------------------------------------------ A5, A6 sinks
 
-@query("save_load_pipeline")
+SAVED = ["classifier", "clusters", "components", "regressor"]
+
+
+def _saved_pipelines(spark, root):
+    """The four fitted artefacts as pipelines that take raw profile rows: name -> (pipeline, its result as an array)."""
+    def build():
+        raw = profile(spark, root).cache()
+        willing = raw.where(F.col("target_flag").isNotNull())
+        _, feats = _clf_frame(spark, root)
+        prep = sg.fit_preparation(willing, feats)
+        forest = clf.fit_random_forest(prep.transform(willing), feats, "target_flag", seed=SEED)
+        scale = sg.fit_preparation(raw, CLUSTER_COLS)
+        ready = scale.transform(raw)
+        centres, _, _ = cl.kmeans(ready, CLUSTER_COLS, k=5, n_init=20, seed=SEED)
+        assemble = VectorAssembler(inputCols=CLUSTER_COLS, outputCol="features")
+        axes = PCA(k=2, inputCol="features", outputCol="components").fit(assemble.transform(ready))
+        amounts = raw.where(F.col("target_amount").isNotNull())
+        reg_feats = numeric_features(raw, exclude=REG_LEAKAGE)
+        reg_prep = sg.fit_preparation(amounts, reg_feats)
+        trees = rg.fit_rf_regressor(reg_prep.transform(amounts), reg_feats, "target_amount", seed=SEED)
+        number = F.array(F.col("prediction").cast("double"))
+        return raw, {"classifier": (sg.chain(prep, forest), vector_to_array("probability")), "clusters": (sg.chain(scale, centres), number),
+                     "components": (sg.chain(scale, assemble, axes), vector_to_array("components")), "regressor": (sg.chain(reg_prep, trees), number)}
+    return _memo(("saved", root), build)
+
+
+@query("save_load_pipeline", sql=with_profile(
+    "SELECT unnest([" + ", ".join(f"'{n}'" for n in SAVED) + "]) AS pipeline, n_rows, n_rows AS n_same FROM (SELECT count(*) AS n_rows FROM profile) c"))
 def q_save_load_pipeline(spark, root):
-    sp, feats, models = _fitted_classifiers(spark, root)
-    path = io.save_pipeline(models["Decision Tree"], scratch_path(spark, "dt-pipeline"))
-    again = io.load_pipeline(path)
-    test = sp.where(F.col("is_test"))
-    a = clf.predict(models["Decision Tree"], test).select("id", F.col("score").alias("before"))
-    b = clf.predict(again, test).select("id", F.col("score").alias("after"))
-    return a.join(b, "id").select("id", (F.col("before") == F.col("after")).alias("same"))
+    """Scaler and forest, k-means, PCA and forest regressor saved and loaded again; how many raw rows each pair scores alike."""
+    raw, models = _saved_pipelines(spark, root)
+    parts = []
+    for name, (model, result) in models.items():
+        again = io.load_pipeline(io.save_pipeline(model, scratch_path(spark, f"{name}-pipeline")))
+        if sg.feature_names(again) != sg.feature_names(model):
+            raise ValueError(f"{name}: the feature list changed on the way")
+        before, after = (m.transform(raw).select("id", result.alias(c)) for m, c in ((model, "before"), (again, "after")))
+        same = F.count_if(F.col("before").eqNullSafe(F.col("after")))
+        parts.append(before.join(after, "id").agg(F.lit(name).alias("pipeline"), F.count(F.lit(1)).alias("n_rows"), same.alias("n_same")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 @query("write_results")

@@ -18,18 +18,27 @@ from cohortlens.sources.views import BASKET_ITEMS, basket
 
 MIN_SUPPORT = 0.10
 MAX_LEN = 4
-RULE_METRIC, RULE_MIN = "lift", 1.05
+RULE_MIN = 1.05
+#: The lowest support that thresholds may be set to.
+FLOOR = 0.05
 FILTER = dict(min_support=0.10, min_confidence=0.55, min_lift=1.10)
 OUTCOME_PATTERN = "bulk|many"
 
 
-def _itemsets(spark, root):
-    b = ar.to_baskets(basket(spark, root), "id", BASKET_ITEMS)
-    return ar.frequent_itemsets(b, MIN_SUPPORT, MAX_LEN, n_items_bound=len(BASKET_ITEMS))
+_mined: dict = {}
+
+
+def _lattice(spark, root) -> ar.Lattice:
+    """The lattice of a folder's baskets, mined once per application at the lowest support that is asked for."""
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _mined:
+        b = ar.to_baskets(basket(spark, root), "id", BASKET_ITEMS)
+        _mined[key] = ar.Lattice.mine(b, scratch_path(spark, "lattice"), FLOOR, MAX_LEN, n_items_bound=len(BASKET_ITEMS))
+    return _mined[key]
 
 
 def _rules(spark, root):
-    return ar.association_rules(_itemsets(spark, root), RULE_METRIC, RULE_MIN, n_items_bound=len(BASKET_ITEMS))
+    return _lattice(spark, root).rules(MIN_SUPPORT, min_lift=RULE_MIN)
 
 
 # Baskets collapse to bit masks (bit i: the i-th item by name); every mask of at
@@ -66,7 +75,8 @@ def q_to_baskets(spark, root):
     _FI_SQL + " SELECT array_to_string(itemset, ', ') AS items_str, size, c AS count, round(support, 6) AS support "
     "FROM fi"))
 def q_frequent_itemsets(spark, root):
-    fi = _itemsets(spark, root)
+    b = ar.to_baskets(basket(spark, root), "id", BASKET_ITEMS)
+    fi = ar.frequent_itemsets(b, MIN_SUPPORT, MAX_LEN, n_items_bound=len(BASKET_ITEMS))
     return r6(fi.select(F.array_join("itemset", ", ").alias("items_str"), "size", "count", "support"))
 
 
@@ -116,3 +126,25 @@ def q_rules_csv_roundtrip(spark, root):
     "AND lift >= 1.10) AS filtered_rules FROM rl"))
 def q_rule_counts(spark, root):
     return ar.rule_counts(_rules(spark, root), **FILTER)
+
+
+THRESHOLDS = {"supports": [0.05, 0.08, 0.10, 0.15, 0.20, 0.30], "confidences": [0.40, 0.55, 0.70, 0.90], "lifts": [1.0, 1.1, 1.5, 2.0]}
+_FLOOR_SQL = _RULES_SQL.replace(">= 0.1)", f">= {FLOOR})")
+_GRID_SQL = ", ".join(f"({s:f}::DOUBLE, {c:f}::DOUBLE, {x:f}::DOUBLE)" for s in THRESHOLDS["supports"] for c in THRESHOLDS["confidences"] for x in THRESHOLDS["lifts"])
+
+
+@query("rules_at_thresholds", sql=with_basket(
+    _FLOOR_SQL + f", g(min_support, min_confidence, min_lift) AS (VALUES {_GRID_SQL}) SELECT min_support, min_confidence, min_lift, count(ru.support) AS n_rules "
+    "FROM g LEFT JOIN ru ON ru.support >= min_support AND ru.confidence >= min_confidence AND ru.lift >= min_lift GROUP BY ALL"))
+def q_rules_at_thresholds(spark, root):
+    """Every setting of the three thresholds that the explorer offers, answered from the stored lattice."""
+    return _lattice(spark, root).counts(**THRESHOLDS)
+
+
+@query("rule_explorer", sql=with_basket(
+    _FLOOR_SQL + " SELECT antecedents_str, consequents_str, " + _round_sql(["support", "confidence", "lift"])
+    + " FROM ru WHERE support >= 0.07 AND confidence >= 0.45 AND lift >= 1.0"))
+def q_rule_explorer(spark, root):
+    """Rules at one setting below the defaults."""
+    r = ar.with_display(_lattice(spark, root).rules(0.07, 0.45, 1.0))
+    return r6(r.select("antecedents_str", "consequents_str", "support", "confidence", "lift"))

@@ -5,6 +5,7 @@ so these tests pin down that the scale paths are not a different result.
 """
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -61,18 +62,60 @@ def _as_dict(df):
     return {tuple(r.itemset): (r.size, r["count"]) for r in df.collect()}
 
 
-def test_apriori_distributed_levels_match_local_levels(spark, monkeypatch):
+def test_apriori_beyond_one_long_and_in_several_counts(spark, monkeypatch):
     b = _baskets(spark)
-    # Past four levels the extension table is checkpointed (k = 5).
-    local = _as_dict(ar.frequent_itemsets(b, 0.2, None))
-    assert max(s for s, _ in local.values()) >= 5
-    monkeypatch.setattr(ar, "_LOCAL_ROWS", 0)
-    distributed = _as_dict(ar.frequent_itemsets(b, 0.2, None))
-    assert distributed == local
+    whole = _as_dict(ar.frequent_itemsets(b, 0.2, None))
+    assert max(s for s, _ in whole.values()) >= 5
+    monkeypatch.setattr(ar, "_BITS", 3)
+    monkeypatch.setattr(ar, "_CANDIDATES", 4)
+    assert _as_dict(ar.frequent_itemsets(b, 0.2, None)) == whole
+
+
+def test_apriori_of_many_items_matches_brute_force(spark):
+    rnd = random.Random(8)
+    names = [f"i{k:03d}" for k in range(100)]
+    rows = [(i, [rnd.choice(names[:5]) for _ in range(3)] + [x for x in names if rnd.random() < 0.45]) for i in range(60)] + [(60, []), (61, None), (62, ["i000", None])]
+    b = spark.createDataFrame(rows, "id int, items array<string>")
+    want = {}
+    sets = [{x for x in r or [] if x} for _, r in rows]
+    for k in (1, 2):
+        for combo in combinations(names, k):
+            c = sum(1 for s in sets if set(combo) <= s)
+            if c / len(sets) >= 0.25:
+                want[combo] = (k, c)
+    assert _as_dict(ar.frequent_itemsets(b, 0.25, 2)) == want and len(want) > 200
+
+
+def test_mining_leaves_nothing_cached(spark):
+    for x in spark.sparkContext._jsc.getPersistentRDDs().values():
+        x.unpersist()
+    ar.frequent_itemsets(_baskets(spark), 0.2, 3).collect()
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
+
+
+def test_a_lattice_answers_any_threshold_above_its_floor(spark, tmp_path):
+    b = _baskets(spark, n=150, items="abcde", seed=5)
+    lattice = ar.Lattice(spark, ar.Lattice.mine(b, str(tmp_path / "lattice"), 0.2, 3).path)
+    key = lambda df: sorted((tuple(r.antecedents), tuple(r.consequents), r.support, r.confidence, r.lift) for r in df.collect())
+    for s, c, x in ((0.2, 0.5, 1.0), (0.5, 0.8, 0.9), (0.45, None, None), (0.99, 0.1, 0.1)):
+        fresh = ar.association_rules(ar.frequent_itemsets(b, s, 3), min_threshold=None)
+        assert key(lattice.rules(s, c, x)) == key(ar.filter_rules(fresh, s, c, x))
+        assert _as_dict(lattice.itemsets(s)) == _as_dict(ar.frequent_itemsets(b, s, 3))
+    counts = {(r.min_support, r.min_confidence, r.min_lift): r.n_rules for r in lattice.counts([0.2, 0.5], [0.5], [0.9, 1.0]).collect()}
+    assert counts == {(s, 0.5, x): lattice.rules(s, 0.5, x).count() for s in (0.2, 0.5) for x in (0.9, 1.0)}
+    plan = lattice.rules(0.5, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(support,0.5)" in plan
+    with pytest.raises(ValueError, match="mined at support 0.2"):
+        lattice.rules(0.1)
+
+
+def test_an_empty_table_of_baskets(spark, tmp_path):
+    b = spark.createDataFrame([], "id int, items array<string>")
+    assert ar.frequent_itemsets(b, 0.1).count() == 0
+    assert ar.Lattice.mine(b, str(tmp_path / "none"), 0.1).rules(0.1).count() == 0
 
 
 def test_apriori_matches_brute_force(spark):
-    from itertools import combinations
     b = _baskets(spark, n=120, items="abcde", seed=11)
     baskets = [set(r.items) for r in b.collect()]
     want = {}
