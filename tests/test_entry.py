@@ -1,3 +1,5 @@
+import importlib.util
+
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry
@@ -15,7 +17,9 @@ def test_registry_is_complete():
     q, o = entry.queries(), entry.oracle_sql()
     assert len(q) >= 90
     assert len(o) >= 70
-    assert not any(n.startswith("op") and n[2:3].isdigit() for n in q)
+    corpus = any(n.startswith("op") and n[2:3].isdigit() for n in q)
+    assert corpus == (importlib.util.find_spec("cohortlens.llm") is not None)
+    assert set(o) <= set(q)
 
 
 def test_fixture_facts(spark):
