@@ -111,5 +111,9 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, digest=_digest) -> DataFram
     """
     ids = stored(identities(docs.select("doc_id", "text"), block, digest), "identities")
     groups = ids.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "key")).alias("stays"), F.count("*").alias("group_size"))
-    return ids.join(groups, ["n_blocks", "name"]).select(
-        "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("key") == F.col("stays.key")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    # Written before the join, which then is one of two plain tables: a large group's rows can be dealt to several tasks.
+    groups = stored(groups.where("group_size > 1"), "groups")
+    alone = F.col("group_size").isNull()
+    return ids.join(groups, ["n_blocks", "name"], "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
+        (alone | (F.col("key") == F.col("stays.key"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
