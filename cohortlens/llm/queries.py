@@ -140,24 +140,52 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# The rule of op7, restated plainly: of each notice its label, the most words of a place, and the least different
+# words of it there; then what must stand in the place (or behind its last word), and what must not follow that.
+_NOTICES = [
+    ("this work is licensed under the gnu general public license version 3", "gpl-3.0", 15, 10,
+     [(" (this|work|is|licensed|under|the|gnu|general|public|license|version)  3 ", "")]),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", 28, 16, []),
+    ("licensed under the apache license version 2 0", "apache-2.0", 10, 7, [(" (licensed|under|the)  apache | apache  (license|version|2|0) ", ""), (" 2  0 ", "")]),
+    ("released under the mit license", "mit", 7, 4, [(" (released|under|the)  mit | mit  license ", "")]),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", 24, 16, []),
+    ("licensed under cc by 4 0", "cc-by-4.0", 8, 5, [(" cc  by  4  0 ", " (nc|sa) ")]),
+    ("licensed under cc by nc 4 0", "cc-by-nc", 9, 6, [(" cc  by  nc ", " sa ")]),
+    ("licensed under cc by sa 4 0", "cc-by-sa", 9, 6, [(" cc  by  sa ", " nc ")]),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 17, 11, []),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0", 21, 13, [(" 2  0 ", "")]),
+]
+_PHRASES = [("gnu general public license", "gpl", 4), ("apache license", "apache", 2), ("cc by", "cc-by", 2), ("mit license", "mit", 2)]
+
+
 def _license_sql() -> str:
-    from cohortlens.llm import licenses as L
-    phrases = ", ".join(f"({i}, '{p}', '{label}', {len(p.split())})" for i, (p, label) in enumerate(L.PHRASES))
-    templates = ", ".join(f"({i}, '{label}', {words!r}, {least})" for i, label, words, least in L.template_rows(L.TEMPLATES, L.CONTAINMENT))
-    plain = _PLAIN.replace("text", "line")
+    phrases = ", ".join(f"('{p}', '{label}', {m})" for p, label, m in _PHRASES)
+    notices = ", ".join(f"({i}, list_distinct(string_split('{t}', ' ')), '{label}', {place}, {least})" for i, (t, label, place, least, _) in enumerate(_NOTICES))
+    stands = "true"
+    for i, (*_, needs) in enumerate(_NOTICES):
+        for run, stop in needs:
+            # What may not follow is taken out together with the run before the run is looked for.
+            norm = f"regexp_replace(norm, '({run})({stop})', '#', 'g')" if stop else "norm"
+            stands += f" AND (i <> {i} OR regexp_matches({norm}, '{run}'))"
+    step = max(place for _, _, place, *_ in _NOTICES)
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_PLAIN} AS w FROM documents),
-p(i, phrase, label, m) AS (VALUES {phrases}),
-t(i, label, words, need) AS (VALUES {templates}),
+p(phrase, label, m) AS (VALUES {phrases}),
+t(i, words, label, place, least) AS (VALUES {notices}),
 place AS (SELECT doc_id, s - 1 AS pos, label FROM (SELECT doc_id, w, label, phrase, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, p) WHERE array_to_string(w[s:s + m - 1], ' ') = phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base FROM place GROUP BY doc_id),
-line AS (SELECT doc_id, list_distinct({plain}) AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)),
-hit AS (SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(lw, words)) / len(words)) AS best FROM line, t WHERE len(list_intersect(lw, words)) >= need GROUP BY doc_id)
+block AS (SELECT doc_id, list_distinct(w[b * {step} + 1:(b + 2) * {step}]) AS bw FROM (SELECT doc_id, w, unnest(range(0, greatest(1, (len(w) + {step - 1}) // {step} - 1))) AS b FROM d)),
+hit AS MATERIALIZED (SELECT doc_id, i, count(*) AS n FROM block, t WHERE len(list_intersect(bw, words)) >= least GROUP BY doc_id, i),
+win AS (SELECT doc_id, i, label, words, least, w[s:s + place - 1] AS x, ' ' || array_to_string(w[s:s + place], '  ') || ' ' AS norm
+  FROM (SELECT doc_id, i, label, words, least, place, w, unnest(range(1, len(w) + 1)) AS s FROM hit JOIN t USING (i) JOIN d USING (doc_id))),
+held AS (SELECT doc_id, label, len(list_intersect(list_distinct(x), words)) / len(words) AS share FROM win WHERE len(list_intersect(list_distinct(x), words)) >= least AND ({stands})),
+more AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS best FROM held GROUP BY doc_id),
+n AS (SELECT doc_id, sum(n)::BIGINT AS n_matches FROM hit GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') AS labels,
-  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
-FROM d LEFT JOIN base USING (doc_id) LEFT JOIN hit USING (doc_id)"""
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score, coalesce(n_matches, 0) AS n_matches
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
 @query("op7_license_scan", _license_sql())
