@@ -109,10 +109,12 @@ kept AS (SELECT doc_id, h, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed,
   CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(a) + 2),
     lambda i: substr(h, 2 * (CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END) + 1, 2 * ((CASE WHEN i > len(a) THEN length(h) // 2 ELSE a[i] END) - (CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END)))), '') END AS k
   FROM d LEFT JOIN cut USING (doc_id))
-SELECT doc_id, length(h) // 2 AS n_bytes, n_removed::BIGINT AS n_removed, n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept""")
+SELECT doc_id, length(h) // 2 AS n_bytes, n_removed::BIGINT AS n_removed, n_spans, sha256(unhex(k)) AS kept_sha256,
+  decode(unhex(array_to_string(list_filter(regexp_extract_all(k, '[0-7].|C[2-9A-F][89AB].|D.[89AB].|E0[AB].[89AB].|E[1-9A-CEF][89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[1-3][89AB].[89AB].[89AB].|F48.[89AB].[89AB].|..'),
+    lambda c: len(c) > 2 OR c < '80'), ''))) AS text FROM kept""")
 def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.suffixes import suffix_dedup
-    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
 
 
 @query("op10_simhash_near_dedup")

@@ -42,7 +42,8 @@ def suffix_dedup(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
     Texts are UTF-8 bytes (null: empty). One row per input row: the ``carry``
     columns (doc_id), n_bytes, n_removed, n_spans (maximal removed runs),
-    kept (binary), kept_sha256. All occurrences are removed, the first included;
+    kept (binary), kept_sha256, kept_text (kept as text, without the bytes of characters that a
+    removed run cuts). All occurrences are removed, the first included;
     rows that repeat a document count as documents of their own.
     """
     docs = identified(docs)
@@ -58,7 +59,8 @@ def suffix_dedup(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         begins[edge] = cover[edge]
         total = np.concatenate([[0], np.cumsum(begins)])
         n = np.diff(offsets)
-        return [n, n - np.diff(upto), total[offsets[1:]] - total[offsets[:-1]], pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+        return [n, n - np.diff(upto), total[offsets[1:]] - total[offsets[:-1]], pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
 
-    fields = [("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept", "binary"), ("kept_sha256", "string")]
+    fields = [("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept", "binary"), ("kept_sha256", "string"), ("kept_text", "string")]
     return with_runs(docs, runs, fields, fn, WINDOW, lambda data, offsets: (offsets, None), carry or ["doc_id"])
