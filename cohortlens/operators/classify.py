@@ -1,5 +1,5 @@
-"""Binary classification: exact k-NN, MLlib tree models and evaluation
-tables (survey G1-G12).
+"""Binary classification: MLlib tree models and evaluation tables
+(survey G1-G12; exact k-NN is in ``neighbours``).
 
 Evaluation works on any scored frame (label, prediction, score) and is
 expressed as aggregates; ROC points and AUC aggregate per distinct score
@@ -9,11 +9,8 @@ in a single task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
@@ -24,108 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import classify_by_prefix
-from cohortlens.operators.features import to_array
+from cohortlens.operators.neighbours import knn_classify, knn_neighbors, knn_pairs  # noqa: F401  (G1)
 from cohortlens.operators.ranking import ordered_cumsum
 
-_KNN_BLOCK_ROWS = 20_000
-_KNN_CHUNK = 256
-
-
-# G1 ------------------------------------------------------------------------
-
-def knn_neighbors(train: DataFrame, test: DataFrame, features: str | Sequence[str], k: int = 9,
-                  train_id: str = "id", test_id: str = "id", block_rows: int = _KNN_BLOCK_ROWS,
-                  keep: Sequence[str] = ()) -> DataFrame:
-    """Exact Euclidean k nearest training rows for every test row.
-
-    Both sides are cut into hash blocks of at most ``block_rows`` rows; each
-    (train block, test block) group computes its distances with NumPy in
-    bounded chunks and emits only its k best per test row. A final
-    ``row_number`` per test row (planned with ``WindowGroupLimit``) merges
-    the k x (train blocks) candidates. Ties -> smaller train id.
-
-    Returns (test_id, train_id, dist, rank) plus ``keep`` columns of train
-    (renamed ``nb_<col>``).
-    """
-    tr = to_array(train, features).select(F.col(train_id).alias("__id"), "__x",
-                                          *[F.col(c).alias(f"nb_{c}") for c in keep])
-    te = to_array(test, features).select(F.col(test_id).alias("__id"), "__x")
-    n_tr, n_te = tr.count(), te.count()
-    b_tr = max(1, math.ceil(n_tr / block_rows))
-    b_te = max(1, math.ceil(n_te / block_rows))
-    keep_cols = [f"nb_{c}" for c in keep]
-    tr_rows = tr.select(F.lit(0).alias("__side"), F.pmod(F.xxhash64("__id"), F.lit(b_tr)).alias("__tb"),
-                        F.explode(F.sequence(F.lit(0), F.lit(b_te - 1))).alias("__sb"), "__id", "__x")
-    te_rows = te.select(F.lit(1).alias("__side"), F.explode(F.sequence(F.lit(0), F.lit(b_tr - 1))).alias("__tb"),
-                        F.pmod(F.xxhash64("__id"), F.lit(b_te)).alias("__sb"), "__id", "__x")
-    id_type = tr.schema["__id"].dataType.simpleString()
-    te_id_type = te.schema["__id"].dataType.simpleString()
-    schema = f"test_id {te_id_type}, train_id {id_type}, dist double"
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        trn = pdf[pdf["__side"] == 0]
-        tst = pdf[pdf["__side"] == 1]
-        cols = ["test_id", "train_id", "dist"]
-        if trn.empty or tst.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        order = np.argsort(trn["__id"].to_numpy(), kind="stable")
-        trn = trn.iloc[order]
-        X = np.vstack(trn["__x"].to_numpy()).astype(np.float64)
-        ids = trn["__id"].to_numpy()
-        Q = np.vstack(tst["__x"].to_numpy()).astype(np.float64)
-        qids = tst["__id"].to_numpy()
-        if np.isnan(X).any() or np.isnan(Q).any():
-            raise ValueError("k-NN features must not be NULL or NaN; fill them first")
-        centre = X.mean(axis=0)
-        C = X - centre
-        xx = (C * C).sum(axis=1)
-        kk = min(k, len(X))
-        out_t, out_n, out_d = [], [], []
-        for s in range(0, len(Q), _KNN_CHUNK):
-            q = Q[s:s + _KNN_CHUNK]
-            c = q - centre
-            qq = (c * c).sum(axis=1)
-            approx = xx[None, :] - 2.0 * (c @ C.T) + qq[:, None]
-            # The expansion is off by a few rounding steps of its largest term;
-            # every row within that bound of the k-th distance is a candidate.
-            slack = 1e-13 * (X.shape[1] + 8) * (xx.max() + qq)
-            reach = np.partition(approx, kk - 1, axis=1)[:, kk - 1] + 2.0 * slack
-            for i in range(len(q)):
-                cand = np.flatnonzero(approx[i] <= reach[i])
-                diff = q[i] - X[cand]
-                exact = np.sqrt((diff * diff).sum(axis=1))
-                # Stable sort by distance: ties keep their position, which follows the train id.
-                pick = np.argsort(exact, kind="stable")[:kk]
-                out_n.append(cand[pick])
-                out_d.append(exact[pick])
-            out_t.append(np.repeat(qids[s:s + len(q)], kk))
-        pos = np.concatenate(out_n)
-        res = pd.DataFrame({"test_id": np.concatenate(out_t), "train_id": ids[pos], "dist": np.concatenate(out_d)})
-        return res
-
-    cand = tr_rows.unionByName(te_rows).groupBy("__tb", "__sb").applyInPandas(block, schema)
-    w = Window.partitionBy("test_id").orderBy("dist", "train_id")
-    best = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    if not keep_cols:
-        return best
-    # The kept columns join back by id with their own types (k rows per test row).
-    return best.join(tr.select(F.col("__id").alias("train_id"), *keep_cols), "train_id").select(
-        "test_id", "train_id", "dist", *keep_cols, "rank")
-
-
-def knn_classify(train: DataFrame, test: DataFrame, features: str | Sequence[str], label: str, k: int = 9,
-                 train_id: str = "id", test_id: str = "id", positive=1) -> DataFrame:
-    """Majority vote of the k nearest (ties -> smaller label) and the share
-    of positive neighbours as score. Returns (test_id, prediction, score)."""
-    nb = knn_neighbors(train, test, features, k, train_id, test_id, keep=[label])
-    votes = nb.groupBy("test_id", F.col(f"nb_{label}").alias("vote")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("test_id").orderBy(F.col("n").desc(), F.col("vote"))
-    best = votes.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).select(
-        "test_id", F.col("vote").alias("prediction"))
-    score = nb.groupBy("test_id").agg(
-        (F.count_if(F.col(f"nb_{label}") == F.lit(positive)) / F.count(F.lit(1))).alias("score"))
-    return best.join(score, "test_id")
-
 
 # G2-G5 ---------------------------------------------------------------------
 

@@ -273,7 +273,7 @@ def davies_bouldin(df: DataFrame, label: str, features: str | Sequence[str]) ->
         transform(cs, a -> array_max(transform(filter(cs, b -> b.__l != a.__l),
           b -> (a.__s + b.__s) / nullif(sqrt(aggregate(zip_with(a.__c, b.__c, (p, q) -> (p - q) * (p - q)), 0D,
                                                  (acc, v) -> acc + v)), 0D)))),
-        0D, (acc, v) -> acc + coalesce(v, 0D)) / size(cs)"""
+        0D, (acc, v) -> acc + coalesce(v, 0D)) / nullif(size(cs), 0)"""
     value = table.select(F.expr(expr).alias("davies_bouldin")).first()["davies_bouldin"]
     cent.unpersist()
     return df.sparkSession.createDataFrame([(value,)], "davies_bouldin double")

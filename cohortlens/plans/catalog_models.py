@@ -137,6 +137,27 @@ _EMB_SPLIT = ("s AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(vec
               "<= CAST(ceil(0.2 * count(*) OVER ()) AS BIGINT) AS is_test FROM e)")
 
 
+@query("knn_pruned", sql=(
+    f"WITH {_EMB}, pairs AS (SELECT a.vec_id AS test_id, b.vec_id AS train_id, {_DIST} AS dist FROM e a JOIN e b ON a.vec_id % 5 = 0) "
+    "SELECT test_id, train_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY dist, train_id) AS rank FROM pairs) t WHERE rank <= 9"))
+def q_knn_pruned(spark, root):
+    """A stated fifth of the rows as queries against all rows, by many pivots."""
+    e = io.read_table(spark, root, "embeddings")
+    nb = clf.knn_neighbors(e, e.where("vec_id % 5 = 0"), "embedding", 9, "vec_id", "vec_id", cells=48)
+    return r6(nb.select("test_id", "train_id", "dist", "rank"))
+
+
+@query("knn_pairs")
+def q_knn_pairs(spark, root):
+    """The share of all pairs that bounds leave to be compared: z-scored customer features, and the embeddings."""
+    z = _cluster_frame(spark, root)
+    e = io.read_table(spark, root, "embeddings")
+    parts = [clf.knn_pairs(z, z, CLUSTER_COLS, 9, cells=48).select(F.lit("profile").alias("points"), "*"),
+             clf.knn_pairs(e, e, "embedding", 9, "vec_id", "vec_id", cells=48).select(F.lit("embeddings").alias("points"), "*")]
+    return r6(parts[0].unionByName(parts[1]))
+
+
 @query("knn_classify", sql=(
     f"WITH {_EMB}, {_EMB_SPLIT}, "
     f"pairs AS (SELECT a.vec_id AS test_id, b.vec_id AS train_id, b.label AS nb_label, {_DIST} AS dist "
