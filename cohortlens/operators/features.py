@@ -3,10 +3,9 @@
 Splits are reproducible across engines and plans: rows are ordered by
 ``md5(seed ':' key)`` then key, and each stratum sends exactly its quota to
 the test side. To avoid sorting a whole stratum in one task (a stratum can
-hold a third of all rows), rows are bucketed on the first four hex digits of
-the hash (65,536 buckets); bucket counts are cumulated on the small
-(stratum x bucket) table, and only the one boundary bucket per stratum is
-ranked row by row.
+hold a third of all rows), its last test row is found as an order statistic: rows are counted by
+the first four hex digits of the hash (65,536 buckets), and only the one
+bucket that holds that row is ranked. Every row is then compared with it in one projection.
 """
 
 from __future__ import annotations
@@ -21,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.session import scratch_path
+
 _HASH_DIGITS = 4
 # Quota and boundary tables have one row per stratum; they are broadcast,
 # so the number of strata is checked against this bound first.
@@ -81,15 +82,17 @@ def stratified_split(df: DataFrame, key: str, label: str | None, test: float = 0
     """Adds boolean ``out``. Rows with a NULL label are dropped (they belong
     to no stratum); rows with a NULL key stay. Exact quotas per stratum, identical for any engine that
     orders by the same hash."""
+    spark = df.sparkSession
     strat = F.col(label) if label else F.lit(0)
     base = df.where(strat.isNotNull()) if label else df
-    h = split_hash(key, seed)
-    work = base.withColumn("__s", strat).withColumn("__h", h).withColumn(
-        "__b", F.conv(F.substring("__h", 1, _HASH_DIGITS), 16, 10).cast("int"))
-    # (stratum, bucket) counts: at most 65,536 rows per stratum. Persisted
-    # for the two small passes below, then released; the input is not
-    # evaluated again for them.
-    bc = work.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__c")).persist(StorageLevel.MEMORY_AND_DISK)
+    # First read: stratum, hash and key of every row, written; all that follows up to the last projection reads that.
+    slim = base.select(strat.alias("__s"), split_hash(key, seed).alias("__h"), F.col(key).alias("__k"))
+    path = scratch_path(spark, "split")
+    slim.write.parquet(path)
+    slim = spark.read.schema(slim.schema).parquet(path)
+    bucket = F.conv(F.substring("__h", 1, _HASH_DIGITS), 16, 10).cast("int")
+    # (stratum, bucket) counts: at most 65,536 rows per stratum.
+    bc = slim.groupBy("__s", bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__c")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # Strata are the label classes: a handful of rows reach the driver.
         counts = {r["__s"]: r["c"] for r in
@@ -99,29 +102,40 @@ def stratified_split(df: DataFrame, key: str, label: str | None, test: float = 0
         if not counts:
             return base.withColumn(out, F.lit(False))
         quotas = _quotas(counts, test)
-        spark = df.sparkSession
         qdf = spark.createDataFrame([(s, q) for s, q in quotas.items()],
                                     T.StructType([bc.schema["__s"], T.StructField("__q", T.LongType())]))
         w = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
         cum = bc.join(F.broadcast(qdf), "__s").withColumn("__hi", F.sum("__c").over(w)).withColumn(
             "__lo", F.col("__hi") - F.col("__c"))
-        # Per stratum: the bucket holding the quota boundary, and rows before
-        # it (one row per stratum with a non-zero quota).
-        brows = cum.where((F.col("__lo") < F.col("__q")) & (F.col("__hi") >= F.col("__q"))).select(
-            "__s", F.col("__b").alias("__bb"), F.col("__lo").alias("__before"), "__q").collect()
-        bounds = spark.createDataFrame([tuple(r) for r in brows], T.StructType([
-            bc.schema["__s"], T.StructField("__bb", T.IntegerType()), T.StructField("__before", T.LongType()),
-            T.StructField("__q", T.LongType())]))
+        # Per stratum with a quota: the bucket that holds its last test row, and which row of the bucket that is.
+        edges = cum.where((F.col("__lo") < F.col("__q")) & (F.col("__hi") >= F.col("__q"))).select(
+            "__s", "__b", (F.col("__q") - F.col("__lo")).alias("__n")).collect()
     finally:
         bc.unpersist()
-    j = work.join(F.broadcast(bounds), "__s", "left")
-    decided = j.where(F.col("__bb").isNull() | (F.col("__b") != F.col("__bb"))).withColumn(
-        out, F.coalesce(F.col("__b") < F.col("__bb"), F.lit(False)))
-    edge = j.where(F.col("__b") == F.col("__bb"))
-    rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", key))
-    edge = edge.withColumn(out, F.col("__before") + rank <= F.col("__q"))
-    cols = df.columns + [out]
-    return decided.select(*cols).unionByName(edge.select(*cols))
+    edge = spark.createDataFrame([tuple(r) for r in edges], T.StructType([slim.schema["__s"], T.StructField("__b", T.IntegerType()), T.StructField("__n", T.LongType())]))
+    inside = slim.withColumn("__b", bucket).join(F.broadcast(edge), ["__s", "__b"])
+    # Rows alike in hash and key collapse, so a key that repeats often is one row here.
+    alike = inside.groupBy("__s", "__h", "__k", "__n").agg(F.count(F.lit(1)).alias("__c"))
+    order = Window.partitionBy("__s").orderBy("__h", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    alike = alike.withColumn("__hi", F.sum("__c").over(order))
+    last = alike.where((F.col("__hi") >= F.col("__n")) & (F.col("__hi") - F.col("__c") < F.col("__n")))
+    last = last.select("__s", F.col("__h").alias("__lh"), F.col("__k").alias("__lk"), (F.col("__hi") - F.col("__n")).alias("__over")).collect()
+    bounds = spark.createDataFrame([tuple(r) for r in last], T.StructType([
+        slim.schema["__s"], T.StructField("__lh", T.StringType()), T.StructField("__lk", slim.schema["__k"].dataType), T.StructField("__over", T.LongType())]))
+    # Second read: every row is compared with its stratum's last test row.
+    rows = base.withColumn("__s", strat).withColumn("__h", split_hash(key, seed)).join(F.broadcast(bounds), "__s", "left")
+    here = F.struct("__h", F.col(key).alias("__k"))
+    there = F.struct(F.col("__lh").alias("__h"), F.col("__lk").alias("__k"))
+    if any(r["__over"] for r in last):
+        # The last test row has equals beyond the quota: that many of them, by number, stay in the training side.
+        equal = F.col("__lh").isNotNull() & (here == there)
+        n = F.row_number().over(Window.partitionBy("__s", "__eq").orderBy(F.lit(0)))
+        rows = rows.withColumn("__eq", equal)
+        first = rows.where(~F.col("__eq")).withColumn("__t", F.col("__lh").isNotNull() & (here < there))
+        rows = first.unionByName(rows.where("__eq").withColumn("__t", n > F.col("__over")))
+    else:
+        rows = rows.withColumn("__t", F.col("__lh").isNotNull() & (here <= there))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col("__t").alias(out))
 
 
 # F4
