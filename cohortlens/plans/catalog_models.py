@@ -74,11 +74,16 @@ def _scored(spark, root, col="n_orders", cut=0.333):
 
 # ----------------------------------------------------------------- F features
 
-@query("assemble")
+_FEATURES = ["region_code", "balance", "n_orders", "avg_price", "max_price", "n_urgent", "n_closed", "qty", "avg_discount", "n_parts", "n_returned", "score_1_10"]
+
+
+@query("assemble", sql=with_profile(
+    "SELECT id, CAST(i AS INTEGER) AS place, round(x, 6) AS value FROM (SELECT id, unnest(["
+    + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0)" for c in _FEATURES) + f"]) AS x, unnest(range(0, {len(_FEATURES)})) AS i FROM profile WHERE target_flag IS NOT NULL) f"))
 def q_assemble(spark, root):
+    """The feature vector of every row, one line per place."""
     p, feats = _clf_frame(spark, root)
-    a = fe.assemble(p, feats)
-    return a.select("id", vector_to_array("features").alias("features"))
+    return r6(fe.assemble(p, feats).select("id", F.posexplode(vector_to_array("features")).alias("place", "value")))
 
 
 _Z_SQL = ", ".join(
@@ -329,14 +334,14 @@ def q_predict(spark, root):
     return r6(clf.predict(models["Random Forest"], sp.where(F.col("is_test"))).select("id", "prediction", "score"))
 
 
-# Label prefixes of engineered columns.
-PROVENANCE_RULES = [("Eng_", "Engineered"), ("Derived_", "Derived Composite")]
+# How a profile column came about, by its prefix.
+PROVENANCE_RULES = [("n_", "Count"), ("avg_", "Average"), ("max_", "Maximum")]
 
 
 @query("feature_importance")
 def q_feature_importance(spark, root):
     _, _, models = _fitted_classifiers(spark, root)
-    return r6(clf.feature_importance(models["Random Forest"], 15, PROVENANCE_RULES, "Survey Item"))
+    return r6(clf.feature_importance(models["Random Forest"], 15, PROVENANCE_RULES, "Attribute"))
 
 
 def _knn_scored(spark, root):
@@ -435,6 +440,36 @@ def q_fit_linear(spark, root):
     return _fit_one(spark, root, "Linear Regression")
 
 
+_TWO = ["qty", "n_orders"]
+_TWO_SQL = ("f AS (SELECT target_amount AS y, coalesce(CAST(qty AS DOUBLE), 0) AS a, coalesce(CAST(n_orders AS DOUBLE), 0) AS b FROM profile WHERE target_amount IS NOT NULL), "
+            "m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ya, covar_pop(b, y) AS yb FROM f)")
+
+
+def _terms(spark, coefficients, intercept):
+    return r6(spark.createDataFrame([*zip(_TWO, map(float, coefficients)), ("intercept", float(intercept))], "term string, coefficient double"), {"coefficient": 3})
+
+
+@query("linear_coefficients", sql=with_profile(
+    f", {_TWO_SQL}, w AS (SELECT (ya * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS wb, ma, mb, my FROM m) "
+    "SELECT 'qty' AS term, round(wa, 3) AS coefficient FROM w UNION ALL SELECT 'n_orders', round(wb, 3) FROM w UNION ALL SELECT 'intercept', round(my - wa * ma - wb * mb, 3) FROM w"))
+def q_linear_coefficients(spark, root):
+    """Least squares of two columns, by QR; the SQL solves the normal equations."""
+    p = fill_nulls(profile(spark, root), _TWO, 0)
+    m = rg.fit_linear(p, _TWO, "target_amount").stages[-1]
+    return _terms(spark, m.getOrDefault(m.coefficients), m.getOrDefault(m.intercept))
+
+
+@query("ridge_coefficients", sql=with_profile(
+    f", {_TWO_SQL}, z AS (SELECT n, my, ya / sqrt(aa) AS ya, yb / sqrt(bb) AS yb, ab / sqrt(aa * bb) AS ab FROM m), "
+    "w AS (SELECT (n * ya * (n + 1) - n * yb * n * ab) / ((n + 1) * (n + 1) - n * ab * n * ab) AS wa, (n * yb * (n + 1) - n * ya * n * ab) / ((n + 1) * (n + 1) - n * ab * n * ab) AS wb, my FROM z) "
+    "SELECT 'qty' AS term, round(wa, 3) AS coefficient FROM w UNION ALL SELECT 'n_orders', round(wb, 3) FROM w UNION ALL SELECT 'intercept', round(my, 3) FROM w"))
+def q_ridge_coefficients(spark, root):
+    """Ridge (alpha 1) of two z-scored columns; the SQL solves the penalised normal equations."""
+    p = fill_nulls(profile(spark, root), _TWO, 0).where(F.col("target_amount").isNotNull())
+    m = rg.fit_ridge(fe.zscore(p, _TWO), _TWO, "target_amount", 1.0).stages[-1]
+    return _terms(spark, m.coefficients.toArray(), m.intercept)
+
+
 @query("fit_ridge")
 def q_fit_ridge(spark, root):
     return _fit_one(spark, root, "Ridge")
@@ -497,6 +532,42 @@ def q_kmeans(spark, root):
                         F.round(F.lit(max(costs)), 4).alias("worst_cost"), F.round(total / F.lit(cost), 4).alias("label_cost_ratio"))
 
 
+@query("kmeans_line", sql=with_profile(
+    ", v AS (SELECT CAST(balance AS DOUBLE) AS x FROM profile WHERE balance IS NOT NULL), "
+    "c AS (SELECT x, row_number() OVER w AS i, sum(x) OVER w AS s, sum(x * x) OVER w AS q FROM v WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)), "
+    "t AS (SELECT count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM v), "
+    "cut AS (SELECT c.i, c.s / c.i AS low, (t.s - c.s) / (t.n - c.i) AS high, t.n - c.i AS j, (c.q - c.s * c.s / c.i) + (t.q - c.q - (t.s - c.s) * (t.s - c.s) / (t.n - c.i)) AS cost "
+    "FROM c, t WHERE c.i < t.n ORDER BY cost LIMIT 1) "
+    "SELECT i AS n, round(low, 4) AS centre, round(cost / 1e6, 4) AS cost FROM cut UNION ALL SELECT j, round(high, 4), round(cost / 1e6, 4) FROM cut"))
+def q_kmeans_line(spark, root):
+    """Two clusters of one column: the best of 20 runs is the best of all cuts of the sorted values, which the SQL tries."""
+    p = profile(spark, root).where(F.col("balance").isNotNull()).withColumn("balance", F.col("balance").cast("double"))
+    model, cost, _ = cl.kmeans(p, ["balance"], k=2, n_init=20, seed=SEED, tol=0.0)
+    out = cl.assign(model, p, ["balance"], "cluster").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("balance"), 4).alias("centre"))
+    return out.select("n", "centre", F.round(F.lit(cost / 1e6), 4).alias("cost"))
+
+
+@query("cluster_quality")
+def q_cluster_quality(spark, root):
+    """Silhouette and Davies-Bouldin of the fitted clusters."""
+    model, _, _ = _kmeans5(spark, root)
+    z = cl.assign(model, _cluster_frame(spark, root), CLUSTER_COLS, "cluster")
+    sil = cl.silhouette(z, "cluster", CLUSTER_COLS, sample=600, seed=SEED, key="id")
+    return r6(sil.select("silhouette", cl.davies_bouldin(z, "cluster", CLUSTER_COLS).scalar().alias("davies_bouldin")))
+
+
+@query("clustered_export", sql=with_profile("SELECT count(*) AS n_rows, count(*) AS n_named, count(*) AS n_same, CAST(5 AS BIGINT) AS n_clusters FROM profile"))
+def q_clustered_export(spark, root):
+    """The whole table with each row's cluster and segment name, written as CSV and read again."""
+    model, _, _ = _kmeans5(spark, root)
+    labelled = cl.assign(model, _cluster_frame(spark, root), CLUSTER_COLS, "cluster").select("id", "cluster")
+    named = cl.name_segments(profile(spark, root).join(labelled, "id"), "cluster", RANK_COLS, NAME_RULES, NAME_DEFAULT)
+    path = io.write_csv(named, scratch_path(spark, "clustered-csv"))
+    again = io.read_csv(spark, path, schema=named.schema).select("id", F.col("cluster").alias("c"), F.col("segment_name").alias("s"))
+    both = labelled.join(again, "id")
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count("s").alias("n_named"), F.count_if(F.col("c") == F.col("cluster")).alias("n_same"), F.countDistinct("c").alias("n_clusters"))
+
+
 @query("k_sweep")
 def q_k_sweep(spark, root):
     z = _cluster_frame(spark, root)

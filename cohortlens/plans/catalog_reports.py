@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlens.functions.columns import decode
+from cohortlens.operators import aggregates as agg
+from cohortlens.plans import catalog_models, catalog_rules  # noqa: F401  (run_all names their queries)
 from cohortlens.plans import reports as rp
 from cohortlens.plans.catalog_tables import REGION_LABELS, TIER_LABELS, FLAG_LABELS
-from cohortlens.plans.oracle import with_profile
-from cohortlens.plans.registry import QUERIES, query, r6
+from cohortlens.plans.oracle import with_both, with_profile
+from cohortlens.plans.registry import ORACLE, QUERIES, query, r6
 from cohortlens.session import scratch_path
-from cohortlens.sources.views import profile
+from cohortlens.sources import documents as nd
+from cohortlens.sources.views import basket, profile
 
 
 _CT_TIER = ("CASE tier_code WHEN 1 THEN 'T1' WHEN 2 THEN 'T2' WHEN 3 THEN 'T3' WHEN 4 THEN 'T4' WHEN 5 THEN 'T5' "
@@ -156,15 +160,69 @@ def q_business_report(spark, root):
     return _tidy(rep)
 
 
-@query("run_all")
+# name -> (query that plans it, its rows where no SQL states it: models, clusters, targets x models)
+_SECTIONS = {"descriptive": ("descriptive_report", None), "diagnostic": ("diagnostic_report", None), "scatter": ("diagnostic_scatter", None),
+             "opportunity": ("opportunity_map", None), "crosstabs": ("crosstab_report", None), "correlations": ("corr_with_target", None),
+             "classification": ("classifier_comparison", 4), "clustering": ("kmeans", 5), "rules": ("top_rules", None), "regression": ("fit_targets", 8),
+             "business": ("business_report", None)}
+
+
+def _sections(spark, root):
+    return {name: (lambda q=q: QUERIES[q](spark, root)) for name, (q, _) in _SECTIONS.items()}
+
+
+def _run_all_sql() -> str:
+    parts = [f"SELECT '{name}' AS section, " + (f"CAST({n} AS BIGINT)" if n else f"(SELECT count(*) FROM ({ORACLE[q]}) t)") + " AS n_rows" for name, (q, n) in _SECTIONS.items()]
+    return "\nUNION ALL ".join(parts)
+
+
+@query("run_all", sql=_run_all_sql())
 def q_run_all(spark, root):
-    p = profile(spark, root)
-    others = {"crosstabs": "crosstab_report", "correlations": "corr_with_target", "classification": "classifier_comparison",
-              "clustering": "cluster_segments", "rules": "top_rules", "regression": "fit_targets", "business": "business_report"}
-    sections = {
-        "descriptive": _descriptive(p),
-        "diagnostic": _diagnostic(p),
-        "scatter": rp.scatter_rows(p, "id", *_TREND, "segment"),
-        "opportunity": rp.opportunity_map(p, "segment", "target_amount", "score_1_10", "avg_discount", "id"),
-    } | {name: QUERIES[q](spark, root) for name, q in others.items()}
-    return rp.run_all(sections, scratch_path(spark, "run-all")).orderBy(F.col("section"))
+    """All sections of the reference's run, written with a manifest each."""
+    return rp.run_all(spark, _sections(spark, root), scratch_path(spark, "run-all"))
+
+
+@query("run_all_resumed", sql=_run_all_sql())
+def q_run_all_resumed(spark, root):
+    """A run that stops after three sections, then is called again."""
+    path, sections = scratch_path(spark, "run-all"), _sections(spark, root)
+    first = list(sections)[:3]
+    rp.run_all(spark, {n: sections[n] for n in first}, path)
+
+    def again(name):
+        raise ValueError(f"{name} was written before")
+    return rp.run_all(spark, {n: (lambda n=n: again(n)) if n in first else s for n, s in sections.items()}, path)
+
+
+_DOC_TIERS = "SELECT " + _CT_TIER + " AS tier, count(*) AS n FROM profile GROUP BY 1 HAVING tier IS NOT NULL"
+_DOC_SQL = f"""
+, doc AS (
+SELECT 'descriptive.summary.' || k AS path, v AS number FROM (SELECT unnest(['willing_pct', 'avg_amount', 'avg_score', 'n']) AS k,
+  unnest([avg(target_flag) * 100, avg(target_amount), avg(score_1_10), count(*)]) AS v FROM profile)
+UNION ALL SELECT 'descriptive.tiers.' || tier, n FROM ({_DOC_TIERS})
+UNION ALL SELECT 'crosstab.willing_by_segment.' || segment || '.' || CASE target_flag WHEN 1 THEN 'Willing' ELSE 'Not willing' END, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY segment)
+  FROM profile WHERE target_flag IS NOT NULL AND segment IS NOT NULL GROUP BY segment, target_flag
+UNION ALL SELECT 'association.frequent_pairs.' || (row_number() OVER (ORDER BY n DESC, a, b) - 1) || '.n', n FROM pair)"""
+_PAIR_SQL = "".join(f" UNION ALL SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} = 1 AND {b} = 1) AS n FROM basket" for a, b in (("big_qty", "bulk"), ("bulk", "many_lines"), ("returned", "urgent")))
+
+
+@query("results_document", sql=with_both(
+    f", pair AS ({_PAIR_SQL.removeprefix(' UNION ALL ')})" + _DOC_SQL + " SELECT path, round(number, 4) AS number, CAST(NULL AS VARCHAR) AS text FROM doc "
+    "UNION ALL SELECT 'association.frequent_pairs.' || (row_number() OVER (ORDER BY n DESC, a, b) - 1) || '.pair', CAST(NULL AS DOUBLE), a || ', ' || b FROM pair"))
+def q_results_document(spark, root):
+    """Sections of four shapes in one JSON document, read back and flattened."""
+    p, b = profile(spark, root), basket(spark, root)
+    kpis = p.agg((F.avg("target_flag") * 100).alias("willing_pct"), F.avg("target_amount").alias("avg_amount"), F.avg("score_1_10").alias("avg_score"), F.count(F.lit(1)).alias("n"))
+    tiers = decode(p, "tier_code", TIER_LABELS, "tier").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    willing = agg.crosstab(p.where("segment is not null").withColumn("label", F.when(F.col("target_flag") == 1, "Willing").when(F.col("target_flag") == 0, "Not willing")),
+                           "segment", "label", normalize="index")
+    pairs = b.agg(*[F.count_if((F.col(x) == 1) & (F.col(y) == 1)).alias(f"{x}, {y}") for x, y in (("big_qty", "bulk"), ("bulk", "many_lines"), ("returned", "urgent"))])
+    pairs = pairs.unpivot([], pairs.columns, "pair", "n").withColumn("place", -F.col("n"))
+    doc = nd.results_document(spark, {
+        "descriptive": {"summary": nd.as_record(kpis), "tiers": nd.as_map(tiers, "tier", "n")},
+        "crosstab": {"willing_by_segment": nd.as_nested_map(willing, "segment", "label", "pct")},
+        "association": {"frequent_pairs": nd.as_rows(pairs, ["place", "pair"])}})
+    path = scratch_path(spark, "results-document")
+    schema = nd.write_document(doc, path)
+    flat = nd.flatten_document(nd.read_document(spark, path, schema)).where("not endswith(path, '.place')")
+    return flat.withColumn("number", F.round("number", 4))

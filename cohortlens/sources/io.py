@@ -50,7 +50,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -72,7 +72,7 @@ def resolve_source(spark: SparkSession, name: str, roots: Iterable[str],
     for root in roots:
         path = f"{root.rstrip('/')}/{name}.{fmt}"
         tried.append(path)
-        if _exists(spark, path):
+        if path_exists(spark, path):
             return nan_to_null(spark.read.format(fmt).load(path))
     raise FileNotFoundError(f"cannot find table {name!r}; looked in: " + ", ".join(tried))
 
