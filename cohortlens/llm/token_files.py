@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from cohortlens.llm.scratch import filesystem, keep, shared_path
 
 #: Token ids after which a frame ends.
 FRAME = 1 << 17
-#: Different text chunks that a worker remembers.
+#: Different pieces of text that a worker remembers.
 MEMORY = 400_000
 # Fixed values of the zstandard formats.
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -59,20 +60,29 @@ class Writer:
         self.docs, self.lens, self.ids, self.held = [], [], [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.lens.append(len(ids))
-        self.ids.append(ids)
-        self.held += len(ids)
-        if self.held >= self.frame:
-            self.flush()
+        self.extend([doc_id], np.array([len(ids)]), ids)
+
+    def extend(self, doc_ids: list, lens: np.ndarray, ids: np.ndarray) -> None:
+        """Documents in a row, their token ids concatenated; a frame ends with the document that fills it."""
+        upto, a = np.cumsum(lens), 0
+        while a < len(doc_ids):
+            before = int(upto[a - 1]) if a else 0
+            b = min(len(doc_ids), int(np.searchsorted(upto, before + self.frame - self.held)) + 1)
+            self.docs += doc_ids[a:b]
+            self.lens.append(lens[a:b])
+            self.ids.append(ids[before:int(upto[b - 1])])
+            self.held += int(upto[b - 1]) - before
+            if self.held >= self.frame:
+                self.flush()
+            a = b
 
     def flush(self) -> None:
         if not self.docs:
             return
         known = np.array([d is not None for d in self.docs], np.uint8)
         docs = np.array([_NULL if d is None else d for d in self.docs], "<i8")
-        body = b"".join([struct.pack("<I", len(docs)), known.tobytes(), docs.tobytes(), np.array(self.lens, "<u8").tobytes(),
-                         *(i.astype("<u4").tobytes() for i in self.ids)])
+        body = b"".join([struct.pack("<I", len(docs)), known.tobytes(), docs.tobytes(), np.concatenate(self.lens).astype("<u8").tobytes(),
+                         *(np.ascontiguousarray(i, "<u4").data for i in self.ids)])
         packed = self.zstd.compress(body)
         self.out.write(packed)
         self.seek.append((len(packed), len(body), _digest(body)))
@@ -137,11 +147,67 @@ class Reader:
                         yield d, ids[at[k]:at[k + 1]]
 
 
+#: What a byte is to the tokenizer: 0 white space, 1 letter, 2 digit, 3 other sign, 4 part of a character beyond ASCII (or not looked into).
+_KIND = np.full(256, 4, np.uint8)
+_KIND[:0x80] = 3
+_KIND[0x1C:0x20] = 4
+_KIND[X.SPACE] = 0
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+#: First bytes of two-byte characters that are all letters, but for three.
+_LETTER_LEAD = np.zeros(256, bool)
+_LETTER_LEAD[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with ASCII folded, start and end of each piece, first piece of each document).
+
+    Texts are cut at white space, and inside at places where the tokenizer (NFC, lower case; runs of letters, single
+    digits, runs of other signs) begins a new word whatever stands around: between ASCII characters of different
+    kinds, before a digit, and between a sign or digit and a letter of the Latin or Cyrillic blocks. A cut stands before a
+    character that joins no earlier one, so no normalisation spans it. Not cut inside are chunks with an apostrophe
+    (contractions) or a special token's beginning; the latter keep their capitals too.
+    """
+    starts, ends, _ = X.words(data, offsets, X.SPACE)
+    if not len(starts):
+        return data, starts, ends, np.zeros(len(offsets), np.int64)
+    special = np.zeros(len(data), bool)
+    special[:-1] = (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    marks = np.concatenate([[0], np.cumsum(special | (data == 0x27))])
+    whole = marks[ends] > marks[starts]
+    kind = _KIND[data]
+    lead = _LETTER_LEAD[data]
+    pair = np.zeros(len(data), np.uint16)
+    pair[:-1] = data[:-1].astype(np.uint16) << 8 | data[1:]
+    lead &= (pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)  # two signs, and the capital whose lower case is two characters
+    before, here = kind[:-1], kind[1:]
+    ascii_both = (before != 4) & (here != 4)
+    after_letter = np.zeros(len(data) - 1, bool)
+    after_letter[1:] = lead[:-2]
+    cut = ascii_both & ((before != here) | (before == 2)) | (here == 2) | after_letter & (here == 3) | lead[1:] & ((before == 2) | (before == 3))
+    cut &= (before != 0) & (here != 0)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts[~whole]] += 1
+    inside[ends[~whole]] -= 1
+    cut &= np.cumsum(inside, dtype=np.int8)[1:-1] > 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    cuts = np.flatnonzero(cut & ~edge[1:-1]) + 1
+    fold = X.LOWER[data]
+    if special.any():
+        marks = np.concatenate([[0], np.cumsum(special)])
+        kept = marks[ends] > marks[starts]
+        at = X.ragged(starts[kept], (ends - starts)[kept])
+        fold[at] = data[at]
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    return fold, starts, ends, np.searchsorted(starts, offsets)
+
+
 class ChunkEncoder:
-    """Encodes texts chunk by chunk between white space, remembering different chunks.
+    """Encodes texts piece by piece (see ``pieces``), remembering different pieces.
 
-    For tokenizers that drop white space, as the one this is used with: no token
-    spans it, so a text's ids are those of its chunks in a row.
+    For tokenizers that drop white space, fold case and split words as the one this is used with: no token
+    spans a cut, so a text's ids are those of its pieces in a row.
     """
 
     def __init__(self, spec: str):
@@ -156,33 +222,36 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 20, np.uint32), [], 0
+        self.flat, self.starts, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, concatenated, and each document's number of them."""
-        if len(self.at) > MEMORY:
-            self.forget()
-        s, e, first = X.words(data, offsets, X.SPACE)
-        chunks = X.word_array(data, s, e).dictionary_encode()
-        names = chunks.dictionary.to_pylist()
-        new = [c for c in names if c not in self.at]
+    def _learn(self, new: list[bytes]) -> None:
         for a in range(0, len(new), 20_000):
             some = new[a:a + 20_000]
             got = [x.ids for x in self.encode([c.decode() for c in some], add_special_tokens=False)]
-            need = self.used + sum(map(len, got))
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            need, known = self.used + int(lens.sum()), len(self.at)
             if need > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
-            self.flat[self.used:need] = [i for g in got for i in g]
-            for c, g in zip(some, got, strict=True):
-                self.at[c] = len(self.starts)
-                self.starts.append(self.used)
-                self.used += len(g)
-        rows = np.fromiter((self.at[c] for c in names), np.int64, len(names))
-        starts = np.array([*self.starts, self.used], np.int64)
-        lens = (starts[1:] - starts[:-1])[rows]
-        which = chunks.indices.to_numpy()
-        ids = self.flat[X.ragged(starts[rows][which], lens[which])]
-        upto = np.concatenate([[0], np.cumsum(lens[which])])
+            if known + len(some) >= len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros(max(len(some), len(self.starts)), np.int64)])
+            self.flat[self.used:need] = np.fromiter(chain.from_iterable(got), np.uint32, need - self.used)
+            self.starts[known + 1:known + len(some) + 1] = self.used + np.cumsum(lens)
+            self.at.update(zip(some, range(known, known + len(some)), strict=True))
+            self.used = need
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, concatenated, and each document's number of them."""
+        if len(self.at) > MEMORY:
+            self.forget()
+        fold, s, e, first = pieces(data, offsets)
+        chunks = X.word_array(fold, s, e).dictionary_encode()
+        names = chunks.dictionary.to_pylist()
+        self._learn([c for c in names if c not in self.at])
+        rows = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+        which = rows[chunks.indices.to_numpy()]
+        lens = self.starts[which + 1] - self.starts[which]
+        ids = self.flat[X.ragged(self.starts[which], lens)]
+        upto = np.concatenate([[0], np.cumsum(lens)])
         return ids, np.diff(upto[first])
 
 
@@ -224,9 +293,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
                     file = f"part-{part:06d}-{uuid.uuid4().hex}.zst"
                     writer = Writer(where.open_output_stream(f"{at}/{file}", compression=None))
                 ids, n = encode(*X.buffer(some.column("text")))
-                upto = np.concatenate([[0], np.cumsum(n)]).tolist()
-                for k, d in enumerate(some.column("doc_id").to_pylist()):
-                    writer.add(d, np.append(ids[upto[k]:upto[k + 1]], np.uint32(end_id)))
+                writer.extend(some.column("doc_id").to_pylist(), n + 1, np.insert(ids, np.cumsum(n), np.uint32(end_id)))
                 n_docs += some.num_rows
                 n_tokens += len(ids) + some.num_rows
         if writer is not None:

@@ -15,6 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from cohortlens.llm import bpe, chat, embeddings, licenses, token_files  # noqa: E402
+from cohortlens.llm import text as X  # noqa: E402
 from cohortlens.llm.lexicon import Lexicon, build  # noqa: E402
 from cohortlens.llm.queries import _NOTICES, _PHRASES  # noqa: E402
 from tests.llm import data as D  # noqa: E402
@@ -62,6 +63,21 @@ def test_bpe_matches_the_library(spark):
     assert bpe.bpe_encode_decode(docs.limit(0), path).count() == 0
 
 
+SIGNS = ["a", "B", "é", "É", "İ", "×", "÷", "1", "²", "'", "s", "ll", "t", "-", ",", "…", "“", "́", "̈", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", " ", " ", "\x1c", "\x85",
+         "Ж", "ж", "ß", "中", "ﬁ", "=", "̸", "9", "½", "Ŀ", "ŉ", "😀", "٣"]
+
+
+def test_pieces_are_cut_where_the_tokenizer_cuts():
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    tok, encode, rng = Tokenizer.from_str(spec), token_files.ChunkEncoder(spec), random.Random(12)
+    texts = ["".join(rng.choice(SIGNS) for _ in range(rng.randrange(14))) for _ in range(20_000)] + odd_texts(300, 9)
+    ids, n = encode(*X.buffer(pa.array(texts)))
+    upto = np.concatenate([[0], np.cumsum(n)])
+    for i, t in enumerate(texts):
+        assert ids[upto[i]:upto[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert len(token_files.pieces(*X.buffer(pa.array(["it, größe1 <|X", ""])))[1]) == 5
+
+
 def test_token_files_round_trip(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
