@@ -5,11 +5,12 @@ merged once and compiled into a minimal automaton (see ``lexicon``), shipped as
 a file and mapped into memory by the tasks. Encoding cuts texts at places where
 no word can span, looks each different word of a slice up in the automaton and
 merges the unseen ones exactly, all at once: every round merges in each word
-its pair of lowest rank, until no pair has one.
+its pair of lowest rank, until no pair has one. Very long words are merged one by one, their pairs in a heap.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import uuid
 
@@ -28,6 +29,8 @@ from cohortlens.llm.scratch import keep, write_shared
 WORDS = 1 << 15
 #: Longer words are merged, not kept in the lexicon.
 LONGEST = 48
+#: Longer words are merged one by one with a heap, not all at once in rounds.
+LONG = 64
 
 _WS = r"\t-\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -66,9 +69,59 @@ class Vocabulary:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.made = key[order], order, made[order]
+        self._pairs: dict[int, tuple[int, int]] | None = None
 
     def merge(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of words, concatenated, and the number of each."""
+        """Token ids of words, concatenated, and the number of each. Work is in proportion to the bytes (times their logarithm, for a long word)."""
+        long = np.flatnonzero(lens > LONG)
+        if not len(long):
+            return self._merge_rounds(data, starts, lens)
+        short = np.flatnonzero(lens <= LONG)
+        ids, n = self._merge_rounds(data, starts[short], lens[short])
+        each = [self._merge_long(data[a:a + m]) for a, m in zip(starts[long].tolist(), lens[long].tolist(), strict=True)]
+        size = np.zeros(len(lens), np.int64)
+        size[short], size[long] = n, [len(e) for e in each]
+        first = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.int64)
+        out[X.ragged(first[short], n)] = ids
+        out[X.ragged(first[long], size[long])] = np.concatenate(each)
+        return out, size
+
+    def _merge_long(self, data: np.ndarray) -> np.ndarray:
+        """One word: pairs wait in a heap by rank and place, symbols are a linked list."""
+        if self._pairs is None:
+            self._pairs = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+        pairs, first = self._pairs, self.of_byte[data]
+        n = len(first)
+        pair = (first[:-1] << 32) | first[1:]
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        place = np.flatnonzero(self.key[at] == pair)
+        heap = ((self.rank[at[place]] << 32) | place).tolist()
+        heapq.heapify(heap)
+        ids, after, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            top = pop(heap)
+            i = top & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j >= n:
+                continue
+            got = pairs.get(ids[i] << 32 | ids[j])
+            if got is None or got[0] != top >> 32:
+                continue  # one of the two has merged since
+            ids[i], ids[j] = got[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (more := pairs.get(got[1] << 32 | ids[k])) is not None:
+                    push(heap, more[0] << 32 | i)
+            if (h := before[i]) >= 0 and (more := pairs.get(ids[h] << 32 | got[1])) is not None:
+                push(heap, more[0] << 32 | h)
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
+    def _merge_rounds(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of LONG bytes at most, all at once: every round merges in each word its pair of lowest rank."""
         ids = self.of_byte[data[X.ragged(starts, lens)]]
         word = np.repeat(np.arange(len(starts)), lens)
         none = np.iinfo(np.int64).max
@@ -137,28 +190,43 @@ def cuts(data: np.ndarray, offsets: np.ndarray, special: list[tuple[bytes, int]]
     letter = _LETTER[data]
     begin[1:] |= letter[:-1] & ~letter[1:] & ~space[1:] & (data[1:] < 0x80)
     begin[edge] = True
-    spots = []
-    flat = data.tobytes()
-    for text, i in special:
-        at = flat.find(text)
-        while at >= 0:
-            d = int(np.searchsorted(offsets, at, "right"))
-            if at + len(text) <= offsets[d] and not any(a < at + len(text) and at < b for a, b, _ in spots):
-                spots.append((at, at + len(text), i))
-                at += len(text) - 1
-            at = flat.find(text, at + 1)
-    for a, b, _ in spots:
-        begin[a + 1:b] = False
-        begin[a] = True
-        if b < n:
-            begin[b] = True
+    at, size, which = _special_places(data, offsets, special)
+    if len(at):
+        begin[X.ragged(at, size)] = False
+        begin[at] = True
+        begin[(at + size)[at + size < n]] = True
     starts = np.flatnonzero(begin)
     kind = np.full(len(starts), -1)
-    for a, _, i in spots:
-        kind[np.searchsorted(starts, a)] = i
+    kind[np.searchsorted(starts, at)] = which
     return starts, np.append(starts[1:], n), kind
 
 
+def _special_places(data: np.ndarray, offsets: np.ndarray, special: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, id) of special tokens in texts: longer ones first, each from the left, none over another or over two documents."""
+    flat, taken, found = data.tobytes(), np.zeros(len(data), bool), []
+    for text, i in special:
+        m, at, places = len(text), flat.find(text), []
+        while at >= 0:
+            places.append(at)
+            at = flat.find(text, at + 1)
+        places = np.array(places, np.int64)
+        places = places[places + m <= offsets[np.minimum(np.searchsorted(offsets, places, "right"), len(offsets) - 1)]]
+        # A longer token that stands over this one covers its first or its last byte.
+        places = places[~taken[places] & ~taken[places + m - 1]].tolist()
+        kept, end = [], -1
+        for a in places:
+            if a >= end:
+                kept.append(a)
+                end = a + m
+        kept = np.array(kept, np.int64)
+        taken[X.ragged(kept, np.full(len(kept), m))] = True
+        found.append((kept, np.full(len(kept), m), np.full(len(kept), i)))
+    if not found:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
 def _words(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of different chunks: (bytes, starts, lengths, first word of each chunk)."""
     data, off = X.buffer(chunks)

@@ -63,6 +63,21 @@ def test_bpe_matches_the_library(spark):
     assert bpe.bpe_encode_decode(docs.limit(0), path).count() == 0
 
 
+def test_bpe_of_very_long_words_and_many_special_tokens_takes_time_in_proportion():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, v, lex, rng = Tokenizer.from_file(path), bpe.Vocabulary(path), Lexicon(build([], [])), random.Random(3)
+    letters = "etaoinshrdlu" * 3 + "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choices(letters, k=n)) for n in (64, 65, 66, 200, 3_000, 1_000_000)] + ["a" * 100_000, "ab" * 40_000, "é" * 500, "=" * 70_000, "  " * 999 + "x"]
+    texts += ["<|endoftext|>" * (4_000_000 // 13), "<|endoftext|<|endoftext|>|>" * 300, "x<|endoftext|>"]
+    began = time.time()
+    ids, n = bpe.encode_slice(*X.buffer(pa.array(texts)), v, lex)
+    took = time.time() - began
+    upto = np.concatenate([[0], np.cumsum(n)])
+    for i, t in enumerate(texts):
+        assert ids[upto[i]:upto[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t[:50]
+    assert took < 40
+
+
 SIGNS = ["a", "B", "é", "É", "İ", "×", "÷", "1", "²", "'", "s", "ll", "t", "-", ",", "…", "“", "́", "̈", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", " ", " ", "\x1c", "\x85",
          "Ж", "ж", "ß", "中", "ﬁ", "=", "̸", "9", "½", "Ŀ", "ŉ", "😀", "٣"]
 
