@@ -148,10 +148,11 @@ def group_means_ordered(df: DataFrame, key: str, col: str, order: Sequence, keep
     spark = df.sparkSession
     ord_df = spark.createDataFrame([(v, i) for i, v in enumerate(order)], [key, pos_col]).select(
         F.col(key).cast(df.schema[key].dataType), F.col(pos_col).cast("int"))
-    agg = df.groupBy(key).agg(F.avg(col).alias(out))
-    # The order table is a parameter list (driver data of known size).
+    # At most one mean per listed label: the side that can be broadcast.
+    listed = [v for v in order if v is not None]
+    agg = df.where(F.col(key).isin(listed)).groupBy(key).agg(F.avg(col).alias(out))
     how = "left" if keep_missing else "inner"
-    return F.broadcast(ord_df).join(agg, key, how).orderBy(pos_col).select(pos_col, key, out)
+    return ord_df.join(F.broadcast(agg), key, how).orderBy(pos_col).select(pos_col, key, out)
 
 
 # C11
@@ -276,14 +277,17 @@ def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = "index",
         # subquery, not a window that gathers every row in one task.
         den = base.where(F.col(col).isin(list(values))).agg(F.count(F.lit(1))).scalar()
     elif normalize == "columns":
-        den = F.sum("n").over(Window.partitionBy(col))
+        # One row per column label: a bounded table, not a window over all cells of a label.
+        sums = base.where(F.col(col).isin(list(values))).groupBy(F.col(col).alias("__label")).agg(F.count(F.lit(1)).alias("__col_total"))
+        long = long.join(F.broadcast(sums), F.col(col) == F.col("__label"), "left")
+        den = F.col("__col_total")
     else:
         den = None
     out = long.withColumn("n", F.col("n").cast("long"))
     if den is not None:
         pct = F.lit(scale) * F.col("n") / F.nullif(den, F.lit(0))
         out = out.withColumn("pct", F.round(pct, digits) if digits is not None else pct)
-    return out.drop("__row_total").orderBy(row, col)
+    return out.drop("__row_total", "__label", "__col_total").orderBy(row, col)
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, values: Sequence, normalize: str | None = "index",

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.columns import classify_by_prefix
 from cohortlens.operators.neighbours import knn_classify, knn_neighbors, knn_pairs  # noqa: F401  (G1)
 from cohortlens.operators.ranking import ordered_cumsum
+from cohortlens.session import scratch_path
 
 
 # G2-G5 ---------------------------------------------------------------------
@@ -99,7 +100,7 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
     counts = pred.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
     # The grid is |labels|^2 rows of driver data.
-    return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")
+    return (grid.join(F.broadcast(counts.where(F.col("actual").isin(list(labels)) & F.col("predicted").isin(list(labels)))), ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
             .orderBy("actual", "predicted"))
 
@@ -118,7 +119,11 @@ def roc_curve(pred: DataFrame, score: str = "score", label: str = "label", posit
     collinear with both neighbours (scikit-learn's default): a point goes when
     the next lower score adds the same positives and negatives as it did;
     the first and last points always stay."""
+    # One row per distinct score, written once: the predictions are evaluated for it and not again for splitters, sums and totals.
     sc = _score_counts(pred, score, label, positive)
+    path = scratch_path(pred.sparkSession, "score-counts")
+    sc.write.parquet(path)
+    sc = pred.sparkSession.read.schema(sc.schema).parquet(path)
     cum = ordered_cumsum(sc, "threshold", ["pos", "neg"], descending=True,
                          next_cols=["pos", "neg"] if drop_intermediate else ())
     if drop_intermediate:
