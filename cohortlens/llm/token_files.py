@@ -36,7 +36,7 @@ from cohortlens.llm.scratch import filesystem, keep, shared_path
 #: Token ids after which a frame ends.
 FRAME = 1 << 17
 #: Different pieces of text that a worker remembers.
-MEMORY = 400_000
+MEMORY = 800_000
 # Fixed values of the zstandard formats.
 SKIPPABLE_SEEK = 0x184D2A5E
 SKIPPABLE_OWN = 0x184D2A50
