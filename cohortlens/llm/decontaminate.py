@@ -10,7 +10,7 @@ compared word by word. Scans run in lock step over many stretches of text.
 A benchmark of at most ``BLOCK_BYTES`` of text travels to the tasks as one
 broadcast. Of a larger one no text comes to the driver: Spark writes its items
 to the shared folder in blocks, tasks build a block's tables from its file, and
-the documents are scanned once for each block.
+the documents are scanned once for every ``SCAN_BLOCKS`` of them.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from cohortlens.llm.scratch import filesystem, shared_path
 WINDOW = 13
 #: Benchmark text in one broadcast; at most about so much in a stored block.
 BLOCK_BYTES = 16 << 20
+#: A shift table has 2 ** BITS entries of a byte at most.
+BITS = 24
+#: Stored blocks that one scan of the documents looks for.
+SCAN_BLOCKS = 4
 #: Words in one stretch of the lock-step scan.
 STRETCH = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -43,40 +47,57 @@ def _tokens(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
 
 
 class Group:
-    """Shift table, suffix buckets and patterns of one pattern length."""
-
-    def __init__(self, patterns: np.ndarray, owner: np.ndarray):
-        self.m = patterns.shape[1]
-        uniq, inverse = np.unique(patterns, axis=0, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        self.items = owner[order]  # items of pattern p: items[at[p]:at[p + 1]]
-        self.at = np.searchsorted(inverse.ravel()[order], np.arange(len(uniq) + 1))
-        self.block = min(2, self.m)
-        bits = max(12, math.ceil(math.log2(8 * self.m * len(uniq) + 1)))
+    """Shift table, suffix buckets and patterns of one pattern length ``m``.
+
+    Patterns are places in the items' word numbers (``tokens``, kept once by the matcher): a place, two hashes' worth of
+    order and the owners make some 30 bytes a window. A shift is a byte, and the table has at most 2 ** ``BITS`` of
+    them: where blocks share an entry the smallest shift stands, which costs a look and no occurrence.
+    """
+
+    def __init__(self, tokens: np.ndarray, starts: np.ndarray, owner: np.ndarray, m: int):
+        self.m, self.block = m, min(2, m)
+        whole = np.zeros(len(starts), np.uint64)
+        for i in range(m):
+            whole = (whole ^ (tokens[starts + i].astype(np.uint64) + np.uint64(1))) * _MIX
+            whole ^= whole >> np.uint64(29)
+        order = np.argsort(whole, kind="stable")
+        starts, owner, whole = starts[order], owner[order], whole[order]
+        # Equal windows become one pattern; the hash only brings them together.
+        same = whole[1:] == whole[:-1]
+        for i in range(m):
+            same &= tokens[starts[1:] + i] == tokens[starts[:-1] + i]
+        begin = np.flatnonzero(np.concatenate([[True], ~same]))
+        self.items = owner.astype(np.int32)  # items of pattern p: items[at[p]:at[p + 1]]
+        self.at = np.append(begin, len(starts)).astype(np.int32)
+        uniq = starts[begin]
+        blocks = len(np.unique(self._mixed([tokens[uniq + self.block - 1 - i] for i in range(self.block)]))) if m > self.block else len(uniq)
+        bits = min(BITS, max(12, math.ceil(math.log2(8 * blocks + 8 * self.m + 1))))
         self.drop = np.uint64(64 - bits)
-        self.shift = np.full(1 << bits, self.m - self.block + 1, np.int32)
-        for j in range(self.block - 1, self.m):
-            np.minimum.at(self.shift, self._hash([uniq[:, j - i] for i in range(self.block)]), self.m - 1 - j)
-        suffix = self._suffix(uniq, np.full(len(uniq), self.m - 1), flat=False)
+        self.shift = np.full(1 << bits, min(255, self.m - self.block + 1), np.uint8)
+        for j in range(self.block - 1, m):  # the later block moves less, and overwrites
+            self.shift[self._hash([tokens[uniq + j - i] for i in range(self.block)])] = min(255, m - 1 - j)
+        suffix = self._suffix(tokens, uniq + m - 1)
         order = np.argsort(suffix, kind="stable")
-        self.patterns, self.suffix = uniq[order], suffix[order]
-        self.rank = order  # bucket position -> pattern
+        self.starts, self.suffix = uniq[order].astype(np.int32), suffix[order]
+        self.rank = order.astype(np.int32)  # bucket position -> pattern
 
-    def _hash(self, words: list[np.ndarray]) -> np.ndarray:
+    def _mixed(self, words: list[np.ndarray]) -> np.ndarray:
         h = np.zeros(len(words[0]), np.uint64)
         for w in words:
             h = (h + w.astype(np.uint64) + np.uint64(1)) * _MIX
-        return (h >> self.drop).astype(np.int64)
+        return h
+
+    def _hash(self, words: list[np.ndarray]) -> np.ndarray:
+        return (self._mixed(words) >> self.drop).astype(np.int64)
 
-    def _suffix(self, ids: np.ndarray, last: np.ndarray, flat: bool = True) -> np.ndarray:
+    def _suffix(self, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
         h = np.zeros(len(last), np.uint64)
         for i in range(min(4, self.m)):
-            w = ids[last - i] if flat else ids[:, self.m - 1 - i]
-            h = (h ^ (w.astype(np.uint64) + np.uint64(1))) * _MIX
+            h = (h ^ (ids[last - i].astype(np.uint64) + np.uint64(1))) * _MIX
             h ^= h >> np.uint64(29)
         return h
 
-    def find(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, tokens: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(last word, pattern) of every occurrence inside a document."""
         ends = np.maximum(np.diff(first) - self.m + 1, 0)  # places where a window may end, per document
         lanes = -(-ends // STRETCH)
@@ -102,7 +123,7 @@ class Group:
             e = np.repeat(at[a:a + 65536], n[a:a + 65536])
             ok = np.ones(len(e), bool)
             for i in range(self.m):
-                ok[ok] = ids[e[ok] - i] == self.patterns[k[ok], self.m - 1 - i]
+                ok[ok] = ids[e[ok] - i] == tokens[self.starts[k[ok]] + self.m - 1 - i]
             ends_out.append(e[ok])
             which.append(self.rank[k[ok]])
         return np.concatenate(ends_out), np.concatenate(which)
@@ -116,15 +137,13 @@ class Matcher:
         self.names = [i for i, _ in items]
         self.vocabulary = pa.array(sorted(set(words)), pa.large_binary())
         ids = pc.index_in(pa.array(words, pa.large_binary()), value_set=self.vocabulary).to_numpy(zero_copy_only=False).astype(np.int32) + 1 if words else np.zeros(0, np.int32)
-        by: dict[int, list] = {}
-        for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            m = min(window, b - a)
-            for s in range(a, b - m + 1) if m else ():
-                by.setdefault(m, []).append((k, s))
-        self.groups = []
-        for m, rows in sorted(by.items()):
-            r = np.array(rows, np.int64)
-            self.groups.append(Group(ids[r[:, 1][:, None] + np.arange(m)], r[:, 0]))
+        self.tokens, self.groups = ids, []
+        size = np.diff(first)
+        length = np.minimum(size, window)
+        for m in np.unique(length[length > 0]).tolist():
+            item = np.flatnonzero(length == m)
+            n = size[item] - m + 1
+            self.groups.append(Group(ids, X.ragged(first[:-1][item], n), np.repeat(item, n), m))
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list, list]:
         """Per document: number of words, hit runs (start, end), item indices."""
@@ -136,7 +155,7 @@ class Matcher:
             ids = pc.fill_null(pc.index_in(X.word_array(data, starts, ends), value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False) + 1
             step, pair = np.zeros(len(starts) + 1, np.int32), []
             for g in self.groups:
-                last, p = g.find(ids, first)
+                last, p = g.find(self.tokens, ids, first)
                 if len(last):
                     np.add.at(step, last - g.m + 1, 1)
                     np.add.at(step, last + 1, -1)
@@ -174,28 +193,34 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple] | str]:
 _loaded: dict[tuple, Matcher] = {}
 
 
-def _stored(path: str, window: int) -> Matcher:
-    """The matcher of a stored block; a task's Python process holds the last one only."""
-    if (path, window) not in _loaded:
-        _loaded.clear()
-        where, at = filesystem(path)
-        rows = pq.read_table(at, filesystem=where, columns=["item_id", "text"], partitioning=None)
-        _loaded[path, window] = Matcher(list(zip(*(rows[c].to_pylist() for c in ("item_id", "text")), strict=True)), window)
-    return _loaded[path, window]
+def _stored(paths: list[str], window: int) -> list[Matcher]:
+    """The matchers of stored blocks; a task's Python process holds those of the last scan only."""
+    for old in [k for k in _loaded if k[0] not in paths or k[1] != window]:
+        del _loaded[old]
+    for path in paths:
+        if (path, window) not in _loaded:
+            where, at = filesystem(path)
+            rows = pq.read_table(at, filesystem=where, columns=["item_id", "text"], partitioning=None)
+            _loaded[path, window] = Matcher(list(zip(*(rows[c].to_pylist() for c in ("item_id", "text")), strict=True)), window)
+    return [_loaded[path, window] for path in paths]
 
 
 _HITS = "array<struct<start:bigint,end:bigint>>"
 
 
-def _scan(docs: DataFrame, block: list[tuple] | str, window: int, carry: list[str] | None) -> DataFrame:
-    shared = None if isinstance(block, str) else docs.sparkSession.sparkContext.broadcast(Matcher(block, window))
+def _scan(docs: DataFrame, items: list[tuple] | None, paths: list[str], window: int, carry: list[str] | None) -> DataFrame:
+    """Hits of ``items``, which travel to the tasks, or of the blocks stored at ``paths``."""
+    shared = None if items is None else docs.sparkSession.sparkContext.broadcast(Matcher(items, window))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(data, offsets):
-        m = _stored(block, window) if shared is None else shared.value
-        n, runs, found = m.scan(data, offsets)
-        names = [sorted({m.names[i] for i in f if m.names[i] is not None}) for f in found]
-        return [n, pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], span), pa.array(names, pa.list_(pa.string()))]
+        n, runs, found = None, None, None
+        for m in _stored(paths, window) if shared is None else [shared.value]:
+            n, more, which = m.scan(data, offsets)
+            names = [{m.names[i] for i in f if m.names[i] is not None} for f in which]
+            runs = more if runs is None else [a + b for a, b in zip(runs, more, strict=True)]
+            found = names if found is None else [a | b for a, b in zip(found, names, strict=True)]
+        return [n, pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], span), pa.array([sorted(f) for f in found], pa.list_(pa.string()))]
 
     return X.map_docs(docs, [("n_words", "bigint"), ("hits", _HITS), ("items", "array<string>")], run, carry)
 
@@ -216,18 +241,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     words but are not listed; rows that repeat an item count once.
     """
     blocks = _blocks(benchmark)
-    if len(blocks) == 1:
-        out = _scan(docs, blocks[0], window, carry)
+    stored = isinstance(blocks[0], str)
+    scans = [blocks[i:i + SCAN_BLOCKS] for i in range(0, len(blocks), SCAN_BLOCKS)]
+    if not stored:
+        out = _scan(docs, blocks[0], [], window, carry)
+    elif len(scans) == 1:
+        out = _scan(docs, None, scans[0], window, carry)
     else:
         key = F.md5(F.coalesce("text", F.lit("")))
         keyed = docs.withColumn("text_key__", key)
-        parts = [_scan(keyed, b, window, ["doc_id", "text_key__"]).where(F.size("hits") > 0) for b in blocks]
+        parts = [_scan(keyed, None, some, window, ["doc_id", "text_key__"]).where(F.size("hits") > 0) for some in scans]
         hits = parts[0]
         for p in parts[1:]:
             hits = hits.union(p)
         hits = (hits.distinct().groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id__"), "text_key__")
                 .agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items")))
-        base = _scan(keyed, [], window, [*(carry or ["doc_id"]), *(["doc_id"] if carry and "doc_id" not in carry else []), "text_key__"]).drop("hits", "items")
+        base = _scan(keyed, [], [], window, [*(carry or ["doc_id"]), *(["doc_id"] if carry and "doc_id" not in carry else []), "text_key__"]).drop("hits", "items")
         base = base.withColumn("id__", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
         out = (base.join(hits, ["id__", "text_key__"], "left").drop("id__", "text_key__")
                .withColumn("hits", F.coalesce("hits", F.array().cast(_HITS))).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))))

@@ -39,8 +39,9 @@ def test_benchmark_hits_in_one_and_several_blocks(spark, monkeypatch):
     want = D.brute_decontaminate(rows, items)
     docs = spark.createDataFrame(rows, D.SCHEMA).withColumn("hits", F.lit("clash")).withColumn("n_words", F.lit(0))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("part", F.lit(1))
-    for limit in (decontaminate.BLOCK_BYTES, 500):
+    for limit, scan in ((decontaminate.BLOCK_BYTES, 4), (500, 4), (500, 100)):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "SCAN_BLOCKS", scan)
         blocks = decontaminate._blocks(bench)
         assert (len(blocks) > 3 and all(isinstance(b, str) for b in blocks)) if limit == 500 else len(blocks) == 1
         got = decontaminate.benchmark_hits(docs, bench).collect()
@@ -50,6 +51,29 @@ def test_benchmark_hits_in_one_and_several_blocks(spark, monkeypatch):
     assert sum(v[4] for v in want.values()) > 5
 
 
+def test_a_large_benchmark_takes_a_bounded_broadcast():
+    import pickle
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i:x}" for i in range(200_000)])
+    items = [(str(i), " ".join(words[rng.integers(0, len(words), 60)])) for i in range(decontaminate.BLOCK_BYTES // 390)]
+    size = sum(len(t) for _, t in items)
+    m = decontaminate.Matcher(items)
+    assert size > 0.9 * decontaminate.BLOCK_BYTES and len(pickle.dumps(m)) < 100_000_000
+    assert all(g.shift.dtype == np.uint8 and g.shift.nbytes <= 1 << decontaminate.BITS for g in m.groups)
+    text = "x y z " + " ".join(items[7][1].split()[20:40]) + " q " + " ".join(items[9][1].split()[:12])
+    n, runs, found = m.scan(*packed([text]))
+    assert (n.tolist(), runs, [[items[i][0] for i in f] for f in found]) == ([36], [[(3, 23)]], [["7"]])
+
+
+def test_shared_table_entries_lose_nothing(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BITS", 2)  # every block shares an entry with others
+    items, rows = items_and_rows()
+    m = decontaminate.Matcher([(str(i), t) for i, t in items])
+    n, runs, found = m.scan(*packed([t or "" for _, t, *_ in rows]))
+    got = {i: (sum(b - a for a, b in r), len({m.names[k] for k in f})) for (i, *_), r, f in zip(rows, runs, found, strict=True)}
+    assert got == {i: v[1:3] for i, v in D.brute_decontaminate(rows, items).items()}
+
+
 def test_language_profiles(spark):
     from pyspark.sql import functions as F
     rng = random.Random(1)
