@@ -98,7 +98,9 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def _classes(prints: DataFrame) -> DataFrame:
     """(fp, root): the component of every fingerprint."""
-    nodes = keep(prints.select("fp").distinct())
+    # Each row grows 64-fold next, so they are dealt to as many tasks as shuffles have, however few bytes they are.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = keep(prints.select("fp").distinct().repartition(tasks, "fp"))
     comp = components(links(nodes))
     return keep(nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
