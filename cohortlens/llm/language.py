@@ -7,22 +7,28 @@ the rank differences, an n-gram that the profile lacks counting as the
 profile's length. The language at the smallest distance is predicted.
 
 Profiles are counted over all training texts: each task adds up its counts,
-Spark adds up the tasks', and only the ranked heads reach the driver.
+Spark adds up the tasks', and only the ranked heads reach the driver. Of more than
+``MAX_LANGUAGES`` languages nothing does: their profiles are written to the shared folder in
+blocks, and tasks compare each slice of documents with one block after another.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm import text as X
+from cohortlens.llm.scratch import filesystem, keep, shared_path
 
 #: N-grams in a profile.
 TOP = 300
-#: Languages a model may have (profiles are broadcast).
+#: Languages whose profiles are broadcast; those of more are stored, about as many in a block.
 MAX_LANGUAGES = 2000
+#: Languages that a slice of documents is compared with at once.
+AT_ONCE = 32
 UNKNOWN = "und"
 _NON_LETTER = np.array([b < 0x80 and not (0x61 <= b <= 0x7A) for b in range(256)])
 _SALTS = 16
@@ -89,8 +95,28 @@ def _ranked(doc: np.ndarray, code: np.ndarray, n: np.ndarray, top: int) -> tuple
     return doc[ok], code[ok], rank[ok]
 
 
-def train(docs: DataFrame, label: str = "lang", top: int = TOP) -> dict[str, list[int]]:
-    """Profiles {language: n-gram codes by rank} from all rows of ``docs`` with a label and a text."""
+class StoredProfiles:
+    """Profiles of very many languages: the files of blocks of them."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+    @staticmethod
+    def read(path: str) -> dict[str, list[int]]:
+        where, at = filesystem(path)
+        t = pq.read_table(at, filesystem=where, columns=["label", "gram", "r"], partitioning=None).sort_by([("label", "ascending"), ("r", "ascending")])
+        out: dict[str, list[int]] = {}
+        for name, gram in zip(t["label"].to_pylist(), t["gram"].to_pylist(), strict=True):
+            out.setdefault(name, []).append(gram)
+        return out
+
+
+def train(docs: DataFrame, label: str = "lang", top: int = TOP) -> dict[str, list[int]] | StoredProfiles:
+    """Profiles {language: n-gram codes by rank} from all rows of ``docs`` with a label and a text, or, of more than
+    ``MAX_LANGUAGES``, where they are stored."""
     def run(batches):
         names: dict[str, int] = {}
         key, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -110,42 +136,67 @@ def train(docs: DataFrame, label: str = "lang", top: int = TOP) -> dict[str, lis
     part = counts.withColumn("salt", F.col("gram") % _SALTS)
     part = part.withColumn("r", F.row_number().over(Window.partitionBy("label", "salt").orderBy(*order))).where(F.col("r") <= top)
     best = part.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("r") <= top)
-    rows = best.select("label", "gram", "r").limit(MAX_LANGUAGES * top + 1).collect()
+    best = keep(best.select("label", "gram", "r"))
+    rows = best.limit(MAX_LANGUAGES * top + 1).collect()
     if len(rows) > MAX_LANGUAGES * top:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        n = -(-2 * best.select("label").distinct().count() // MAX_LANGUAGES)
+        path = shared_path(docs.sparkSession, "profiles")
+        best.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(n))).repartition(n, "block").write.partitionBy("block").parquet(path)
+        found = docs.sparkSession.read.parquet(path).select("block").distinct().sort("block").collect()
+        return StoredProfiles([f"{path}/block={r[0]}" for r in found])
     profiles: dict[str, list[int]] = {}
     for r in sorted(rows, key=lambda r: (r["label"], r["r"])):
         profiles.setdefault(r["label"], []).append(r["gram"])
     return profiles
 
 
-def classify(data: np.ndarray, offsets: np.ndarray, profiles: dict[str, list[int]], top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
-    """Index of each document's language among the sorted names, and its score; -1 without letters."""
-    names = sorted(profiles)
+def _distances(doc: np.ndarray, code: np.ndarray, own: np.ndarray, profiles: list[list[int]], top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents x profiles) out-of-place distances of ranked n-grams, and each document's number of them."""
+    known = np.unique(np.concatenate([np.array(p, np.int64) for p in profiles]))
+    rank = np.full((len(known) + 1, len(profiles)), -1, np.int32)
+    for j, p in enumerate(profiles):
+        rank[np.searchsorted(known, p), j] = np.arange(len(p))
+    at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+    at = np.where(known[at] == code, at, len(known))
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    distance, step, edge = np.zeros((len(first), len(profiles)), np.int64), 1 << 16, np.append(first, len(doc))
+    a = 0
+    while a < len(first):  # documents whose n-grams are about ``step``, one at least
+        b = max(a + 1, int(np.searchsorted(edge, edge[a] + step, "right")) - 1)
+        rows = slice(int(edge[a]), int(edge[b]))
+        r = rank[at[rows]]
+        out = np.where(r < 0, np.int32(top), np.abs(r - own[rows, None].astype(np.int32)))
+        distance[a:b] = np.add.reduceat(out, first[a:b] - edge[a], axis=0, dtype=np.int64)
+        a = b
+    return distance, np.diff(edge)
+
+
+def classify(data: np.ndarray, offsets: np.ndarray, blocks, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's language (``und`` without letters, or without a language to choose) and its score.
+
+    ``blocks`` gives profiles in parts, in any order: of languages at one distance the name that sorts first is chosen."""
     n = len(offsets) - 1
-    best, score = np.full(n, -1), np.zeros(n)
+    name, score = np.full(n, UNKNOWN, object), np.zeros(n)
     letters = has_letter(data, offsets)
-    if not names:
-        return best, score
-    known = np.unique(np.concatenate([np.array(profiles[x], np.int64) for x in names] + [np.zeros(0, np.int64)]))
-    rank = np.full((len(known) + 1, len(names)), -1, np.int64)
-    for j, x in enumerate(names):
-        rank[np.searchsorted(known, profiles[x]), j] = np.arange(len(profiles[x]))
     doc, code, own = _ranked(*_counts(data, offsets), top)
-    if len(doc):
-        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-        at = np.where(known[at] == code, at, len(known))
-        r = rank[at]
-        out = np.where(r < 0, top, np.abs(r - own[:, None]))
-        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        distance = np.add.reduceat(out, first, axis=0)
-        size = np.diff(np.concatenate([first, [len(doc)]]))
-        j = distance.argmin(axis=1)
-        best[doc[first]] = j
-        score[doc[first]] = 1 - distance[np.arange(len(j)), j] / (size * top)
-    best[~letters], score[~letters] = -1, 0
-    best[letters & (best < 0)] = 0  # letters that are no bytes of words cannot occur; stay total
-    return best, score
+    if not len(doc):
+        return name, score
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    least, best = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), "", object)
+    size = np.diff(np.append(first, len(doc)))
+    for profiles in blocks:
+        names = sorted(profiles)
+        for a in range(0, len(names), AT_ONCE):
+            some = names[a:a + AT_ONCE]
+            distance, _ = _distances(doc, code, own, [profiles[x] for x in some], top)
+            j = distance.argmin(axis=1)
+            d, x = distance[np.arange(len(j)), j], np.array(some, object)[j]
+            better = (d < least) | (d == least) & (x < best)
+            least, best = np.where(better, d, least), np.where(better, x, best)
+    chosen = letters[doc[first]] & (least < np.iinfo(np.int64).max)
+    at = doc[first][chosen]
+    name[at], score[at] = best[chosen], 1 - least[chosen] / (size[chosen] * top)
+    return name, score
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -158,7 +209,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return yes
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list[int]] | StoredProfiles, top: int = TOP, carry: list[str] | None = None) -> DataFrame:
     """Predict each row's language from its whole text.
 
     One row per input row: the ``carry`` columns (doc_id), lang_pred and score
@@ -166,11 +217,12 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, ca
     text is null or has no letter, or nothing was learnt. Ties go to the name
     that sorts first.
     """
-    names = np.array([*sorted(profiles), UNKNOWN], object)
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    stored = profiles.paths if isinstance(profiles, StoredProfiles) else None
+    shared = None if stored else docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(data, offsets):
-        best, score = classify(data, offsets, shared.value, top)
-        return [pa.array(names[best].tolist(), pa.string()), score]
+        blocks = (StoredProfiles.read(p) for p in stored) if stored else [shared.value]
+        names, score = classify(data, offsets, blocks, top)
+        return [pa.array(names.tolist(), pa.string()), score]
 
     return X.map_docs(docs, [("lang_pred", "string"), ("score", "double")], run, carry)

@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pytest
 
 from cohortlens.llm import decontaminate, language
 from cohortlens.llm import text as X
@@ -110,6 +112,55 @@ def test_profile_counts_and_ranks_match_brute_force():
         assert c[d == i].tolist() == [g for g, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:10]]
 
 
+def brute_grams(t):
+    from collections import Counter
+    out = Counter()
+    for w in re.findall(rb"[a-z\x80-\xff]+", D.lower(t or "").encode()):
+        p = b" " + w + b" "
+        out.update(p[j:j + k] for k in (1, 2, 3) for j in range(len(p) - k + 1) if p[j:j + k] != b" ")
+    return out
+
+
+def brute_ranks(c, top):
+    return {g: r for r, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], int.from_bytes(x[0], "big")))[:top])}
+
+
+@pytest.mark.parametrize(("limit", "at_once"), [(2000, 32), (2000, 2), (4, 1)])
+def test_training_distance_choice_and_score_match_brute_force(spark, monkeypatch, limit, at_once):
+    from collections import Counter
+    monkeypatch.setattr(language, "MAX_LANGUAGES", limit)
+    monkeypatch.setattr(language, "AT_ONCE", at_once)
+    rng, top = random.Random(9), 12
+    names = [f"l{i}" for i in range(9)] + ["twin a", "twin b"]  # the twins have equal profiles: the first wins
+    voc = {x: [D.prose(random.Random(x[:4]), 1, 40) + rng.choice("abcé") for _ in range(6)] if "twin" not in x else ["qq", "qx", "qé"] for x in names}
+    rows = []
+    for i in range(150):
+        x = names[i % 9] if i < 130 else names[9 + i % 2]
+        words = voc[x] if i >= 130 else [rng.choice(voc[x]) for _ in range(rng.randrange(1, 30))]
+        rows.append((i % 140, rng.choice([" ", "-", " 7 "]).join(words), x if i % 10 else None))  # some ids repeat
+    rows += [(900, None, "l0"), (901, "", "l1"), (902, "12 ?", "l1"), (903, "zz", None), (903, "zz", None), (904, " ".join(voc["l3"]) * 400, None), (None, "qq", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    total = {}
+    for _, t, x in rows:
+        if x is not None and t is not None:
+            total.setdefault(x, Counter()).update(brute_grams(t))
+    profiles = {x: brute_ranks(c, top) for x, c in total.items() if c}
+    model = language.train(docs, top=top)
+    assert isinstance(model, language.StoredProfiles) == (limit < 11)
+    got = language.identify(docs, model, top=top).collect()
+    want = []
+    for i, t, _ in rows:
+        own = brute_ranks(brute_grams(t), top)
+        if not any(c.isalpha() for c in t or ""):
+            want.append((str(i), "und", 0.0))
+            continue
+        far = {x: sum(abs(r - p[g]) if g in p else top for g, r in own.items()) for x, p in profiles.items()}
+        x = min(far, key=lambda x: (far[x], x))
+        want.append((str(i), x, round(1 - far[x] / (len(own) * top), 9)))
+    assert sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 9)) for r in got) == sorted(want)
+    assert "twin a" in {w[1] for w in want} and "twin b" not in {w[1] for w in want}
+
+
 def test_words_split_at_documents():
     s, e, first = X.words(*packed(["a b", "c", "", " d"]), X.SPACE)
     assert (s.tolist(), e.tolist(), first.tolist()) == ([0, 2, 3, 5], [1, 3, 4, 6], [0, 2, 3, 3, 4])
