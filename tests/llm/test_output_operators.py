@@ -311,6 +311,51 @@ def test_embedding_links_match_all_pairs(spark, monkeypatch, tile):
     assert embeddings.embedding_near_dedup(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("rotated", "leading", "partitions"), [(2048, 24, 40), (8, 5, 3), (8, 24, 1)])
+def test_embedding_axes_of_long_vectors_and_many_partitions(spark, monkeypatch, rotated, leading, partitions):
+    monkeypatch.setattr(embeddings, "ROTATED", rotated)
+    monkeypatch.setattr(embeddings, "LEADING", leading)
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "PARTS", 3)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(9, 30)) * np.linspace(3, .1, 30)
+    x = base[rng.integers(0, 9, 240)] + rng.normal(size=(240, 30)) * rng.choice([.02, .3], (240, 1))
+    rows = [(i if i % 50 else None, v.tolist(), 1) for i, v in enumerate(x)] + [(7, x[3].tolist(), 1)] * 2
+    u = np.array([v for _, v, _ in rows])
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= .93
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(partitions)
+    got = embeddings.embedding_near_dedup(df).collect()
+    comp = D.classes(range(len(rows)), lambda a, b: bool(near[a, b]))
+    least = {}
+    for k, c in comp.items():
+        if rows[k][0] is not None:
+            least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    want = [(str(rows[k][0]), int(near[k].sum()) - 1, str(least.get(c))) for k, c in comp.items()]
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == sorted(want)
+
+
+def test_pairs_of_tiles_grow_with_the_rows_on_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 32)
+    rng, seen = np.random.default_rng(9), {}
+    for n in (600, 2400):
+        centres = rng.normal(size=(n // 30, 12))
+        x = centres[np.arange(n) % (n // 30)] + rng.normal(size=(n, 12)) * .02
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        axes = np.linalg.eigh(u.T @ u)[1][:, ::-1]
+        p = u @ axes
+        rows = [(i, 1, 12, v[:embeddings.BOX].tolist(), float(np.sqrt(max(0, 1 - (v[:embeddings.BOX] ** 2).sum())))) for i, v in enumerate(p)]
+        placed = spark.createDataFrame(rows, "node long, label int, dim int, box array<double>, rest double")
+        tiled, pairs = embeddings._tiles(placed, .93)
+        tile = {r["node"]: r["tile"] for r in tiled.collect()}
+        found = {(r["x"], r["y"]) for r in pairs.collect()}
+        seen[n] = len(found)
+        assert max(np.bincount(np.unique(list(tile.values()), return_inverse=True)[1])) <= 32
+        i, j = np.nonzero(u @ u.T >= .93)
+        assert all((tile[a], tile[b]) in found or (tile[b], tile[a]) in found for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    assert seen[2400] < 8 * seen[600] and seen[2400] < 2400 / 16 * 2400 / 16 / 4
+
+
 def test_pruned_comparison_is_exact():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(80, 24))
