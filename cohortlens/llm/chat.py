@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.scratch import keep
+from cohortlens.llm.scratch import keep, stored
 
 # The strings that no text may bring into the output.
 CONTROL = ["<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "[TURN ", "[/TURN]"]
@@ -85,13 +85,15 @@ def format_paths(chosen: DataFrame, messages: DataFrame, loss_role: str = LOSS_R
     rows = chosen.join(messages.select("node", "role", "text"), "node")
     body = escape(F.col("text"))
     head = F.concat(F.lit("[TURN "), escape_role(F.col("role")), F.lit("]\n"))
-    turn = F.struct("at", F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"), F.length(head).alias("head"), F.length(body).alias("size"),
-                    F.concat(head, body, F.lit("[/TURN]\n")).alias("whole"))
+    rows = rows.select("tree", "path", "at", F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"), F.length(head).alias("head"), F.length(body).alias("size"),
+                       F.concat(head, body, F.lit("[/TURN]\n")).alias("whole"))
+    # Where a turn starts: behind "<s>" and the turns before it, by one running sum.
+    before = Window.partitionBy("tree", "path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.coalesce(F.sum(F.length("whole")).over(before), F.lit(0)) + 3 + F.col("head")).cast("int")
+    turn = F.struct("at", "loss", start.alias("start"), F.col("size").alias("length"), "whole")
     got = rows.select("tree", "path", turn.alias("turn")).groupBy("tree", "path").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    start = F.aggregate("turns", F.struct(F.lit(3).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss")),
-                        lambda a, t: F.struct((a["at"] + F.length(t["whole"])).alias("at"), F.when(
-                            t["loss"], F.array_append(a["loss"], F.struct((a["at"] + t["head"]).alias("start"), t["size"].alias("length")))).otherwise(a["loss"]).alias("loss")))
-    return got.select("tree", "path", F.concat(F.lit("<s>"), F.array_join(F.transform("turns", lambda t: t["whole"]), ""), F.lit("</s>")).alias("formatted"), start["loss"].alias("loss"))
+    loss = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+    return got.select("tree", "path", F.concat(F.lit("<s>"), F.array_join(F.transform("turns", lambda t: t["whole"]), ""), F.lit("</s>")).alias("formatted"), loss.alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -111,7 +113,7 @@ def conversation_messages(rows: DataFrame) -> DataFrame:
     conv_id or turn sorts first, and null conversations are one.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    n = F.row_number().over(order)
-    rows = rows.select("conv_id", "role", "text", n.alias("n"))
-    node = lambda k: F.when(k >= 1, F.struct(F.coalesce(F.col("conv_id").cast("bigint"), F.lit(-(1 << 63))).alias("conv"), F.col("conv_id").isNull().alias("none"), k.alias("n")))
-    return rows.select(F.col("conv_id").alias("tree"), node(F.col("n")).alias("node"), node(F.col("n") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    # Numbered first and written, so that a message's number stands and what refers to it is one long.
+    named = stored(rows.select("conv_id", "turn", "role", "text").withColumn("node", F.monotonically_increasing_id())
+                   .select(F.col("conv_id").alias("tree"), "node", F.lag("node").over(order).alias("parent"), "role", "text"), "messages")
+    return named.select("tree", "node", "parent", F.lit(0.0).alias("score"), "role", "text")

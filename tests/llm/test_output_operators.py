@@ -283,6 +283,16 @@ def test_branches_are_ranked_by_score(spark):
         chat.paths(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "node long, parent long")).count()
 
 
+def test_a_conversation_of_very_many_turns(spark):
+    n = 5_000
+    rows = spark.range(n).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                 F.concat(F.lit("é~"), F.col("id").cast("string")).alias("text"))
+    m = chat.conversation_messages(rows)
+    r = chat.format_paths(chat.chosen_paths(m), m).select("formatted", "loss", chat.read_turns(F.col("formatted")).alias("turns")).collect()
+    assert len(r) == 1 and [t["text"] for t in r[0]["turns"]] == [f"é~{i}" for i in range(n)]
+    assert [r[0]["formatted"][x["start"]:x["start"] + x["length"]] for x in r[0]["loss"]] == [f"é~0{i}" for i in range(1, n, 2)]
+
+
 @pytest.mark.parametrize("tile", [512, 7])
 def test_embedding_links_match_all_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(embeddings, "TILE", tile)
