@@ -218,6 +218,8 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        comma = self.tokenizer.encode("a,b", add_special_tokens=False).ids
+        self.sign = comma[1] if len(comma) == 3 else None
         self.forget()
 
     def forget(self) -> None:
@@ -225,19 +227,30 @@ class ChunkEncoder:
         self.flat, self.starts, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
 
     def _learn(self, new: list[bytes]) -> None:
-        for a in range(0, len(new), 20_000):
-            some = new[a:a + 20_000]
+        # Words of letters are encoded many in a text, parted by a sign that is one token of its own and in no such word.
+        words = [c for c in new if c.isalpha()] if self.sign is not None else []
+        rest = [c for c in new if not c.isalpha()] if words else new
+        if words:
+            texts = [(b",".join(words[a:a + 512]) + b",").decode() for a in range(0, len(words), 512)]
+            flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.encode(texts, add_special_tokens=False)])
+            end = np.flatnonzero(flat == self.sign)
+            self._remember(words, np.delete(flat, end), np.diff(end, prepend=-1) - 1)
+        for a in range(0, len(rest), 20_000):
+            some = rest[a:a + 20_000]
             got = [x.ids for x in self.encode([c.decode() for c in some], add_special_tokens=False)]
             lens = np.fromiter(map(len, got), np.int64, len(got))
-            need, known = self.used + int(lens.sum()), len(self.at)
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
-            if known + len(some) >= len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros(max(len(some), len(self.starts)), np.int64)])
-            self.flat[self.used:need] = np.fromiter(chain.from_iterable(got), np.uint32, need - self.used)
-            self.starts[known + 1:known + len(some) + 1] = self.used + np.cumsum(lens)
-            self.at.update(zip(some, range(known, known + len(some)), strict=True))
-            self.used = need
+            self._remember(some, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
+
+    def _remember(self, names: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
+        need, known = self.used + len(ids), len(self.at)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
+        if known + len(names) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(names), len(self.starts)), np.int64)])
+        self.flat[self.used:need] = ids
+        self.starts[known + 1:known + len(names) + 1] = self.used + np.cumsum(lens)
+        self.at.update(zip(names, range(known, known + len(names)), strict=True))
+        self.used = need
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, concatenated, and each document's number of them."""
