@@ -82,7 +82,7 @@ def _added(nodes: DataFrame, sizes: dict[int, int], matrix) -> dict[int, np.ndar
         if sums:
             yield emit(TaskContext.get().partitionId(), sums)
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(key, table):
         d = key[1].as_py()
         i, rows = table.column("i").to_numpy(), _matrix(table.column("row").combine_chunks())
         out = np.zeros((d, rows.shape[1]))

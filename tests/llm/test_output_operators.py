@@ -345,6 +345,18 @@ def test_embedding_axes_of_long_vectors_and_many_partitions(spark, monkeypatch,
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == sorted(want)
 
 
+def test_moments_are_added_over_levels_of_partitions(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(90, 5)), rng.normal(size=(40, 3))
+    rows = [(5, v.tolist()) for v in x] + [(3, v.tolist()) for v in y] + [(2, [1.0, 0.0])]
+    nodes = spark.createDataFrame(rows, "dim int, embedding array<double>").repartition(37)
+    got = embeddings._added(nodes, {5: 5, 3: 3}, lambda d, u: u.T @ u)
+    for d, v in ((5, x), (3, y)):
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        assert np.allclose(got[d], u.T @ u)
+    assert embeddings._added(nodes.limit(0), {5: 5}, lambda d, u: u.T @ u)[5].any() == False  # noqa: E712
+
+
 def test_pairs_of_tiles_grow_with_the_rows_on_clustered_vectors(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 32)
     rng, seen = np.random.default_rng(9), {}
