@@ -36,7 +36,7 @@ def select_prefix(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataF
 
 
 # B3
-def numeric_features(df: DataFrame, exclude: Iterable[str] = (), exclude_suffix: str | None = "_Label",
+def numeric_features(df: DataFrame, exclude: Iterable[str] = (), exclude_suffix: str | None = None,
                      include_bool: bool = False) -> list[str]:
     """Numeric columns minus a leakage list and a suffix (schema only, no job)."""
     drop = set(exclude)
@@ -136,15 +136,6 @@ def classify_by_prefix(col: str | Column, rules: Sequence[tuple[str, str]], defa
     return F.lit(default) if e is None else e.otherwise(F.lit(default))
 
 
-def contains_any(col: str | Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
-    """First rule whose token occurs anywhere in the value wins."""
-    x = _c(col)
-    e = None
-    for token, label in rules:
-        cond = x.contains(token)
-        e = F.when(cond, F.lit(label)) if e is None else e.when(cond, F.lit(label))
-    return F.lit(default) if e is None else e.otherwise(F.lit(default))
-
 
 # B11
 def match_regex(col: str | Column, pattern: str) -> Column:
@@ -185,7 +176,7 @@ def truncate(col: str | Column, n: int) -> Column:
     return F.substring(_c(col), 1, n)
 
 
-def money_label(col: str | Column, currency: str = "AED", digits: int = 0) -> Column:
+def money_label(col: str | Column, currency: str, digits: int = 0) -> Column:
     return F.format_string(f"{currency} %.{digits}f", _c(col))
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -328,7 +328,3 @@ def segment_profile_normalised(df: DataFrame, name_col: str, cols: Sequence[str]
     """Per-segment means scaled to 0-1 across segments."""
     means = df.groupBy(name_col).agg(*[F.avg(c).alias(c) for c in cols])
     return min_max_scale(means, cols, eps).orderBy(name_col)
-
-
-def assemble_vector(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)

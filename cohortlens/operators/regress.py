@@ -11,21 +11,16 @@ from collections.abc import Callable, Mapping, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.classify import feature_importance
+from cohortlens.functions.columns import keep_existing
+from cohortlens.operators.classify import _pipeline, feature_importance
 from cohortlens.operators.stages import LinearPredictor
 
 
-def _pipeline(features: Sequence[str], est) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features",
-                                            handleInvalid="error"), est])
-
-
 # H1
 #: Triangles that one task of the reduction takes together.
 _FAN_IN = 16
@@ -171,7 +166,7 @@ def fit_targets(train: DataFrame, test: DataFrame, features: Sequence[str], targ
     from pyspark.sql import Window
     from cohortlens.operators.cluster import run_parallel
     models = models or DEFAULT_MODELS
-    present = [t for t in targets if t in train.columns]
+    present = keep_existing(train, targets)
     grid = [(t, name) for t in present for name in models]
 
     def fit_one(t: str, name: str) -> PipelineModel:

@@ -59,6 +59,15 @@ def _clf_split(spark, root):
     return fe.stratified_split(p, "id", "target_flag", 0.2, SEED), feats
 
 
+def _ready(df, *used):
+    """A training set, sized and cached once; what was cached to make it is released."""
+    out = fe.size_partitions(df).cache()
+    out.count()
+    for u in used:
+        u.unpersist()
+    return out
+
+
 def _scored_sql(score: str, cut: str, where: str = "") -> str:
     return (f"SELECT id, target_flag AS label, round(CAST({score} AS DOUBLE) / 30.0, 6) AS score, "
             f"CAST(round(CAST({score} AS DOUBLE) / 30.0, 6) >= {cut} AS INTEGER) AS prediction "
@@ -282,8 +291,7 @@ def q_compare_models(spark, root):
 def _fitted_classifiers(spark, root):
     def build():
         p, feats = _clf_frame(spark, root)
-        sp = fe.stratified_split(p.cache(), "id", "target_flag", 0.2, SEED)
-        sp = fe.size_partitions(sp.cache()).cache()
+        sp = _ready(fe.stratified_split(p.cache(), "id", "target_flag", 0.2, SEED), p)
         train = sp.where(~F.col("is_test"))
         fits = {
             "Decision Tree": lambda: clf.fit_decision_tree(train, feats, "target_flag", seed=SEED),
@@ -422,8 +430,7 @@ def _reg_frames(spark, root):
         sp = fe.random_split(p, "id", 0.2, SEED)
         # Statistics from the training rows only (the reference fitted them on all rows).
         stats = fe.fit_zscore(sp.where(~F.col("is_test")), feats)
-        z = fe.size_partitions(fe.apply_zscore(sp, stats).cache()).cache()
-        return z, feats
+        return _ready(fe.apply_zscore(sp, stats), p), feats
     return _memo(("reg", root), build)
 
 
@@ -510,7 +517,7 @@ CLUSTER_COLS = ["balance", "n_orders", "avg_price", "qty", "avg_discount", "n_pa
 def _cluster_frame(spark, root):
     def build():
         p = fill_nulls(profile(spark, root), CLUSTER_COLS, 0).cache()
-        return fe.size_partitions(fe.zscore(p, CLUSTER_COLS).select("id", *CLUSTER_COLS).cache()).cache()
+        return _ready(fe.zscore(p, CLUSTER_COLS).select("id", *CLUSTER_COLS), p)
     return _memo(("clu", root), build)
 
 

@@ -13,7 +13,7 @@ from cohortlens.plans.oracle import with_basket, with_profile
 from cohortlens.plans.registry import query, r6
 from cohortlens.session import scratch_path
 from cohortlens.sources import io
-from cohortlens.sources.views import BASKET_ITEMS, basket, profile
+from cohortlens.sources.views import BASKET_ITEMS, basket, profile, register_views
 
 # Fixed labels used by the example queries.
 REGION_LABELS = {1: "R1", 2: "R2", 3: "R3", 4: "R4"}  # code 5 deliberately unmapped
@@ -45,6 +45,18 @@ def q_resolve_source(spark, root):
     return io.resolve_source(spark, "nation", [root.rstrip("/") + "/__absent__", root])
 
 
+@query("resolve_override", sql="SELECT source, n_rows, total FROM (SELECT 'frame' AS source, count(*) AS n_rows, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation WHERE n_regionkey = 1 "
+       "UNION ALL SELECT 'view', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation WHERE n_regionkey <> 1) t")
+def q_resolve_override(spark, root):
+    """A caller's own table, as a frame or as a registered view, beats the file."""
+    register_views(spark, root)
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW own_nation AS SELECT * FROM nation WHERE n_regionkey <> 1")
+    frame = io.resolve_source(spark, "nation", [root], {"nation": spark.table("nation").where("n_regionkey = 1")})
+    view = io.resolve_source(spark, "own_nation", [root], {"own_nation": "view"})
+    parts = [df.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n_rows"), F.sum("n_nationkey").cast("long").alias("total")) for name, df in (("frame", frame), ("view", view))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("table_shape", sql="\nUNION ALL ".join(
     f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, {n} AS n_cols FROM {t}"
     for t, n in _TABLE_COLS.items()))
@@ -158,13 +170,16 @@ def q_set_to_string(spark, root):
 @query("format_label", sql=(
     "SELECT o_orderkey, regexp_replace(o_orderpriority, '^(1-|2-|3-)', '') AS priority, "
     "substring(o_orderstatus || '/' || o_orderpriority, 1, 5) AS short, "
-    "concat_ws(' → ', substring(o_orderpriority, 1, 4), o_orderstatus) AS arrow FROM orders"))
+    "concat_ws(' → ', substring(o_orderpriority, 1, 4), o_orderstatus) AS arrow, printf('USD %.2f', o_totalprice) AS price, "
+    "printf('%.1f%%', 100.0 * (o_orderkey % 7) / 7) AS share FROM orders"))
 def q_format_label(spark, root):
     o = io.read_table(spark, root, "orders")
     return o.select("o_orderkey",
                     fx.strip_prefixes("o_orderpriority", ["1-", "2-", "3-"]).alias("priority"),
                     fx.truncate(F.concat_ws("/", "o_orderstatus", "o_orderpriority"), 5).alias("short"),
-                    fx.arrow_label("o_orderpriority", "o_orderstatus", left_len=4).alias("arrow"))
+                    fx.arrow_label("o_orderpriority", "o_orderstatus", left_len=4).alias("arrow"),
+                    fx.money_label("o_totalprice", "USD", 2).alias("price"),
+                    fx.pct_label(fx.percent_of(F.col("o_orderkey") % 7, F.lit(7))).alias("share"))
 
 
 @query("percent_of", sql=with_profile(
