@@ -47,7 +47,7 @@ def suffix_dedup(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     rows that repeat a document count as documents of their own.
     """
     docs = identified(docs)
-    runs = repeated_windows(docs, lambda data, offsets: (data, offsets), np.uint8, WINDOW, _LEVELS, repeated_strings, SHARD, every=True)
+    runs = repeated_windows(docs, lambda data, offsets: (data, offsets), np.uint8, WINDOW, _LEVELS, repeated_strings, SHARD, every=True, held=True)
 
     def fn(data, offsets, first, cover, _):
         keep = np.flatnonzero(~cover)
