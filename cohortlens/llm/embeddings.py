@@ -30,7 +30,9 @@ from cohortlens.llm.scratch import keep, stored
 
 THRESHOLD = 0.93
 #: Vectors in a tile.
-TILE = 512
+TILE = 2048
+#: Vectors of a tile compared with another tile at once.
+LINES = 512
 #: Axes added between two bounds.
 STEP = 8
 #: Leading axes in a tile's box.
@@ -134,24 +136,29 @@ def close_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray | None, threshold
     # Norms of what follows an axis: of the coordinates behind it, and of what the axes leave out.
     rest = lambda m: np.sqrt(np.maximum(1 - np.concatenate([np.zeros((len(m), 1)), np.cumsum(m * m, axis=1)], axis=1), 0) + _SLACK ** 2)
     rp, rq, d = rest(p), rest(q), p.shape[1]
-    s = min(STEP, d)
-    dot = p[:, :s] @ q[:, :s].T
-    suffix = lambda r, k: r[:, k]
-    alive = dot + suffix(rp, s)[:, None] * suffix(rq, s)[None, :] >= threshold - _SLACK
-    if same:
-        alive &= np.tri(len(p), len(q), -1, dtype=bool).T
-    i, j = np.nonzero(alive)
-    dot = dot[i, j]
-    while s < d and len(i):
-        e = min(s + STEP, d)
-        dot = dot + np.einsum("ij,ij->i", p[i, s:e], q[j, s:e])
-        ok = dot + suffix(rp, e)[i] * suffix(rq, e)[j] >= threshold - _SLACK
-        i, j, dot, s = i[ok], j[ok], dot[ok], e
-    cos = (x[i] * y[j]).sum(axis=1) / (np.sqrt((x[i] * x[i]).sum(axis=1)) * np.sqrt((y[j] * y[j]).sum(axis=1)))
-    bad = ~np.isfinite(cos)
-    cos[bad] = (a[i[bad]] * b[j[bad]]).sum(axis=1)
-    ok = cos >= threshold
-    return i[ok], j[ok]
+    first = min(STEP, d)
+    found = []
+    for at in range(0, len(p), LINES):
+        some = slice(at, at + LINES)
+        dot = p[some, :first] @ q[:, :first].T
+        alive = dot + rp[some, first][:, None] * rq[:, first][None, :] >= threshold - _SLACK
+        if same:
+            alive &= np.arange(len(q))[None, :] > np.arange(at, at + len(dot))[:, None]
+        i, j = np.nonzero(alive)
+        dot, i, s = dot[i, j], i + at, first
+        while s < d and len(i):
+            e = min(s + STEP, d)
+            dot = dot + np.einsum("ij,ij->i", p[i, s:e], q[j, s:e])
+            ok = dot + rp[i, e] * rq[j, e] >= threshold - _SLACK
+            i, j, dot, s = i[ok], j[ok], dot[ok], e
+        for k in range(0, len(i), 1 << 16):  # the vectors as given, so many pairs at a time
+            u, v = i[k:k + (1 << 16)], j[k:k + (1 << 16)]
+            cos = (x[u] * y[v]).sum(axis=1) / (np.sqrt((x[u] * x[u]).sum(axis=1)) * np.sqrt((y[v] * y[v]).sum(axis=1)))
+            bad = ~np.isfinite(cos)
+            cos[bad] = (a[u[bad]] * b[v[bad]]).sum(axis=1)
+            found.append((u[cos >= threshold], v[cos >= threshold]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *[f[k] for f in found]]) for k in range(2))
 
 
 def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

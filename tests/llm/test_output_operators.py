@@ -378,7 +378,9 @@ def test_pairs_of_tiles_grow_with_the_rows_on_clustered_vectors(spark, monkeypat
     assert seen[2400] < 8 * seen[600] and seen[2400] < 2400 / 16 * 2400 / 16 / 4
 
 
-def test_pruned_comparison_is_exact():
+@pytest.mark.parametrize("lines", [512, 7])
+def test_pruned_comparison_is_exact(monkeypatch, lines):
+    monkeypatch.setattr(embeddings, "LINES", lines)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(80, 24))
     x[40:] = x[:40] + rng.normal(size=(40, 24)) * .25
