@@ -115,7 +115,7 @@ def merkle_manifest(leaves: DataFrame, group: str, order: list[str], carry: list
     first. A group of one leaf has that leaf as its subroot. An empty table has no root and no row.
     """
     slim = leaves.select(F.col(group).alias("group__"), F.struct(*order).alias("order__"), F.monotonically_increasing_id().alias("row__"),
-                         F.col("leaf").alias("hash__"), F.struct(F.col("leaf").alias("hash"), *carry).alias("node"))
+                         F.col("leaf").alias("hash__"), F.struct(F.col("leaf").alias("hash"), *[F.col(f"`{c}`").alias(f"v{i}__") for i, c in enumerate(carry)]).alias("node"))
     placed, groups = _placed(stored(slim, "leaves"), "group__", ["order__", "hash__", "row__"])
     levels, subroots = _climb(placed.select("tree", "pos", "size", "node"), fanout)
     subroots = subroots.join(groups.select("tree", "trees"), "tree")
@@ -124,7 +124,7 @@ def merkle_manifest(leaves: DataFrame, group: str, order: list[str], carry: list
     tops = _descend(above, root.select("tree", F.col("hash").alias("root"), none.alias("path")), ["root"], fanout)
     tops = stored(tops.select(F.col("pos").alias("tree"), "path", "root", F.col("node.hash").alias("subroot")), "subroots")
     found = _descend(levels, tops, ["subroot", "root"], fanout)
-    return found.select(*[F.col(f"node.{c}").alias(c) for c in carry], F.col("node.hash").alias("leaf"), "subroot", "root", "path")
+    return found.select(*[F.col(f"node.v{i}__").alias(c) for i, c in enumerate(carry)], F.col("node.hash").alias("leaf"), "subroot", "root", "path")
 
 
 def proof(path: Column) -> Column:

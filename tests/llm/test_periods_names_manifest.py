@@ -184,7 +184,7 @@ def test_manifest_matches_brute_force(spark, fanout):
     names = [f.name for f in D_FIELDS(spark)]
     rows = [dict(zip(names, r, strict=True)) for r in rows]
     leaf = manifest.record_hash(*[F.col(c) for c in ("doc_id", "source", "text")])
-    got = manifest.merkle_manifest(docs.withColumn("leaf", leaf), "source", ["doc_id"], ["doc_id", "key"], fanout).withColumn("folded", manifest.folded(F.col("leaf"), F.col("path"))).collect()
+    got = manifest.merkle_manifest(docs.withColumn("leaf", leaf), "source", ["doc_id"], ["doc_id", "hash"], fanout).withColumn("folded", manifest.folded(F.col("leaf"), F.col("path"))).collect()
     sources = sorted({r["source"] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
     held, subs = [], []
     for s in sources:
@@ -196,7 +196,7 @@ def test_manifest_matches_brute_force(spark, fanout):
     root, above = tree(subs, fanout)
     want = {i: (h, subs[k], root, [*p, *above[k]]) for k, own in enumerate(held) for i, h, p in own}
     assert {r["doc_id"]: (r["leaf"], r["subroot"], r["root"], [tuple(x) for x in r["path"]]) for r in got} == want
-    assert {r["folded"] for r in got} == {root} and {r["key"] for r in got} == {"clash"}
+    assert {r["folded"] for r in got} == {root} and {r["hash"] for r in got} == {"clash"}
 
 
 def D_FIELDS(spark):
