@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import text as X
-from cohortlens.llm.scratch import keep, stored
+from cohortlens.llm.scratch import keep
 
 #: Different pieces that one anchor may send to a shard.
 HOT = 100
@@ -216,12 +216,14 @@ def repeated_windows(docs: DataFrame, tokens: Tokens, dtype, window: int, levels
     """
     dtype = np.dtype(dtype)
     occ, out = _occurrences(docs, tokens, window, levels[0]), None
-    occ = stored(occ, "pieces") if held else occ
+    # Tables that a hot anchor's rows are joined from are kept in the tasks' own partitions: packed into few files, they would
+    # leave adaptive execution few map outputs to split them by.
+    occ = keep(occ) if held else occ
     for level, k in enumerate(levels):
         inner = level > 0
         # Kept, as adaptive execution splits a hot anchor only where both sides of the join are plain shuffles.
         shared = keep(occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-        occ = stored(occ.join(shared, "anchor"), "occurrences")
+        occ = keep(occ.join(shared, "anchor"))
         place = F.struct(*_PLACE, *(["tokens"] if inner else []))
         classes = keep(occ.groupBy("anchor", "piece").agg(F.min(place).alias("f"), F.count("*").alias("n")))
         several = keep(classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"))
@@ -229,13 +231,13 @@ def repeated_windows(docs: DataFrame, tokens: Tokens, dtype, window: int, levels
         copies = occ.select(*_PLACE, "anchor", "piece").join(classes.where("n > 1").select("anchor", "piece", *[F.col(f"f.{c}").alias(f"f_{c}") for c in _PLACE]), ["anchor", "piece"])
         if not every:
             copies = copies.where("d <> f_d or h <> f_h or at <> f_at")
-        table = stored(first if inner else _extract(docs, first, tokens, window), "class-texts")
+        table = keep(first if inner else _extract(docs, first, tokens, window))
         found = copies.select(*_PLACE).union(_indexed(table.where(F.col("c") <= HOT), dtype, window, size, repeated))
         out = found if out is None else out.union(found)
         hot = table.where(F.col("c") > HOT)
         if level + 1 == len(levels) or not hot.limit(1).count():
             return out
-        occ = stored(_cut(hot, dtype, window, levels[level + 1]), "cut-pieces")
+        occ = keep(_cut(hot, dtype, window, levels[level + 1]))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame, fields: list[tuple[str, str]], fn, window: int, tokens_of, carry: list[str]) -> DataFrame:
