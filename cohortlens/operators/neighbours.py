@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.cluster import _seed_centres
 from cohortlens.operators.features import to_array
-from cohortlens.session import scratch_path
+from cohortlens.session import written as _written
 
 _BLOCK_ROWS = 20_000
 #: Most cells, which bounds the table of pivots that tasks get.
@@ -47,12 +47,6 @@ def _points(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
     return values.reshape(len(x), -1)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _rows(df: DataFrame, features: str | Sequence[str], key: str, keep: Sequence[str] = ()) -> DataFrame:
     """(n, id, x, kept columns): written once, so that the row numbers stand."""
     x = to_array(df, features)
