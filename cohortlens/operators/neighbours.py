@@ -91,7 +91,8 @@ def _at(values: Sequence, cell: str, kind: str) -> Column:
 
 
 def _compare(train: DataFrame, visits: DataFrame, n_train: Sequence[int], k: int, block_rows: int) -> DataFrame:
-    """The k best of every (visit, block of its cell): q, test_id, n, train_id, dist and pairs, which one row of each block has.
+    """The k best of every (visit, block of its cell) within the visit's reach: q, test_id, n, train_id, dist and pairs, which one row of each block has
+    (a row of nulls where nothing was in reach).
 
     ``train`` has n, id, x, cell, r; ``visits`` q, id, x, cell, r (from the cell's pivot) and reach."""
     n_visits = [0] * len(n_train)
@@ -113,10 +114,11 @@ def _compare(train: DataFrame, visits: DataFrame, n_train: Sequence[int], k: int
         a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
         names = ["q", "test_id", "n", "train_id", "dist", "pairs"]
         # Equal distances go by id, a missing one first, then by row.
-        a = a.take(pc.sort_indices(a, sort_keys=[("train_id", "ascending"), ("n", "ascending")], null_placement="at_start"))
-        b = b.take(pc.sort_indices(b, sort_keys=[("r", "ascending")]))
-        X, ra, rb, reach = _points(a, "x"), a.column("r").to_numpy(), b.column("r").to_numpy(), b.column("reach").to_numpy()
-        Q = _points(b, "x")
+        at, bt = pc.sort_indices(a, sort_keys=[("train_id", "ascending"), ("n", "ascending")], null_placement="at_start"), pc.sort_indices(b, sort_keys=[("r", "ascending")])
+        X, Q = _points(a, "x")[at.to_numpy()], _points(b, "x")[bt.to_numpy()]
+        # The points are not carried along: a found row takes its ids only.
+        a, b = a.select(["n", "train_id", "r"]).take(at), b.select(["n", "test_id", "r", "reach"]).take(bt)
+        ra, rb, reach = a.column("r").to_numpy(), b.column("r").to_numpy(), b.column("reach").to_numpy()
         centre = X.mean(axis=0) if len(X) else 0.0
         C = X - centre
         xx = (C * C).sum(axis=1)
@@ -135,19 +137,30 @@ def _compare(train: DataFrame, visits: DataFrame, n_train: Sequence[int], k: int
             approx = xx[some][None, :] - 2.0 * (c @ C[some].T) + qq[:, None]
             # The expansion is off by a few rounding steps of its largest term; every row within that bound of the k-th distance is a candidate.
             slack = 1e-13 * (X.shape[1] + 8) * (xx[some].max() + qq)
-            far = np.partition(approx, kk - 1, axis=1)[:, kk - 1] + 2.0 * slack
-            for i in range(len(q)):
+            # A row beyond the reach, within which k rows are known, is no neighbour; it is not sent on.
+            limit = reach[s:s + _CHUNK] * (1 + _SLACK) + _SLACK
+            with np.errstate(over="ignore"):
+                far = limit * limit + 2.0 * slack
+            hits = (approx <= far[:, None]).sum(axis=1)
+            full = np.flatnonzero(hits > 4 * kk)
+            if len(full):
+                far[full] = np.minimum(far[full], np.partition(approx[full], kk - 1, axis=1)[:, kk - 1] + 2.0 * slack[full])
+            for i in np.flatnonzero(hits):
                 near = some[np.flatnonzero(approx[i] <= far[i])]
                 diff = q[i] - X[near]
                 exact = np.sqrt((diff * diff).sum(axis=1))
                 pick = np.argsort(exact, kind="stable")[:kk]
-                rows.append(np.full(kk, s + i))
+                pick = pick[exact[pick] <= limit[i]]
+                rows.append(np.full(len(pick), s + i))
                 found.append(near[pick])
                 dists.append(exact[pick])
         rows, found = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (rows, found))
         count = np.zeros(len(rows), np.int64)
         if len(count):
             count[0] = pairs
+        elif pairs:  # compared and nothing in reach: a row for the pairs alone
+            none = [pa.nulls(1, kind) for kind in (b.schema.field("n").type, b.schema.field("test_id").type, a.schema.field("n").type, a.schema.field("train_id").type, pa.float64())]
+            return pa.Table.from_arrays([*none, pa.array([pairs])], names)
         qa, na = b.take(pa.array(rows)), a.take(pa.array(found))
         return pa.Table.from_arrays([qa.column("n"), qa.column("test_id"), na.column("n"), na.column("train_id"), pa.array(np.concatenate(dists) if dists else np.zeros(0)), pa.array(count)], names)
 
@@ -231,7 +244,7 @@ def _nearest(train: DataFrame, test: DataFrame, features, k: int, train_id: str,
         kinds = [("q", "bigint"), ("test_id", te.schema["id"].dataType.simpleString()), ("train_id", tr.schema["id"].dataType.simpleString()), ("dist", "double"),
                  *[(c, tr.schema[c].dataType.simpleString()) for c in kept], ("rank", "int")]
         return train.sparkSession.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in kinds))
-    cand = _candidates(tr, te, k, block_rows, cells)
+    cand = _candidates(tr, te, k, block_rows, cells).where("n is not null")
     w = Window.partitionBy("q").orderBy("dist", "train_id", "n")
     best = cand.select("q", "test_id", "n", "train_id", "dist", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
     if kept:

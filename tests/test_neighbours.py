@@ -81,3 +81,25 @@ def test_ids_may_be_text(spark):
     a = spark.createDataFrame([("b", 1.0), ("a", 1.0), (None, 3.0)], "id string, v double")
     got = [(r.test_id, r.train_id) for r in nn.knn_neighbors(a, a.where("id = 'a'"), ["v"], 2).orderBy("rank").collect()]
     assert got == [("a", "a"), ("a", "b")]
+
+
+def test_only_rows_in_reach_are_sent_on(spark, monkeypatch):
+    """A visit of a further cell gives no row beyond the k-th distance that its own cell gave."""
+    rng = np.random.default_rng(8)
+    df = frame(spark, [(i, rng.normal(size=4)) for i in range(600)])
+    seen, plain = [], nn._compare
+
+    def compare(train, visits, *args):
+        out = plain(train, visits, *args)
+        seen.append((visits, out))
+        return out
+    monkeypatch.setattr(nn, "_compare", compare)
+    got = found(nn.knn_neighbors(df, df, "x", 3, cells=24, keep=["n"]))
+    (_, first), (visits, later) = seen
+    rows = later.where("n is not null").join(visits.groupBy("q").agg(F.max("reach").alias("reach")), "q")
+    assert rows.where("dist > reach + 1e-6").count() == 0
+    assert rows.count() < visits.count()  # three a visit before
+    pts = [(r.id, r.x) for r in df.orderBy("n").collect()]
+    for i, want in enumerate(brute(pts, pts, 3)):
+        assert [d for _, d in got[i]] == [d for _, d in want]
+    assert nn.knn_pairs(df, df, "x", 3, cells=24).first().pairs == first.unionByName(later).agg(F.sum("pairs")).first()[0]
