@@ -27,6 +27,8 @@ from cohortlens.llm.scratch import keep, write_shared
 
 #: Words in the lexicon.
 WORDS = 1 << 15
+#: Text that is encoded at once.
+SLICE_BYTES = 2 << 20
 #: Longer words are merged, not kept in the lexicon.
 LONGEST = 48
 #: Longer words are merged one by one with a heap, not all at once in rounds.
@@ -264,7 +266,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in X.slices(batch):
+            for part in X.slices(batch, SLICE_BYTES):
                 data, offsets = X.buffer(part.column("text"))
                 s, e, kind = cuts(data, offsets, special)
                 s, e = s[kind < 0], e[kind < 0]
@@ -370,4 +372,4 @@ def bpe_encode_decode(docs: DataFrame, path: str, words: int = WORDS, carry: lis
         binary = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw.tobytes())])
         return [n, binary.cast(pa.binary()), pa.array(decode_slice(ids, n, v), pa.string())]
 
-    return X.map_docs(docs, [("n_tokens", "bigint"), ("ids", "binary"), ("decoded", "string")], run, carry)
+    return X.map_docs(docs, [("n_tokens", "bigint"), ("ids", "binary"), ("decoded", "string")], run, carry, SLICE_BYTES)

@@ -27,6 +27,8 @@ from cohortlens.llm.scratch import filesystem, keep, shared_path
 TOP = 300
 #: Languages whose profiles are broadcast; those of more are stored, about as many in a block.
 MAX_LANGUAGES = 2000
+#: Text whose n-grams are counted at once; a slice takes some 50 times as much memory.
+SLICE_BYTES = 1 << 20
 #: Languages that a slice of documents is compared with at once.
 AT_ONCE = 32
 UNKNOWN = "und"
@@ -121,7 +123,7 @@ def train(docs: DataFrame, label: str = "lang", top: int = TOP) -> dict[str, lis
         names: dict[str, int] = {}
         key, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for part in X.slices(batch):
+            for part in X.slices(batch, SLICE_BYTES):
                 lang = np.array([names.setdefault(x, len(names)) for x in part.column("label").to_pylist()], np.uint64)
                 doc, code, n = _counts(*X.buffer(part.column("text")))
                 k, n = _added((lang[doc] << np.uint64(24)) | code.astype(np.uint64), n)
@@ -225,4 +227,4 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]] | StoredProfiles, t
         names, score = classify(data, offsets, blocks, top)
         return [pa.array(names.tolist(), pa.string()), score]
 
-    return X.map_docs(docs, [("lang_pred", "string"), ("score", "double")], run, carry)
+    return X.map_docs(docs, [("lang_pred", "string"), ("score", "double")], run, carry, SLICE_BYTES)

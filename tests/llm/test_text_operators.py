@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortlens.llm import decontaminate, language
@@ -164,3 +166,17 @@ def test_training_distance_choice_and_score_match_brute_force(spark, monkeypatch
 def test_words_split_at_documents():
     s, e, first = X.words(*packed(["a b", "c", "", " d"]), X.SPACE)
     assert (s.tolist(), e.tolist(), first.tolist()) == ([0, 2, 3, 5], [1, 3, 4, 6], [0, 2, 3, 3, 4])
+
+
+def test_a_slice_of_language_id_takes_little_memory():
+    """Two workers and a JVM share an executor: a slice's n-grams stay under 100 MB however large a batch is."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(4_000)) for _ in range(130)]  # about 4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    profile = {"xx": list(range(0x616161, 0x616161 + 300))}
+    tracemalloc.start()
+    for part in X.slices(batch, language.SLICE_BYTES):
+        language.classify(*X.buffer(part.column("text")), [profile])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
