@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortlens.llm import anchors, simhash
@@ -77,3 +80,30 @@ def test_suffix_array_against_sorting():
         if k % 7 == 0:
             t = np.append(np.tile(rng.integers(1, 4, 3), 30), 0)
         assert suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_memory_of_a_task_is_bounded_where_pieces_overlap(spark, monkeypatch):
+    """Pieces of bytes are made from a part of a slice and written by portions, also when all of a text is wanted."""
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 123, 120_000, np.uint8)).decode() for _ in range(60)]
+    docs = spark.createDataFrame([], "d long, h long, text string")
+    wanted = spark.createDataFrame([], "d long, h long, at long, anchor long, c long")
+    hot = spark.createDataFrame([], "d long, h long, at long, tokens binary")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, fn, schema, *a: fn)
+    tokens = lambda data, offsets: (data, offsets)
+    u1, n = np.dtype(np.uint8), len(texts)
+    ids, zero = pa.array(range(n)), pa.array([0] * n)
+    places = []
+    for text in texts:
+        start, length, anchor, _ = anchors.pieces(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 400, 200)
+        places.append([{"at": int(s) << 10 | int(m), "anchor": int(a), "c": 2} for s, m, a in zip(start, length, anchor.view(np.int64), strict=True)])
+    lists = pa.array(places, pa.list_(pa.struct([("at", pa.int64()), ("anchor", pa.int64()), ("c", pa.int64())])))
+    given = [(anchors._occurrences(docs, tokens, 400, 200, u1), pa.RecordBatch.from_arrays([ids, zero, pa.array(texts)], ["d", "h", "text"])),
+             (anchors._extract(docs, wanted, tokens, 400), pa.RecordBatch.from_arrays([ids, zero, lists, pa.array(texts)], ["d", "h", "wanted", "text"])),
+             (anchors._cut(hot, u1, 400, 304), pa.RecordBatch.from_arrays([ids, zero, zero, pa.array([t.encode() for t in texts])], ["d", "h", "at", "tokens"]))]
+    for run, batch in given:
+        tracemalloc.start()
+        rows = sum(part.num_rows for part in run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows >= sum(map(len, places)) and peak < 100 << 20
