@@ -14,7 +14,7 @@ known by a number of their own: ids may repeat or be missing. Few training rows
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ _BLOCK_ROWS = 20_000
 _CELLS = 1_024
 #: Training rows that pivots are made from.
 _PIVOT_SAMPLE = 8_192
+#: Distances from rows to pivots that a task works on at once.
+_MEASURED = 1 << 19
 #: Queries compared at once.
 _CHUNK = 256
 #: Bounds give way by this share of the numbers they come from, for rounding.
@@ -67,6 +69,14 @@ def _pivots(train: DataFrame, cells: int) -> np.ndarray:
     return np.unique(sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)], axis=0)
 
 
+def _portions(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The batches by as many rows as have ``_MEASURED`` distances from all pivots."""
+    step = max(1, _MEASURED // len(pivots))
+    for batch in batches:
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+
 def _dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``rows`` (n, id, x) with the nearest pivot's cell and the distance r from it."""
     kinds = dict(rows.dtypes)
@@ -75,9 +85,7 @@ def _dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
         middle = pivots.mean(axis=0)  # far from the origin the products would lose digits
         P = pivots - middle
         half = (P * P).sum(axis=1) / 2
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _portions(batches, pivots):
             X = _points(batch, "x")
             cell = (half - (X - middle) @ P.T).argmin(axis=1)
             r = np.sqrt(((X - pivots[cell]) ** 2).sum(axis=1))
@@ -176,9 +184,7 @@ def _visits(test: DataFrame, pivots: np.ndarray, radius: Sequence[float], n_trai
     wide = ((pivots - pivots.mean(axis=0)) ** 2).sum(axis=1) + R * R
 
     def visit(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _portions(batches, pivots):
             X, own = _points(batch, "x"), batch.column("cell").to_numpy()
             bound = batch.column("bound").to_numpy(zero_copy_only=False).astype(np.float64)
             bound = np.where(np.isnan(bound), np.inf, bound)
@@ -208,8 +214,8 @@ def _visits(test: DataFrame, pivots: np.ndarray, radius: Sequence[float], n_trai
 def _candidates(train: DataFrame, test: DataFrame, k: int, block_rows: int, cells: int | None) -> DataFrame:
     """The k best of every block that a query is compared with; among them its k nearest rows."""
     n = train.count()
-    if cells is None:
-        cells = 1 if n <= block_rows else math.ceil(4 * n / block_rows)
+    # A fixed number of cells would have pairs grow with the square of the rows.
+    cells = max(cells or 1, 1 if n <= block_rows else math.ceil(4 * n / block_rows))
     pivots = _pivots(train, min(cells, _CELLS))
     dealt = _dealt(train, pivots)
     if len(pivots) > 1:
@@ -258,8 +264,8 @@ def knn_neighbors(train: DataFrame, test: DataFrame, features: str | Sequence[st
 
     Returns (test_id, train_id, dist, rank) plus ``keep`` columns of train (renamed ``nb_<col>``), k rows, or as many as
     there are training rows, for each test row. Ties go to the smaller train id, a missing id first. Ids may repeat: each row keeps its own
-    columns. ``cells`` is the number of pivots (by default one up to ``block_rows`` training rows, then four per so many); it changes the work, not the
-    result. A feature that is NULL or NaN is an error; an empty side gives no row.
+    columns. ``cells`` is the least number of pivots (by default one); beyond ``block_rows`` training rows there are four per so many at least, up to
+    ``_CELLS`` in all. It changes the work, not the result. A feature that is NULL or NaN is an error; an empty side gives no row.
     """
     return _nearest(train, test, features, k, train_id, test_id, block_rows, keep, cells).drop("q")
 

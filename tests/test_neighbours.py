@@ -1,6 +1,7 @@
 """Exact k-NN by pivots: against all pairs, on odd ids and clustered points."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,20 @@ def test_only_rows_in_reach_are_sent_on(spark, monkeypatch):
     for i, want in enumerate(brute(pts, pts, 3)):
         assert [d for _, d in got[i]] == [d for _, d in want]
     assert nn.knn_pairs(df, df, "x", 3, cells=24).first().pairs == first.unionByName(later).agg(F.sum("pairs")).first()[0]
+
+
+def test_a_given_number_of_pivots_is_the_least(spark):
+    """More training rows than four a block get further pivots, so that pairs do not grow with their square."""
+    rng = np.random.default_rng(9)
+    pts = [(i, rng.normal(size=3)) for i in range(400)]
+    df = frame(spark, pts)
+    few, many = (nn.knn_pairs(df, df, "x", 3, block_rows=b, cells=2).first().fraction for b in (20_000, 40))
+    assert many < few / 2
+    got = found(nn.knn_neighbors(df, df, "x", 3, block_rows=40, cells=2, keep=["n"]))
+    assert all([n for n, _ in got[i]] == [n for n, _ in want] for i, want in enumerate(brute(pts, pts, 3)))
+
+
+def test_rows_are_measured_against_many_pivots_by_portions():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7))], ["n"])
+    parts = list(nn._portions([batch, batch.slice(0, 0)], np.zeros((nn._MEASURED // 3, 1))))
+    assert [p.num_rows for p in parts] == [3, 3, 1] and sum((p.column("n").to_pylist() for p in parts), []) == list(range(7))
