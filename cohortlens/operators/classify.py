@@ -9,6 +9,7 @@ in a single task.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
@@ -43,6 +44,11 @@ def fit_decision_tree(train: DataFrame, features: Sequence[str], label: str, max
     return _pipeline(features, est).fit(train)
 
 
+#: A forest keeps two numbers for each tree and row while it grows (bags and node ids), so forests of one session grow one
+#: after another; each has a task a core.
+ONE_FOREST = threading.Lock()
+
+
 def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, n_trees: int = 200,
                       max_depth: int = 10, min_leaf: int = 5, seed: int = 42, max_bins: int = 64) -> PipelineModel:
     # Deep trees: node ids cached per row (trees are not shipped to executors
@@ -50,7 +56,8 @@ def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, n_t
     est = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=n_trees, maxDepth=max_depth,
                                  minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
                                  maxBins=max_bins, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
-    return _pipeline(features, est).fit(train)
+    with ONE_FOREST:
+        return _pipeline(features, est).fit(train)
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str, n_rounds: int = 150, max_depth: int = 5,

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import keep_existing
-from cohortlens.operators.classify import _pipeline, feature_importance
+from cohortlens.operators.classify import ONE_FOREST, _pipeline, feature_importance
 from cohortlens.operators.stages import LinearPredictor
 
 
@@ -106,7 +106,8 @@ def fit_rf_regressor(train: DataFrame, features: Sequence[str], label: str, n_tr
     est = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=n_trees, maxDepth=max_depth,
                                 featureSubsetStrategy="all", seed=seed, maxBins=max_bins,
                                 cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
-    return _pipeline(features, est).fit(train)
+    with ONE_FOREST:
+        return _pipeline(features, est).fit(train)
 
 
 # H4
